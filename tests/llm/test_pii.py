@@ -1,0 +1,77 @@
+import hashlib
+import re
+
+from helpers import ODD, SF, docs_of
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lattica.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(digits[::-1])) % 10 == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255 or kind == "card" and not (14 <= len(digits) <= 19 and luhn(digits)) or kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def check(spark, texts):
+    got = {r.doc_id: r for r in pii.op3(docs_of(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        want = base_spans(text)
+        named = ",".join(f"{k}:{a}:{z}" for a, _, z, k in want)
+        assert [got[i][f"n_{k}"] for k in PLAIN] == [sum(x[3] == k for x in want) for k in PLAIN], text
+        assert got[i].base_sha256 == hashlib.sha256(named.encode()).hexdigest(), (text, got[i].spans, named)
+        assert set(filter(None, named.split(","))) <= set(got[i].spans.split(",")), text
+
+
+MIXED = [
+    *ODD, "a@b.c+d@e.f.g", "x@y@z.org..com", "@a.b a@.b a@b. a@b-.c", "1.2.3.4.5.6.7.8", "300.1.1.1 001.002.003.0004", "1.2.3", "4111 1111 1111 1111-", "4111-1111-1111-1111 4111 1111 1111 1112",
+    "x4111111111111111x12345678901234567890", "+1 (234) 567-8901) +49 30 1234567", "+1+2 345 678 90123 +", "\U0001f600é a@b.co \U0001f600 10.0.0.1", "+12.34.56.78.90.12", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2",
+    "7" * 30_000, "a" * 50_000 + "@", "a." * 30_000 + "@" + "b." * 30_000 + "c", "+1" + " " * 30_000, "a@b.c " * 3000,
+]
+
+
+def test_base_kinds(spark):
+    check(spark, MIXED)
+
+
+def test_whole_table(spark):
+    check(spark, [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()])
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.text("0123456789.+@- ()ab%Zé", max_size=60), min_size=300, max_size=400))
+def test_random_texts(spark, texts):
+    check(spark, texts)
+
+
+def test_added_kinds_and_context(spark):
+    texts = ["iban DE89 3704 0044 0532 0130 00 ok", "DE88 3704 0044 0532 0130 00", "my ssn is 123-45-6789", "part 123-45-6789", "call (555) 123-4567 now", "555-123-4567"]
+    got = {r.doc_id: r.spans for r in pii.op3(docs_of(spark, texts)).collect()}
+    assert got == {0: "iban:5:32,card:9:32" if "card" in got[0] else "iban:5:32", 1: got[1], 2: "ssn:10:21", 3: "", 4: "local_phone:5:19", 5: ""}
+    assert "iban" not in got[1]
+
+
+def test_no_python_in_the_plan_and_null_rows(spark):
+    docs = spark.createDataFrame([(None, "a@b.cd"), (1, None), (1, "a@b.cd"), (1, "a@b.cd")], "doc_id long, text string")
+    out = pii.op3(docs)
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.doc_id or 0, r.n_email) for r in out.collect()) == [(0, 1), (1, 0), (1, 1), (1, 1)]
+    assert pii.op3(docs.limit(0)).count() == 0
