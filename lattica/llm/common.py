@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lattica.session import ship
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -60,6 +62,7 @@ def map_rows(df: DataFrame, schema: T.StructType, inputs: list[str], compute: Ca
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,5 +74,11 @@ def map_rows(df: DataFrame, schema: T.StructType, inputs: list[str], compute: Ca
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow, with this package on the workers' path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def total(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(column)).first()[0] or 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import map_rows, written
+from lattica.llm.common import map_batches, map_rows, written
 from lattica.llm.components import components
 
 SEED, SPACES = 42, b" \t\n\x0b\x0c\r"
@@ -229,7 +229,7 @@ def near_links(distinct: DataFrame, budget: int = 3, max_group: int = 20_000) ->
         else:
             n_hot = 0
         small = keyed if not n_hot else keyed.join(hot, "key", "left_anti")
-        found.append(small.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key", F.shiftrightunsigned("fp", 1), "fp").select("key", "fp", "rep").mapInArrow(run, schema))
+        found.append(map_batches(small.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key", F.shiftrightunsigned("fp", 1), "fp"), run, schema))
         if not n_hot:
             break
         rest, paths, level = written(keyed.join(hot, "key", "left_semi").select("fp", "rep", "path").distinct(), "simhash-rest"), nxt, level + 1
