@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import chat, decontaminate, line_dedup, media, pii, simhash, token_counts, token_store, toxicity
+from lattica.llm import chat, decontaminate, line_dedup, media, mixing, pii, simhash, token_counts, token_store, toxicity
 from lattica.llm.common import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_store": lambda spark, d: token_store.op4(table(spark, d, "documents")),
         "op5_decontaminate": lambda spark, d: decontaminate.op5(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_toxicity": lambda spark, d: toxicity.op6(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op7_mixture": lambda spark, d: mixing.op7(table(spark, d, "documents")),
         "op8_simhash": lambda spark, d: simhash.op8(table(spark, d, "documents")),
         "op9_webp_media": lambda spark, d: media.op9(table(spark, d, "documents")),
         "op10_token_counts": lambda spark, d: token_counts.op10(table(spark, d, "documents")),
@@ -25,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op2_chat_format": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op7_mixture": mixing.ORACLE}
