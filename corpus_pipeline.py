@@ -1,10 +1,58 @@
-"""The corpus pipeline: toxicity, SimHash near-dedup, decontamination, mixing, token output."""
+"""The corpus pipeline: toxicity, SimHash near-dedup, decontamination, mixing, token output.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.llm import decontaminate, mixing, simhash, token_store, toxicity
+from lattica.llm.common import table, written
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is 0.5 or more go."""
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def _near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group stays, one row of it; rows without an id stay."""
+    found = simhash.near_dups(docs)
+    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    kept = docs.join(keep, "doc_id", "left_semi")
+    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+
+
+def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn by their cell's calibrated probability."""
+    return mixing.mix(mixing.profiled(docs)).filter("kept").select(*docs.columns)
+
+
+def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token store's documents, as read back."""
+    return token_store.op4(docs)
+
+
+STAGES = [("toxicity", _toxicity), ("simhash near-dedup", _near_dups), ("benchmark decontamination", _benchmark), ("mixing", _mixing), ("token output", _tokens)]
+
+#: None: scores that are learned from labels, fingerprints and token ids are beyond SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{i}")
+    return docs
