@@ -1 +1 @@
-
+"""Graph operators over DataFrames keyed by graph_id."""

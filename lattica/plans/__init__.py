@@ -1 +1 @@
-
+"""Whole plans: feature sets, training, inference and evaluation."""

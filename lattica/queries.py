@@ -1,11 +1,381 @@
-"""Queries over the graph operators and their SQL."""
+"""Queries over the graph operators, each over its whole tables, and their SQL.
+
+Doubles are rounded to six places in both. Where SQL can't say it (branch and bound, trained models,
+random generators), the query has no SQL and tests hold it against brute force or its invariants.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lattica import oracles as o
+from lattica.graphs import KEY, GraphSet
+from lattica.operators import corpus, evaluation, experiments, iterative, local, pruning, solvers, statistics
+from lattica.oracles import ID, over, r6
+from lattica.plans import features
+from lattica.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+PAGERANK_ROUNDS, EIGEN_ROUNDS, MWUA_ROUNDS = 25, 25, 10
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def on_parts(f: Callable[[GraphSet], DataFrame], corpus: Callable[[SparkSession, str], GraphSet] = tables.parts) -> Query:
+    return lambda spark, d: rounded(f(corpus(spark, d)))
+
+
+def longs(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+def scored(g: GraphSet) -> DataFrame:
+    """A stand-in for a model's output that SQL can repeat: labels by id, scores by degree."""
+    return pruning.degree_scores(g).withColumn("label", (F.col("node_id") % 3 == 0).cast("int"))
+
+
+SCORED = "sc AS (SELECT g, v, (v % 3 = 0)::INT AS label, p FROM pr)"
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in for result files: events as rows of runs."""
+    e = tables.read(spark, d, "events")
+    return e.select(
+        F.col("event_type").alias("config"), (F.col("user_id") % 5).alias("run"), "event_id", (F.floor(F.col("value") * 5) / 100.0).alias("speedup"),
+        (F.col("user_id") % 7 / 100.0).alias("optimality_gap"), (F.col("user_id") % 11 / 20.0).alias("node_reduction"), (F.col("event_id") % 13 / 25.0).alias("edge_reduction"),
+    )
+
+
+RUNS = """runs AS MATERIALIZED (
+  SELECT event_type AS config, user_id % 5 AS run, event_id, floor(value * 5) / 100.0::DOUBLE AS speedup, user_id % 7 / 100.0::DOUBLE AS optimality_gap,
+         user_id % 11 / 20.0::DOUBLE AS node_reduction, event_id % 13 / 25.0::DOUBLE AS edge_reduction FROM events)"""
+SUMMARY = """SELECT config, round(avg(speedup), 6) AS mean_speedup, round(coalesce(stddev_samp(speedup), 0), 6) AS std_speedup, round(quantile_cont(speedup, 0.5), 6) AS median_speedup,
+       round(avg((speedup > 1)::INT) * 100, 6) AS pct_above_1, round(avg(optimality_gap), 6) AS mean_gap, round(coalesce(stddev_samp(optimality_gap), 0), 6) AS std_gap,
+       round(avg(node_reduction), 6) AS mean_node_reduction, round(avg(edge_reduction), 6) AS mean_edge_reduction, count(*)::BIGINT AS n_graphs, count(DISTINCT run)::BIGINT AS n_seeds
+FROM runs GROUP BY config"""
+NO_P = ("wilcoxon_p", "wilcoxon_significant")
+
+DEGREE = r6(rw_degree="d", rw_degree_normalized="d / greatest(n - 1, 1)", rw_stationary_prob="d / greatest(2 * m, 1)", rw_degree_centrality="CASE WHEN n <= 1 THEN 1.0 ELSE d / greatest(n - 1, 1) END")
+NEAR = r6(rw_avg_neighbor_degree="coalesce(nd_avg, 0)", rw_max_neighbor_degree="coalesce(nd_max, 0)", rw_min_neighbor_degree="coalesce(nd_min, 0)")
+RETURN = "ret AS (SELECT deg.g, deg.v, CASE WHEN d > 0 THEN coalesce(inv, 0) / d ELSE 0 END AS t2 FROM deg LEFT JOIN nb USING (g, v))"
+CHI = """chi AS MATERIALIZED (SELECT g, v, n, m, d, lcc, pow(d - avg(d) OVER (PARTITION BY g), 2) / greatest(avg(d) OVER (PARTITION BY g), 1e-9) AS cd,
+       pow(lcc - avg(lcc) OVER (PARTITION BY g), 2) / greatest(avg(lcc) OVER (PARTITION BY g), 1e-9) AS cl FROM loc)"""
+CHI_NEAR = "cn AS (SELECT adj.g, adj.v, avg(cd) AS a, avg(cl) AS b FROM adj JOIN chi ON chi.g = adj.g AND chi.v = adj.u GROUP BY ALL)"
+RANK = """dr AS (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY d) - 1 AS k FROM deg),
+nr AS MATERIALIZED (SELECT g, v, CASE WHEN max(k) OVER (PARTITION BY g) = 0 THEN 0.0 ELSE k::DOUBLE / max(k) OVER (PARTITION BY g) END AS x FROM dr)"""
+ORBITS = "orb AS MATERIALIZED (SELECT loc.g, loc.v, coalesce(ends, 0) - 2 * loc.t AS o0, d * (d - 1) / 2 - loc.t AS o1, 3 * loc.t AS o3 FROM loc LEFT JOIN nb USING (g, v))"
+QUADS = """sw AS MATERIALIZED (SELECT g, a, b, w, count(*) AS k FROM (
+  SELECT e.g, e.a, e.b, x.u AS w FROM edges e JOIN adj x ON x.g = e.g AND x.v = e.a WHERE x.u > e.b
+  UNION ALL SELECT e.g, e.a, e.b, x.u FROM edges e JOIN adj x ON x.g = e.g AND x.v = e.b WHERE x.u > e.b) GROUP BY ALL),
+qd AS (SELECT p.g, p.a AS v, p.b AS u, p.w, q.w AS x, 1 + p.k + q.k + (h.g IS NOT NULL)::INT AS k
+       FROM sw p JOIN sw q ON q.g = p.g AND q.a = p.a AND q.b = p.b AND q.w > p.w LEFT JOIN edges h ON h.g = p.g AND h.a = p.w AND h.b = q.w),
+role AS (SELECT g, v, CASE k WHEN 3 THEN 8 WHEN 4 THEN 16 WHEN 5 THEN 20 ELSE 24 END AS o FROM qd
+  UNION ALL SELECT g, u, CASE k WHEN 3 THEN 9 WHEN 4 THEN 17 WHEN 5 THEN 21 ELSE 24 END FROM qd
+  UNION ALL SELECT g, w, CASE k WHEN 3 THEN 9 WHEN 4 THEN 17 WHEN 5 THEN 21 ELSE 24 END FROM qd
+  UNION ALL SELECT g, x, CASE k WHEN 3 THEN 9 WHEN 4 THEN 16 WHEN 5 THEN 22 ELSE 24 END FROM qd)"""
+SOME_ORBITS = (0, 1, 3, 8, 9, 16, 17, 20, 21, 22, 24)
+TWO_HOP = """reach AS (SELECT DISTINCT x.g, x.v, y.u AS w FROM adj x JOIN adj y ON y.g = x.g AND y.v = x.u WHERE y.u <> x.v),
+th AS (SELECT reach.g, reach.v, count(*) AS k, count(adj.g) AS j FROM reach LEFT JOIN adj ON adj.g = reach.g AND adj.v = reach.v AND adj.u = reach.w GROUP BY ALL)"""
+HIT = """hit AS (SELECT deg.*, CASE WHEN d > 0 THEN 2.0 * m / d ELSE 0 END AS h, coalesce(nd_avg, 0) AS a FROM deg LEFT JOIN nb USING (g, v))"""
+STATS = "gs AS MATERIALIZED (SELECT g, any_value(n) AS n, any_value(m)::BIGINT AS m, sum((v % 3 = 0)::INT) AS pos, 'd' || (g % 3) AS dataset FROM deg GROUP BY g)"
+
+
+def stats_of(g: GraphSet) -> DataFrame:
+    labelled = GraphSet(g.nodes.withColumn("label", (F.col("node_id") % 3 == 0).cast("int")), g.edges)
+    return corpus.per_graph_stats(labelled).withColumn("dataset", F.concat(F.lit("d"), (F.col("graph_id") % 3).cast("string")))
+
+
+STATUS = f"SELECT {ID}, round(p, 6) AS prob, high AS forced_high, removed, forced FROM st"
+
+
+def _reduction(g: GraphSet) -> DataFrame:
+    out = pruning.reduction(g, pruning.prune(g, pruning.degree_scores(g), 0.3, 0.9))
+    return longs(out, "n_nodes", "n_edges", "n_nodes_reduced", "n_edges_reduced", "n_removed", "n_forced_high", "n_forced")
+
+
+def _reconstruct(g: GraphSet) -> DataFrame:
+    """A cover from the forced nodes alone; repair adds what is missing."""
+    status = pruning.prune(g, pruning.degree_scores(g), 0.3, 0.9)
+    return pruning.reconstruct(status, status.filter("1 = 0").select(*KEY), g)
 
-def queries() -> dict:
-    return {}
+
+COVER = """base AS MATERIALIZED (SELECT g, v FROM st WHERE forced = 1),
+open AS MATERIALIZED (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.g = e.g AND b.v = e.a) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.g = e.g AND b.v = e.b))"""
+
+
+def _solver_row(df: DataFrame) -> DataFrame:
+    return df.select("graph_id", "size", "lp_bound", "is_optimal")
+
+
+def _matching(g: GraphSet) -> DataFrame:
+    return solvers.members(solvers.Solver("matching").solve(g))
+
+
+#: The matching in edge order: the edge taken in each round is the first one left; rounds as a recursion.
+MATCHING = """mt(g, a, b, used) AS (
+  SELECT g, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT g FROM edges)
+  UNION ALL
+  SELECT g, x.a, x.b, used || [x.a, x.b] FROM (
+    SELECT mt.g, mt.used, min(struct_pack(a := e.a, b := e.b)) AS x FROM mt JOIN edges e ON e.g = mt.g AND NOT list_contains(mt.used, e.a) AND NOT list_contains(mt.used, e.b) GROUP BY mt.g, mt.used))"""
+GREEDY = """gr(g, r, picked) AS (
+  SELECT g, 0, []::BIGINT[] FROM (SELECT DISTINCT g FROM nodes)
+  UNION ALL
+  SELECT g, r + 1, picked || [x.v] FROM (
+    SELECT gr.g, gr.r, gr.picked, y.x FROM gr JOIN LATERAL (
+      SELECT max(struct_pack(d := c, nv := -v, v := v)) AS x FROM (SELECT adj.v, count(*) AS c FROM adj WHERE adj.g = gr.g AND NOT list_contains(gr.picked, adj.v) AND NOT list_contains(gr.picked, adj.u) GROUP BY adj.v)) y ON true WHERE y.x IS NOT NULL))"""
+
+
+def _small_exact(g: GraphSet) -> DataFrame:
+    return solvers.Solver("exact").solve(g).select("graph_id", "size")
+
+
+#: Brute force over all subsets, for graphs of few nodes.
+BRUTE = """ng AS (SELECT g, count(*) AS n FROM nodes GROUP BY g),
+sets AS (SELECT ng.g, unnest(range(0, (1 << n)::BIGINT)) AS s FROM ng),
+bad AS (SELECT DISTINCT sets.g, s FROM sets JOIN edges e ON e.g = sets.g WHERE (s & (1 << a)) = 0 AND (s & (1 << b)) = 0)"""
+
+
+def _eval_rows(g: GraphSet) -> DataFrame:
+    return stats_of(g).select("graph_id", F.col("dataset").alias("source"), (F.col("n_nodes") / 100.0).alias("optimality_gap"), (F.col("n_edges") / F.col("n_nodes")).alias("speedup"), (F.col("n_positive") / 50.0).alias("node_reduction"), (F.col("n_edges") / 500.0).alias("edge_reduction"), F.when(F.col("graph_id") % 4 > 0, F.col("n_nodes") / 200.0).alias("clf_f1"))
+
+
+EVAL = STATS + ", ev6 AS MATERIALIZED (SELECT g, dataset AS source, n / 100.0::DOUBLE AS optimality_gap, m::DOUBLE / n AS speedup, pos / 50.0::DOUBLE AS node_reduction, m / 500.0::DOUBLE AS edge_reduction, CASE WHEN g % 4 > 0 THEN n / 200.0::DOUBLE END AS clf_f1 FROM gs)"
+
+
+def _folds(g: GraphSet) -> DataFrame:
+    from lattica.operators import learning
+
+    return longs(learning.group_folds(scored(g)), "fold")
+
+
+def _grid(spark: SparkSession, _: str) -> DataFrame:
+    return experiments.grid(spark).groupBy("grp").agg(F.count("*").alias("n_runs"), F.count_distinct("config_id").alias("n_configs"))
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    x = tables.read(spark, d, "orders")
+    rows = x.select("o_orderkey", (F.col("o_custkey") % 90 + 10).alias("pipeline_cover_size"), (F.col("o_custkey") % 70).alias("baseline_cover_size"), (F.col("o_totalprice") / 1000).alias("baseline_runtime"), (F.col("o_custkey") % 9 * 0.37).alias("pipeline_runtime"))
+    return rounded(evaluation.quality(rows).select("o_orderkey", "optimality_gap", "speedup"))
+
+
+def queries() -> dict[str, Query]:
+    from lattica.operators import learning
+    from lattica.plans import pipelines
+    from lattica.sources import catalogue, files
+
+    out: dict[str, Query] = {
+        "graph_stats": on_parts(lambda g: longs(pruning.sizes(g), "n_nodes", "n_edges")),
+        "graph_stats_users": on_parts(lambda g: longs(pruning.sizes(g), "n_nodes", "n_edges"), tables.users),
+        "graph_stats_suppliers": on_parts(lambda g: longs(pruning.sizes(g), "n_nodes", "n_edges"), tables.suppliers),
+        "graph_stats_trade": on_parts(lambda g: longs(pruning.sizes(g), "n_nodes", "n_edges"), tables.trade),
+        "corpus_summary_rollup": on_parts(lambda g: corpus.summary_table(stats_of(g))),
+        "graph_summary": on_parts(lambda g: corpus.graph_summary(stats_of(g))),
+        "train_test_split": on_parts(lambda g: corpus.split(stats_of(g).select("graph_id", "dataset"))),
+        "size_filter_limit": on_parts(lambda g: longs(corpus.size_filter(stats_of(g), 5, 90, 4, "dataset").select("graph_id", "n_nodes"), "n_nodes")),
+        "evaluation_subset": on_parts(lambda g: longs(corpus.evaluation_subset(stats_of(g), 20, 75).select("graph_id", "n_nodes"), "n_nodes")),
+        "node_labels": on_parts(corpus.node_labels),
+        "corpus_union": lambda spark, d: longs(corpus.union_all([tables.parts(spark, d), tables.suppliers(spark, d)], ["parts", "suppliers"])[1], "old_id"),
+        "degree_features": on_parts(local.degree_features),
+        "neighbor_degree_stats": on_parts(local.neighbour_degree_stats),
+        "return_prob": on_parts(local.return_probability),
+        "return_prob_exact": on_parts(lambda g: local.return_probability(g, exact=True).withColumn("rw_return_prob_t4", F.col("rw_return_prob_t4") + 1e-10)),
+        "triangle_count": on_parts(lambda g: longs(local.triangles(g), "triangles")),
+        "triangle_count_users": on_parts(lambda g: longs(local.triangles(g), "triangles"), tables.users),
+        "clustering": on_parts(local.clustering),
+        "orbit3_counts": on_parts(local.orbit3),
+        "vsko": on_parts(lambda g: local.vsko(g).select(*KEY, "vsko_sym2_1", "vsko_sym3", "vsko_sym5")),
+        "vsko_one_hop": on_parts(lambda g: local.vsko(g, ego_hops=1).select(*KEY, "vsko_sym2_1", "vsko_sym3")),
+        "gdv4_counts": on_parts(lambda g: local.gdv(g).select(*KEY, *(f"gdv_orbit_{k}" for k in SOME_ORBITS))),
+        "ego_2hop_size": on_parts(lambda g: longs(local.ego_sizes(g, 2), "ego_edges")),
+        "two_hop_dist": on_parts(local.two_hop),
+        "hitting_commute": on_parts(local.hitting_commute),
+        "lauri_local": on_parts(lambda g: local.lauri_local(g).select(*KEY, "n_nodes", "n_edges", "degree", "lcc", "chi2_degree", "chi2_lcc")),
+        "lauri_nbr_chi2": on_parts(lambda g: local.lauri_local(g).select(*KEY, "chi2_degree_nbr", "chi2_lcc_nbr")),
+        "degree_rank": on_parts(lambda g: local.degree_ranks(g).select(*KEY, "degree_rank")),
+        "nbr_degree_rank": on_parts(lambda g: local.degree_ranks(g).drop("degree_rank")),
+        "standard_scale": on_parts(lambda g: features.Scaler.fit(f := local.degree_features(g).select(*KEY, "rw_degree", "rw_stationary_prob")).transform(f)),
+        "core_number": on_parts(iterative.core_numbers),
+        "core_number_rounds": on_parts(lambda g: iterative.core_numbers(g, spread=True)),
+        "bfs_apsp": on_parts(lambda g: iterative.hops(g).groupBy("graph_id", "hops").agg(F.count("*").alias("n_pairs"))),
+        "closeness": on_parts(lambda g: iterative.path_features(g).select(*KEY, "rw_closeness_centrality")),
+        "eccentricity": on_parts(lambda g: iterative.path_features(g).select(*KEY, "rw_eccentricity")),
+        "betweenness": on_parts(lambda g: iterative.betweenness(g, None)),
+        "pagerank": on_parts(lambda g: iterative.pagerank(g, tol=None, max_iter=PAGERANK_ROUNDS)),
+        "pagerank_rounds": on_parts(lambda g: iterative.pagerank(g, max_iter=5, spread=True)),
+        "eigenvector": on_parts(lambda g: iterative.eigenvector(g, None, EIGEN_ROUNDS)),
+        "connected_components": on_parts(iterative.components),
+        "largest_component": on_parts(lambda g: longs(pruning.sizes(iterative.largest_component(g)), "n_nodes", "n_edges")),
+        "mwua": on_parts(lambda g: iterative.mwua(g, MWUA_ROUNDS, None)),
+        "luby_mis": on_parts(iterative.mis_frequency),
+        "structural_score": on_parts(pruning.structural_scores),
+        "prune_structural": on_parts(lambda g: pruning.structural_pruner(g, 0.2)),
+        "prune_one_sided": on_parts(lambda g: pruning.prune(g, pruning.degree_scores(g), 0.3)),
+        "prune_two_sided": on_parts(lambda g: pruning.prune(g, pruning.degree_scores(g), 0.3, 0.8)),
+        "prune_keep_node": on_parts(lambda g: pruning.prune(g, pruning.degree_scores(g), 0.5, 0.5, "keep_node")),
+        "prune_none": on_parts(pruning.no_pruner),
+        "reduced_graph_stats": on_parts(_reduction),
+        "pruning_metrics": on_parts(lambda g: _reduction(g).select("graph_id", "node_reduction", "edge_reduction", "n_removed", "n_forced")),
+        "reconstruct_repair": on_parts(_reconstruct),
+        "verify_cover": on_parts(lambda g: longs(pruning.verify(g, pruning.prune(g, pruning.degree_scores(g), 0.3, 0.9).filter("forced = 1")), "uncovered_edges")),
+        "greedy_scores": on_parts(pruning.greedy_scores),
+        "prune_greedy": on_parts(lambda g: pruning.greedy_pruner(g, 0.1, 0.85)),
+        "matching_cover": on_parts(_matching),
+        "konig_cover": on_parts(lambda g: _solver_row(solvers.Solver("konig").solve(g)).select("graph_id", "is_optimal", (F.col("size") - F.col("lp_bound")).alias("over_bound")), tables.trade),
+        "exact_cover": on_parts(lambda g: _solver_row(solvers.Solver("exact").solve(g))),
+        "exact_cover_small": on_parts(_small_exact, tables.suppliers),
+        "approx_cover": on_parts(lambda g: solvers.Solver("approx").solve(g).select("graph_id", "size", "backend")),
+        "lp_bound": on_parts(solvers.lp_bounds),
+        "bipartite_check": on_parts(solvers.bipartite, tables.trade),
+        "class_balance": on_parts(lambda g: learning.class_balance(scored(g))),
+        "group_folds": on_parts(_folds),
+        "threshold_tuning": on_parts(lambda g: evaluation.tune_threshold(scored(g), ["graph_id"])),
+        "clf_metrics": on_parts(lambda g: evaluation.classification(scored(g), ["graph_id"], 0.4)),
+        "quality_metrics": _quality,
+        "eval_by_source_rollup": on_parts(lambda g: evaluation.by_source(_eval_rows(g))),
+        "eval_summary": on_parts(lambda g: evaluation.summary(_eval_rows(g))),
+        "wilcoxon": lambda spark, d: rounded(statistics.signed_ranks(runs(spark, d), ["config"])),
+        "wilcoxon_p": lambda spark, d: statistics.wilcoxon(runs(spark, d), ["config", "run"]),
+        "bootstrap_ci": lambda spark, d: rounded(statistics.bootstrap_means(runs(spark, d), ["config"], ["event_id"], "speedup", 50)),
+        "bootstrap_median_ci": lambda spark, d: statistics.bootstrap_ci(runs(spark, d), ["config"], n_bootstrap=200),
+        "cohens_d": lambda spark, d: rounded(statistics.cohens_d(runs(spark, d), ["config"], "run", 0, 1)),
+        "summarise_runs": lambda spark, d: rounded(statistics.summarise_runs(runs(spark, d)).drop(*NO_P)),
+        "compare_configs": lambda spark, d: rounded(statistics.compare_configs(runs(spark, d)).drop(*NO_P)).withColumn("place", F.row_number().over(W.orderBy(F.col("median_speedup").desc(), "config")).cast("long")),
+        "sensitivity_table": lambda spark, d: rounded(statistics.sensitivity_table(runs(spark, d).withColumn("config", F.concat(F.lit("pt="), (F.col("run") * 0.05).cast("decimal(4,2)").cast("string"))))).drop(*NO_P),
+        "experiment_grid": _grid,
+        "config_tags": lambda spark, d: experiments.grid(spark).select("config_id", "seed", experiments.run_tag().alias("tag")),
+        "mvc_labels": on_parts(lambda g: solvers.labelled(g, solvers.Solver("konig").solve(g)).nodes.groupBy("graph_id").agg(F.sum("label").alias("n_positive")), tables.trade),
+    }
+    return out | files.queries() | catalogue.queries() | features.queries() | learning.queries() | pipelines.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sizes = "SELECT g AS graph_id, any_value(n)::BIGINT AS n_nodes, any_value(m)::BIGINT AS n_edges FROM deg GROUP BY g"
+    gs = o.DEPTH
+    status = {name: over(STATUS, more=o.pruned(*how)) for name, how in (("prune_one_sided", (0.3, 1.1)), ("prune_two_sided", (0.3, 0.8)), ("prune_keep_node", (0.5, 0.5, True)))}
+    reduced = f"""red AS (SELECT st.g, count(*)::BIGINT AS n_nodes, sum((removed = 0 AND high = 0)::INT)::BIGINT AS n_nodes_reduced, sum(removed)::BIGINT AS n_removed, sum(high)::BIGINT AS n_forced_high, sum(forced)::BIGINT AS n_forced FROM st GROUP BY st.g),
+re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high = 0 AND y.removed = 0 AND y.high = 0)::INT)::BIGINT AS n_edges_reduced FROM edges e JOIN st x ON x.g = e.g AND x.v = e.a JOIN st y ON y.g = e.g AND y.v = e.b GROUP BY e.g)"""
+    metrics = ("optimality_gap", "speedup", "node_reduction", "edge_reduction", "clf_f1")
+    scored_sql = f"{o.PROBS}, {SCORED}"
+    shares = "sh AS (SELECT g, v, (o0 + o1) / 3.0 AS g0, o3 / 3.0 AS g1 FROM orb)"
+    one_hop = "sh AS (SELECT g, v, o1 / 3.0 AS g0, o3 / 3.0 AS g1 FROM orb)"
+    vsko = lambda name: f"coalesce(({name}) / nullif(g0 + g1, 0), 0)"
+    out = {
+        "graph_stats": over(sizes),
+        "graph_stats_users": over(sizes, o.USERS),
+        "graph_stats_suppliers": over(sizes, o.SUPPLIERS),
+        "graph_stats_trade": over(sizes, o.TRADE),
+        "corpus_summary_rollup": over("SELECT CASE WHEN grouping(dataset) = 1 THEN 'TOTAL' ELSE dataset END AS dataset, count(*)::BIGINT AS n_graphs, round(avg(n), 6) AS avg_nodes, round(avg(m), 6) AS avg_edges, round(sum(pos) / sum(n), 6) AS positive_fraction FROM gs GROUP BY ROLLUP (dataset)", more=STATS),
+        "graph_summary": over("SELECT count(*)::BIGINT AS n_graphs, round(avg(n), 6) AS avg_nodes, round(avg(m), 6) AS avg_edges, round(avg(pos / n), 6) AS avg_positive_fraction, min(n)::BIGINT AS min_nodes, max(n)::BIGINT AS max_nodes FROM gs", more=STATS),
+        "train_test_split": over("SELECT g AS graph_id, dataset, (row_number() OVER (PARTITION BY dataset ORDER BY md5('42:' || g), g) <= greatest(1, floor(count(*) OVER (PARTITION BY dataset) * 0.8)))::INT AS is_train FROM gs", more=STATS),
+        "size_filter_limit": over("SELECT g AS graph_id, n::BIGINT AS n_nodes FROM gs WHERE n BETWEEN 5 AND 90 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY g) <= 4", more=STATS),
+        "evaluation_subset": over("SELECT * FROM (SELECT g AS graph_id, n::BIGINT AS n_nodes FROM gs ORDER BY g LIMIT 20) WHERE n_nodes >= 75", more=STATS),
+        "node_labels": over(f"SELECT {ID}, -1 AS label FROM nodes"),
+        "corpus_union": f"WITH a AS (WITH {o.PARTS} q AS (SELECT DISTINCT g FROM nodes) SELECT 0 AS s, 'parts' AS dataset, g AS old_id FROM q), b AS (WITH {o.SUPPLIERS} q AS (SELECT DISTINCT g FROM nodes) SELECT 1 AS s, 'suppliers' AS dataset, g AS old_id FROM q) SELECT row_number() OVER (ORDER BY s, old_id) - 1 AS graph_id, dataset, old_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b)",
+        "degree_features": over(f"SELECT {ID}, {DEGREE} FROM deg"),
+        "neighbor_degree_stats": over(f"SELECT {ID}, {NEAR} FROM nodes LEFT JOIN nb USING (g, v)"),
+        "return_prob": over(f"SELECT {ID}, {r6(rw_return_prob_t2='t2', rw_return_prob_t4='t2 * t2')} FROM ret", more=RETURN),
+        "return_prob_exact": over(
+            f"SELECT {ID}, {r6(rw_return_prob_t2='t2', rw_return_prob_t4='coalesce(s / greatest(d, 1), 0) + 1e-10')} FROM ret JOIN deg USING (g, v) LEFT JOIN bk USING (g, v)",
+            more=RETURN + ", tw AS (SELECT x.g, x.v, y.u AS w, sum(1.0 / k.d) AS c FROM adj x JOIN adj y ON y.g = x.g AND y.v = x.u JOIN deg k ON k.g = x.g AND k.v = x.u GROUP BY ALL), bk AS (SELECT tw.g, tw.v, sum(c * c / k.d) AS s FROM tw JOIN deg k ON k.g = tw.g AND k.v = tw.w GROUP BY ALL)",
+        ),
+        "triangle_count": over(f"SELECT {ID}, t::BIGINT AS triangles FROM tri"),
+        "triangle_count_users": over(f"SELECT {ID}, t::BIGINT AS triangles FROM tri", o.USERS),
+        "clustering": over(f"SELECT {ID}, {r6(rw_local_clustering='lcc', rw_triangle_count='t')} FROM loc"),
+        "orbit3_counts": over(f"SELECT {ID}, {r6(orbit_0='o0', orbit_1='o1', orbit_3='o3')} FROM orb", more=ORBITS),
+        "vsko": over(f"SELECT {ID}, {r6(vsko_sym2_1=vsko('g0 + 3 * g1'), vsko_sym3=vsko('g1'), vsko_sym5='0')} FROM sh", more=f"{ORBITS}, {shares}"),
+        "vsko_one_hop": over(f"SELECT {ID}, {r6(vsko_sym2_1=vsko('g0 + 3 * g1'), vsko_sym3=vsko('g1'))} FROM sh", more=f"{ORBITS}, {one_hop}"),
+        "gdv4_counts": over(
+            f"SELECT {ID}, {r6(gdv_orbit_0='any_value(o0)', gdv_orbit_1='any_value(o1)', gdv_orbit_3='any_value(o3)', **{f'gdv_orbit_{k}': f'count(*) FILTER (o = {k})' for k in SOME_ORBITS[3:]})} FROM orb LEFT JOIN role USING (g, v) GROUP BY g, v",
+            more=f"{ORBITS}, {QUADS}",
+        ),
+        "ego_2hop_size": over(
+            f"SELECT {ID}, coalesce(k, 0)::BIGINT AS ego_edges FROM nodes LEFT JOIN eg USING (g, v)",
+            more="b2 AS (SELECT g, v, v AS w FROM nodes UNION SELECT g, v, u FROM adj UNION SELECT x.g, x.v, y.u FROM adj x JOIN adj y ON y.g = x.g AND y.v = x.u), eg AS (SELECT p.g, p.v, count(*) AS k FROM b2 p JOIN edges e ON e.g = p.g AND e.a = p.w JOIN b2 q ON q.g = p.g AND q.v = p.v AND q.w = e.b GROUP BY ALL)",
+        ),
+        "two_hop_dist": over(f"SELECT {ID}, {r6(rw_avg_dist_2hop_nbrs='coalesce((2.0 * k - j) / k, 0)')} FROM nodes LEFT JOIN th USING (g, v)", more=TWO_HOP),
+        "hitting_commute": over(f"SELECT {ID}, {r6(rw_hitting_time_proxy='h / greatest(max(h) OVER (PARTITION BY g), 1)', rw_commute_time_proxy='CASE WHEN d * a = 0 THEN 0 ELSE 2.0 * m / (d * a) END')} FROM hit", more=HIT),
+        "lauri_local": over(f"SELECT {ID}, {r6(n_nodes='n', n_edges='m', degree='d', lcc='lcc', chi2_degree='cd', chi2_lcc='cl')} FROM chi", more=CHI),
+        "lauri_nbr_chi2": over(f"SELECT {ID}, {r6(chi2_degree_nbr='coalesce(a, 0)', chi2_lcc_nbr='coalesce(b, 0)')} FROM nodes LEFT JOIN cn USING (g, v)", more=f"{CHI}, {CHI_NEAR}"),
+        "degree_rank": over(f"SELECT {ID}, {r6(degree_rank='x')} FROM nr", more=RANK),
+        "nbr_degree_rank": over(
+            f"SELECT {ID}, {r6(min_nbr_deg_rank='coalesce(i, 0)', max_nbr_deg_rank='coalesce(x, 0)', avg_nbr_deg_rank='coalesce(a, 0)')} FROM nodes LEFT JOIN rn USING (g, v)",
+            more=f"{RANK}, rn AS (SELECT adj.g, adj.v, min(nr.x) AS i, max(nr.x) AS x, avg(nr.x) AS a FROM adj JOIN nr ON nr.g = adj.g AND nr.v = adj.u GROUP BY ALL)",
+        ),
+        "standard_scale": over(f"SELECT {ID}, {r6(rw_degree='(d - avg(d) OVER ()) / stddev_pop(d) OVER ()', rw_stationary_prob='(s - avg(s) OVER ()) / stddev_pop(s) OVER ()')} FROM (SELECT *, d / greatest(2 * m, 1) AS s FROM deg)"),
+        "core_number": over(f"SELECT {ID}, c::DOUBLE AS rw_core_number FROM c{o.CORES}", more=o.core_sql(o.CORES)),
+        "bfs_apsp": over("SELECT g AS graph_id, dist::BIGINT AS hops, count(*)::BIGINT AS n_pairs FROM sp GROUP BY ALL", more=o.apsp(gs)),
+        "closeness": over(
+            f"SELECT {ID}, {r6(rw_closeness_centrality='CASE WHEN r < 2 THEN 0 ELSE (r - 1) / s * (r - 1) / (n - 1) END')} FROM (SELECT g, s AS v, count(*)::DOUBLE AS r, sum(dist) AS s FROM sp GROUP BY g, sp.s) JOIN deg USING (g, v)",
+            more=o.apsp(gs),
+        ),
+        "eccentricity": over(
+            f"SELECT {ID}, CASE WHEN min(r) OVER (PARTITION BY g) = n THEN e ELSE -1 END::DOUBLE AS rw_eccentricity FROM (SELECT g, s AS v, count(*) AS r, max(dist) AS e FROM sp GROUP BY g, sp.s) JOIN deg USING (g, v)", more=o.apsp(gs)
+        ),
+        "betweenness": over(
+            f"SELECT {ID}, {r6(rw_betweenness_centrality='coalesce(b, 0) / ((n - 1) * (n - 2))')} FROM deg LEFT JOIN bt USING (g, v)",
+            more=o.apsp(gs) + ", bt AS (SELECT x.g, x.v, sum(x.sigma * y.sigma / z.sigma) AS b FROM sp x JOIN sp y ON y.g = x.g AND y.s = x.v JOIN sp z ON z.g = x.g AND z.s = x.s AND z.v = y.v AND z.dist = x.dist + y.dist WHERE x.dist > 0 AND y.dist > 0 GROUP BY ALL)",
+        ),
+        "pagerank": over(f"SELECT {ID}, {r6(rw_pagerank='x')} FROM p{PAGERANK_ROUNDS}", more=o.pagerank_sql(PAGERANK_ROUNDS)),
+        "pagerank_rounds": over(f"SELECT {ID}, {r6(rw_pagerank='x')} FROM p5", more=o.pagerank_sql(5)),
+        "eigenvector": over(f"SELECT {ID}, {r6(rw_eigenvector_centrality='x')} FROM e{EIGEN_ROUNDS}", more=o.eigenvector_sql(EIGEN_ROUNDS)),
+        "connected_components": over(f"SELECT {ID}, min(s)::BIGINT AS component FROM sp GROUP BY g, v", more=o.apsp(gs)),
+        "largest_component": over(
+            "SELECT big.g AS graph_id, k::BIGINT AS n_nodes, (SELECT count(*) FROM edges e JOIN cc x ON x.g = e.g AND x.v = e.a WHERE e.g = big.g AND x.c = big.c)::BIGINT AS n_edges FROM big",
+            more=o.apsp(gs) + ", cc AS MATERIALIZED (SELECT g, v, min(s) AS c FROM sp GROUP BY g, v), sz AS (SELECT g, c, count(*) AS k FROM cc GROUP BY g, c), big AS (SELECT * FROM sz WHERE k >= 5 QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC, c) = 1)",
+        ),
+        "mwua": over(f"SELECT {ID}, {r6(mwua_avg_x='ax', mwua_avg_w='coalesce(aw, 0)', mwua_min_w='coalesce(iw, 0)', mwua_max_w='coalesce(xw, 0)')} FROM mx LEFT JOIN mw USING (g, v)", more=o.mwua_sql(MWUA_ROUNDS)),
+        "structural_score": over(f"SELECT {ID}, {r6(prob='score')} FROM ss", more=o.STRUCTURAL),
+        "prune_structural": over(STATUS, more=o.STRUCTURAL + ", " + o.pruned(0.2, 1.1).replace(o.PROBS, "pr AS MATERIALIZED (SELECT ss.g, ss.v, round(score, 12) AS p, n FROM ss JOIN deg USING (g, v))")),
+        **status,
+        "prune_none": over(f"SELECT {ID}, 0.5::DOUBLE AS prob, 0 AS forced_high, 0 AS removed, 0 AS forced FROM nodes"),
+        "reduced_graph_stats": over(
+            "SELECT red.g AS graph_id, n_nodes, coalesce(n_edges, 0)::BIGINT AS n_edges, n_nodes_reduced, coalesce(n_edges_reduced, 0)::BIGINT AS n_edges_reduced, n_removed, n_forced_high, n_forced, round(1 - n_nodes_reduced / n_nodes, 6) AS node_ratio, round(1 - coalesce(n_edges_reduced, 0) / greatest(coalesce(n_edges, 0), 1), 6) AS edge_reduction, round(n_removed / n_nodes, 6) AS node_reduction FROM red LEFT JOIN re USING (g)",
+            more=f"{o.pruned(0.3, 0.9)}, {reduced}",
+        ),
+        "pruning_metrics": over("SELECT red.g AS graph_id, round(n_removed / n_nodes, 6) AS node_reduction, round(1 - coalesce(n_edges_reduced, 0) / greatest(coalesce(n_edges, 0), 1), 6) AS edge_reduction, n_removed, n_forced FROM red LEFT JOIN re USING (g)", more=f"{o.pruned(0.3, 0.9)}, {reduced}"),
+        "reconstruct_repair": over(f"SELECT {ID}, 0 AS repaired FROM base UNION ALL SELECT DISTINCT g, a, 1 FROM open", more=f"{o.pruned(0.3, 0.9)}, {COVER}"),
+        "verify_cover": over("SELECT g AS graph_id, count(a)::BIGINT AS uncovered_edges, count(a) = 0 AS cover_valid FROM (SELECT DISTINCT g FROM nodes) LEFT JOIN open USING (g) GROUP BY g", more=f"{o.pruned(0.3, 0.9)}, {COVER}"),
+        "greedy_scores": over(
+            f"SELECT {ID}, {r6(prob='CASE WHEN list_contains(picked, v) THEN (len(picked) - list_position(picked, v) + 1) / len(picked) ELSE 0 END')} FROM nodes JOIN (SELECT g, picked FROM gr QUALIFY row_number() OVER (PARTITION BY g ORDER BY r DESC) = 1) USING (g)", more=GREEDY
+        ),
+        "matching_cover": over("SELECT g AS graph_id, unnest(used) AS node_id FROM (SELECT g, used FROM mt QUALIFY row_number() OVER (PARTITION BY g ORDER BY len(used) DESC) = 1)", more=MATCHING),
+        "konig_cover": over("SELECT DISTINCT g AS graph_id, 1 AS is_optimal, 0::BIGINT AS over_bound FROM nodes", o.TRADE),
+        "exact_cover_small": over("SELECT sets.g AS graph_id, min(bit_count(sets.s))::BIGINT AS size FROM sets LEFT JOIN bad ON bad.g = sets.g AND bad.s = sets.s WHERE bad.s IS NULL GROUP BY sets.g", o.SUPPLIERS, BRUTE),
+        "bipartite_check": over("SELECT DISTINCT g AS graph_id, 1 AS is_bipartite FROM nodes", o.TRADE),
+        "class_balance": over("SELECT count(*) FILTER (label = 1)::BIGINT AS n_positive, count(*) FILTER (label = 0)::BIGINT AS n_negative, round(count(*) FILTER (label = 0) / greatest(count(*) FILTER (label = 1), 1), 6) AS scale_pos_weight FROM sc", more=scored_sql),
+        "group_folds": over(
+            "SELECT g AS graph_id, CASE WHEN ((k - 1) // 5) % 2 = 0 THEN (k - 1) % 5 ELSE 4 - (k - 1) % 5 END::BIGINT AS fold FROM (SELECT g, row_number() OVER (ORDER BY sum(label) DESC, g) AS k FROM sc GROUP BY g)", more=scored_sql
+        ),
+        "threshold_tuning": over(
+            "SELECT g AS graph_id, round(CASE WHEN f1 > 0 THEN p ELSE 0.5 END, 6) AS threshold, round(f1, 6) AS f1 FROM tt QUALIFY row_number() OVER (PARTITION BY g ORDER BY f1 DESC, p) = 1",
+            more=scored_sql + ", tc AS (SELECT g, p, sum(label) AS c, count(*) AS k FROM sc GROUP BY ALL), tt AS (SELECT g, p, round(coalesce(2.0 * sum(c) OVER w / nullif(sum(k) OVER w + sum(c) OVER (PARTITION BY g), 0), 0), 12) AS f1 FROM tc WINDOW w AS (PARTITION BY g ORDER BY p DESC))",
+        ),
+        "clf_metrics": over(
+            f"SELECT g AS graph_id, {r6(clf_f1='coalesce(2.0 * tp / nullif(pp + p, 0), 0)', clf_auc='CASE WHEN p > 0 AND p < n THEN (r - p * (p + 1) / 2.0) / (p * (n - p)) END', clf_precision='coalesce(tp / nullif(pp, 0), 0)', clf_recall='coalesce(tp / nullif(p, 0), 0)')} FROM ag",
+            more=scored_sql + ", rk AS (SELECT g, label, (p >= 0.4)::INT AS pred, rank() OVER (PARTITION BY g ORDER BY p) + (count(*) OVER (PARTITION BY g, p) - 1) / 2.0 AS r FROM sc), ag AS (SELECT g, sum(pred * label)::DOUBLE AS tp, sum(pred)::DOUBLE AS pp, sum(label)::DOUBLE AS p, count(*)::DOUBLE AS n, sum(r * label) AS r FROM rk GROUP BY g)",
+        ),
+        "quality_metrics": "SELECT o_orderkey, round((o_custkey % 90 + 10 - o_custkey % 70) / greatest(o_custkey % 70, 1), 6) AS optimality_gap, round(o_totalprice / 1000 / greatest(o_custkey % 9 * 0.37::DOUBLE, 1e-9), 6) AS speedup FROM orders",
+        "eval_by_source_rollup": over(f"SELECT CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS source, count(*)::BIGINT AS n_graphs, {r6(**{f'mean_{m}': f'avg({m})' for m in metrics})} FROM ev6 GROUP BY ROLLUP (source)", more=EVAL),
+        "eval_summary": over(" UNION ALL ".join(f"SELECT '{m}' AS metric, {r6(mean=f'avg({m})', std=f'stddev_samp({m})', median=f'quantile_cont({m}, 0.5)')} FROM ev6" for m in metrics), more=EVAL),
+        "wilcoxon": f"WITH {RUNS}, df AS (SELECT config, speedup - 1.0 AS x, round(abs(speedup - 1.0), 12) AS a FROM runs WHERE speedup <> 1), tk AS (SELECT *, count(*) OVER (PARTITION BY config, a) AS t, rank() OVER (PARTITION BY config ORDER BY a) AS r FROM df) SELECT config, round(sum(CASE WHEN x > 0 THEN r + (t - 1) / 2.0 ELSE 0 END), 6) AS w_plus, count(*)::BIGINT AS n_used, sum(t * t - 1)::DOUBLE AS ties FROM tk GROUP BY config",
+        "bootstrap_ci": f"WITH {RUNS}, vv AS MATERIALIZED (SELECT config, speedup AS x, row_number() OVER (PARTITION BY config ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY config) AS n FROM runs), dw AS (SELECT config, b, ('0x' || md5(b || ':' || i)[1:8])::BIGINT % n AS i FROM vv, range(50) t(b)), mm AS (SELECT dw.config, b, avg(x) AS mean FROM dw JOIN vv ON vv.config = dw.config AND vv.i = dw.i GROUP BY ALL) SELECT config, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM mm GROUP BY config",
+        "cohens_d": f"WITH {RUNS}, cd AS (SELECT config, avg(speedup) FILTER (run = 0) AS ma, avg(speedup) FILTER (run = 1) AS mb, var_samp(speedup) FILTER (run = 0) AS va, var_samp(speedup) FILTER (run = 1) AS vb, count(*) FILTER (run = 0) AS na, count(*) FILTER (run = 1) AS nb FROM runs GROUP BY config) SELECT config, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohens_d FROM cd",
+        "summarise_runs": f"WITH {RUNS} {SUMMARY}",
+        "compare_configs": f"WITH {RUNS} SELECT *, row_number() OVER (ORDER BY median_speedup DESC, config)::BIGINT AS place FROM ({SUMMARY})",
+        "sensitivity_table": f"WITH {RUNS.replace('runs AS', 'runs0 AS')}, runs AS (SELECT * REPLACE ('pt=' || (run * 0.05)::DECIMAL(4, 2) AS config) FROM runs0) {SUMMARY}",
+        "experiment_grid": "SELECT * FROM (VALUES ('1', 7, 7), ('2', 5, 5), ('2b', 6, 6), ('2c', 5, 5), ('3', 5, 5), ('4', 3, 3), ('5', 2, 2), ('sensitivity', 16, 16), ('realworld', 4, 4), ('ablation', 55, 11)) t(grp, n_runs, n_configs)",
+        "core_number_rounds": over(f"SELECT {ID}, c::DOUBLE AS rw_core_number FROM c{o.CORES}", more=o.core_sql(o.CORES)),
+    }
+    from lattica.operators import learning
+    from lattica.plans import pipelines
+    from lattica.sources import catalogue, files
+
+    for module in (files, catalogue, features, learning, pipelines):
+        out |= module.oracle_sql()
+    return out
