@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.graphs import KEY, GraphSet
+from lattica.functions.orbits import five_node_counts
+from lattica.graphs import KEY, GraphSet, per_node
 
 def zero() -> Column:
     """0.0; made when used, since literals need a session and workers import this module without one."""
@@ -201,7 +202,8 @@ ROLES = {3: (8, 9, 9, 9), 4: (16, 17, 17, 16), 5: (20, 21, 21, 22), 6: (24, 24,
 
 
 def gdv(g: GraphSet, d: DataFrame | None = None, max_graphlet_size: int = 4) -> DataFrame:
-    """73 orbit columns; 3-node orbits in closed form, 4-node ones by positions in id order and edge counts, later ones 0."""
+    """73 orbit columns: 3-node orbits in closed form, 4-node ones by positions in id order and edge counts, 5-node ones
+    (max_graphlet_size 5 only, else 0) from a bounded sample in id order."""
     out = orbit3(g, d).select(*KEY, F.col("orbit_0").alias("o0"), F.col("orbit_1").alias("o1"), F.col("orbit_3").alias("o3"))
     have = {0: "o0", 1: "o1", 3: "o3"}
     if max_graphlet_size >= 4:
@@ -212,6 +214,11 @@ def gdv(g: GraphSet, d: DataFrame | None = None, max_graphlet_size: int = 4) ->
         counts = seen.groupBy(*KEY).agg(*(F.count(F.when(F.col("orbit") == o, 1)).alias(f"q{o}") for o in orbits))
         out = out.join(counts, KEY, "left")
         have |= {o: f"q{o}" for o in orbits}
+    if max_graphlet_size >= 5:
+        late = [k for k in range(28, 73) if (k - 28) % 3 == 0 or k == 72]
+        five = per_node(g, lambda x: dict(zip([f"f{k}" for k in late], five_node_counts(x)[:, late].T, strict=True)), [f"f{k}" for k in late])
+        out = out.join(five, KEY, "left")
+        have |= {k: f"f{k}" for k in late}
     return out.select(*KEY, *((F.coalesce(F.col(have[k]).cast("double"), zero()) if k in have else zero()).alias(f"gdv_orbit_{k}") for k in range(73)))
 
 
