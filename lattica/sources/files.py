@@ -184,7 +184,7 @@ def convert_encoded(rows: DataFrame, min_nodes: int = 0, max_nodes: int = 10**9,
     """
     numbers = lambda c: F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"-?\d+"), F.lit(0)), lambda x: x.cast("int"))
     own = rows.filter("task = 'min_vertex_cover'").withColumn("ns", numbers("nodes")).filter(F.size("ns") > 0)
-    own = own.withColumns({"n_nodes": F.element_at("ns", -1), "flat": numbers("edges"), "mvc": F.transform(numbers("answer"), lambda x: x - 1)})
+    own = own.withColumns({"n_nodes": F.try_element_at("ns", F.lit(-1)), "flat": numbers("edges"), "mvc": F.transform(numbers("answer"), lambda x: x - 1)})
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("flat") / 2).cast("int") - 1, F.lit(0))), lambda i: F.array(F.get("flat", 2 * i) - 1, F.get("flat", 2 * i + 1) - 1))
     good = own.filter(~F.exists("mvc", lambda x: (x < 0) | (x >= F.col("n_nodes"))) & F.col("n_nodes").between(min_nodes, max_nodes))
     out = numbered(good.withColumn("edges", F.when(F.size("flat") >= 2, pairs).otherwise(F.array().cast("array<array<int>>"))), F.col("id"))
@@ -195,7 +195,7 @@ def convert_encoded(rows: DataFrame, min_nodes: int = 0, max_nodes: int = 10**9,
 def read_results(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """All */pipeline_results.csv below folder with config (the run's directory without its time) and run."""
     rows = spark.read.schema(RESULTS).option("header", True).csv(f"{folder}/{pattern}/pipeline_results.csv")
-    run = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    run = F.regexp_extract("_metadata.file_path", r"([^/]+)/pipeline_results\.csv", 1)  # one file, or a folder of Spark's
     return rows.withColumns({"run": run, "config": strip_timestamp(run)})
 
 
