@@ -35,7 +35,8 @@ from lattica.llm.common import map_batches, map_rows, replaced, total, written
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 STEMS = (4, 5, 6)
 FIT_ROWS = 20_000
-FLUSH = 200_000
+#: Features counted, and words remembered, before the counts go out or the words are forgotten.
+FLUSH, SEEN = 150_000, 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -60,17 +61,17 @@ class Model:
 
     def weight(self, word: str) -> float:
         if (w := self.seen.get(word)) is None:
-            if len(self.seen) > 500_000:
+            if len(self.seen) >= SEEN:
                 self.seen.clear()
             w = self.seen[word] = max((self.weights[f] for f in features(word) if f in self.weights), default=self.drift)
         return w
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Every maximal scoring segment, as (first word, end, score)."""
-        high = {w for w in set(words) if self.weight(w) > 0}
+        high = {w: x for w in set(words) if (x := self.weight(w)) > 0}
         if not high:
             return []
-        return maximal_segments([(i, self.seen[w]) for i, w in enumerate(words) if w in high], self.drift)
+        return maximal_segments([(i, high[w]) for i, w in enumerate(words) if w in high], self.drift)
 
     def evidence(self, n: int, segments: list[tuple[int, int, float]]) -> tuple[list[tuple[int, int, float, float]], float, float]:
         """Significant segments with their E-values; the most and the total evidence in nats."""

@@ -73,3 +73,10 @@ def test_odd_rows(spark):
         out = tx.score(docs, tx.fit(docs, own)).collect()
         assert len(out) == len(ODD) and all(0 <= r.score <= 1 and math.isfinite(r.score) for r in out)
     assert tx.op6(docs.limit(0), labels).count() == 0
+
+
+def test_more_words_than_the_cache_holds(monkeypatch):
+    model = tx.Model(weights={f"bad{i}": 3.0 for i in range(50)})
+    monkeypatch.setattr(tx, "SEEN", 7)
+    words = [w for i in range(50) for w in (f"bad{i}", f"good{i}")]
+    assert len(model.segments(words)) == 1 and len(model.seen) <= 8
