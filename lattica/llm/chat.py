@@ -21,7 +21,6 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lattica.llm.common import map_batches
+from lattica.llm.common import held, map_batches
 
 HEAD, BREAK, END = "### ", ":\n", "</turn>\n"
 ESCAPE = re.compile(r"([\\#<:])").sub
@@ -60,8 +59,11 @@ def unescaped(text: str) -> str:
     return UNESCAPE(r"\1", text)
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    return held(("tokenizer", path), lambda: _read_tokenizer(path))
+
+
+def _read_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -104,7 +106,7 @@ def _format(path: str, part_chars: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, schema = _tokenizer(path), to_arrow_schema(PARTS)
-        now, number, texts, turns, size, held, weight = None, 0, [], [], 0, [], 0
+        now, number, texts, turns, size, done, weight = None, 0, [], [], 0, [], 0
 
         def flush(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -114,7 +116,7 @@ def _format(path: str, part_chars: int):
                 if now is None or now != (conv,) or size >= part_chars:
                     if now is not None:
                         same = now == (conv,)
-                        held.append(part(tokenizer, now[0], number, not same, texts, turns))
+                        done.append(part(tokenizer, now[0], number, not same, texts, turns))
                         weight += size
                         number = number + 1 if same else 0
                     now, texts, turns, size = (conv,), [], [], 0
@@ -124,12 +126,12 @@ def _format(path: str, part_chars: int):
                 texts.append(head + body + END)
                 size += len(texts[-1])
                 if weight >= part_chars:
-                    yield flush(held)
-                    held, weight = [], 0
+                    yield flush(done)
+                    done, weight = [], 0
         if now is not None:
-            held.append(part(tokenizer, now[0], number, True, texts, turns))
-        if held:
-            yield flush(held)
+            done.append(part(tokenizer, now[0], number, True, texts, turns))
+        if done:
+            yield flush(done)
 
     return run
 

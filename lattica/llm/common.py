@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +19,23 @@ from lattica.session import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of an Arrow batch that are Python objects at one time.
+ROWS = 512
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """A worker's vocabulary, automaton or cache: one at a time, so operators that follow each other in a worker don't add up."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library can, give the memory back
+                ctypes.CDLL(None).malloc_trim(0)
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +75,7 @@ def replaced(schema: T.StructType, *fields: T.StructField) -> T.StructType:
 
 
 def map_rows(df: DataFrame, schema: T.StructType, inputs: list[str], compute: Callable[..., dict[str, list]]) -> DataFrame:
-    """Add computed columns to df, one Arrow batch at a time.
+    """Add computed columns to df, ROWS rows of an Arrow batch at a time.
 
     compute gets a Python list for each input column and returns a list for each of the schema's
     columns that is not passed through. Columns of df that the schema does not name are dropped.
@@ -66,7 +86,7 @@ def map_rows(df: DataFrame, schema: T.StructType, inputs: list[str], compute: Ca
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out = compute(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
             columns = [pa.array(out[f.name], f.type) if f.name in out else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in target]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, f.type) for f in target]))

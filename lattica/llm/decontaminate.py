@@ -13,14 +13,14 @@ null item_id is left out; repeated rows get equal results; an empty benchmark hi
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import map_rows, replaced
+from lattica.llm.common import held, map_rows, replaced
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -132,9 +132,8 @@ class Automaton:
         return runs, found
 
 
-@lru_cache(maxsize=1)
 def _automaton(items: tuple, width: int) -> Automaton:
-    return Automaton(list(items), width)
+    return held(("automaton", items, width), lambda: Automaton(list(items), width))
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
@@ -164,51 +163,67 @@ def _merge_runs(runs: list) -> list:
     return out
 
 
+def _scanner(sent, width: int):
+    """texts, and the runs and items of earlier blocks if there were any, to HITS."""
+
+    def scan(texts: list, had_runs: list | None = None, had_items: list | None = None) -> dict[str, list]:
+        automaton = _automaton(sent.value, width)
+        n_words, runs, items = [], [], []
+        for i, text in enumerate(texts):
+            words = WORD.findall(folded(text))
+            got, found = automaton.scan(words)
+            n_words.append(len(words))
+            runs.append(_merge_runs([*got, *had_runs[i]]) if had_runs and had_runs[i] else [[int(a), int(z)] for a, z in got])
+            items.append(sorted(found.union(had_items[i] or ()) if had_items else found))
+        return {"n_words": n_words, "hit_runs": runs, "item_ids": items}
+
+    return scan
+
+
+def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, width: int, block_words: int) -> tuple[DataFrame, Callable, list[str]]:
+    """docs with the hits of all blocks but the last; the last block's scanner and its input columns."""
+    out, last, inputs = docs, None, [text_col]
+    for block in item_blocks(benchmark, item_col, item_text, block_words):
+        if last is not None:
+            out, inputs = map_rows(out, replaced(out.schema, *HITS.fields), inputs, last), [text_col, "hit_runs", "item_ids"]
+        last = _scanner(docs.sparkSession.sparkContext.broadcast(block), width)
+    return out, last, inputs
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 200_000) -> DataFrame:
     """docs with n_words, hit_runs (word positions [first, end) of merged hits) and item_ids (sorted)."""
-    sc, out = docs.sparkSession.sparkContext, docs
-    for k, block in enumerate(item_blocks(benchmark, item_col, item_text, block_words)):
-        sent = sc.broadcast(block)
-
-        def scan(texts, *before, sent=sent):
-            automaton = _automaton(sent.value, width)
-            n_words, runs, items = [], [], []
-            old = zip(*before, strict=True) if before else ((None, None) for _ in texts)
-            for text, (had_runs, had_items) in zip(texts, old, strict=True):
-                words = WORD.findall(folded(text))
-                got, found = automaton.scan(words)
-                n_words.append(len(words))
-                runs.append(_merge_runs([*got, *had_runs]) if had_runs else [[int(a), int(z)] for a, z in got])
-                items.append(sorted(found.union(had_items or ())))
-            return {"n_words": n_words, "hit_runs": runs, "item_ids": items}
-
-        out = map_rows(out, replaced(out.schema, *HITS.fields), [text_col, *(("hit_runs", "item_ids") if k else ())], scan)
-    return out
+    out, last, inputs = _with_hits(docs, benchmark, text_col, item_col, item_text, width, block_words)
+    return map_rows(out, replaced(out.schema, *HITS.fields), inputs, last)
 
 
-def _removed(texts: list, runs: list) -> dict[str, list]:
-    out = []
-    for text, own in zip(texts, runs, strict=True):
-        if own:
-            raw, spans = text.encode("utf-8", "surrogatepass"), [m.span() for m in WORD.finditer(folded(text))]
-            parts, at = [], 0
-            for a, z in own:
-                parts.append(raw[at : spans[a][0]])
-                at = spans[z - 1][1]
-            out.append(b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass"))
-        else:
-            out.append(text)
-    return {"__text": out}
+def cut(text: str | None, runs: list) -> str | None:
+    """text without the hit words of each run and what lies between them."""
+    if not runs:
+        return text
+    raw, spans = text.encode("utf-8", "surrogatepass"), [m.span() for m in WORD.finditer(folded(text))]
+    parts, at = [], 0
+    for a, z in runs:
+        parts.append(raw[at : spans[a][0]])
+        at = spans[z - 1][1]
+    return b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = 0.5, item_col: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 200_000) -> DataFrame:
+    """docs without the hit spans; documents of which more than max_coverage of the words are hit go whole.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = 0.5, **how) -> DataFrame:
-    """docs without the hit spans; documents of which more than max_coverage of the words are hit go whole."""
+    The last block's scan also cuts, so with one block texts go through Python once.
+    """
     packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text_col).alias("__text"))
-    hits = find_hits(packed, benchmark, "__text", **how)
-    n_hit = F.aggregate("hit_runs", F.lit(0).cast("long"), lambda acc, r: acc + r[1] - r[0])
-    kept = hits.filter(n_hit <= F.col("n_words") * F.lit(max_coverage))
-    cut = map_rows(kept, packed.schema, ["__text", "hit_runs"], _removed)
-    return cut.select(*(F.col("__text").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns))
+    out, last, inputs = _with_hits(packed, benchmark, "__text", item_col, item_text, width, block_words)
+
+    def finish(texts: list, *before: list) -> dict[str, list]:
+        hits = last(texts, *before)
+        keep = [sum(z - a for a, z in runs) <= n * max_coverage for n, runs in zip(hits["n_words"], hits["hit_runs"], strict=True)]
+        return {"__keep": keep, "__text": [cut(t, r) if k else None for t, r, k in zip(texts, hits["hit_runs"], keep, strict=True)]}
+
+    schema = T.StructType([packed.schema["__doc"], packed.schema["__text"], T.StructField("__keep", T.BooleanType())])
+    kept = map_rows(out, schema, inputs, finish).filter("__keep")
+    return kept.select(*(F.col("__text").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns))
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

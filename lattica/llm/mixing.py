@@ -29,26 +29,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import checkpointed, map_rows, replaced, written
+from lattica.llm.common import checkpointed, held, map_rows, replaced, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.8, "lang": 0.7, "topic": 0.5}
 ROUNDS, KEEP, MAX_CELLS = 15, 0.8, 200_000
-_topics: dict[str, int] = {}
 
 
 def profile_text(text: str | None) -> tuple[int, int]:
     """Words and topic of a text."""
     words = WORD.findall((text or "").translate(FOLD))
     counts: Counter = Counter()
+    topics = held(("topics",), dict)
     for w in set(words):
         if len(w) >= 5:
-            if (k := _topics.get(w)) is None:
-                if len(_topics) > 300_000:
-                    _topics.clear()
-                k = _topics[w] = int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[0], 16) // 2
+            if (k := topics.get(w)) is None:
+                if len(topics) > 200_000:
+                    topics.clear()
+                k = topics[w] = int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[0], 16) // 2
             counts[k] += 1
     return len(words), min(counts, key=lambda k: (-counts[k], k), default=0)
 

@@ -11,20 +11,22 @@ Defined cases: null or empty text has length 0; repeated rows count each; an emp
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import map_rows, written
+from lattica.llm.common import held, map_rows, written
 
 BLOCK = 256
 
 
-@lru_cache(maxsize=2)
 def _encoding(path: str, pattern: str):
+    return held(("ranks", path, pattern), lambda: _read_encoding(path, pattern))
+
+
+def _read_encoding(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
