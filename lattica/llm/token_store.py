@@ -17,9 +17,13 @@ next to each other (ordered by their roots); null ids come first; an empty table
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,35 +32,121 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import map_rows, shared_dir
+from lattica.llm.common import held, map_rows, shared_dir
 
-#: Chunks: about `mean` ids, at most `longest`; the rolling hash covers `reach` ids.
-MEAN, LONGEST, REACH = 512, 8192, 16
-CACHE = 300_000
+#: Chunks: about `mean` ids (a power of two), at most `longest`; the rolling hash covers `reach` ids.
+MEAN, LONGEST, REACH = 512, 8192, 8
+#: Entries of a generation of a word cache.
+CACHE = 250_000
+#: Hashes of chunks a task remembers at least.
+SEEN = 200_000
+#: Characters, or bytes of ids, that are worked on at once.
+GROUP = 1 << 18
 
 
-@lru_cache(maxsize=2)
-def _words(path: str) -> tuple:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: A word of letters that neither compose nor change length in lower case, and ASCII marks after it (no apostrophe).
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
-    tokenizer = Tokenizer.from_file(path)
-    return tokenizer, {}, np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+
+#: Characters beyond Latin-1, within which nothing composes and lower case goes letter by letter.
+BEYOND = re.compile("[^\x00-\xff]").search
+
+
+class Encoder:
+    """A tokenizer of the library with word caches of bounded size.
+
+    Its pieces never span a space or a line feed, so what stands between those is encoded once and looked
+    up after that. A plain word's letters are one piece and the marks after it another; if the
+    tokenizer is of the known kind, letters in lower case go to the same model without the normaliser
+    and the splitting pattern, which would leave them as they are.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.chunks, self.marks = Memo(CACHE), Memo(CACHE // 10)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.bare = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and "[\\p{L}]+" in splits[0]["pattern"]["Regex"]:
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": splits[1]}))
+
+    def _fresh(self, tokenizer, texts: list[str]) -> dict[str, bytes]:
+        kind = "H" if self.kind.itemsize == 2 else "I"
+        return {t: array(kind, e.ids).tobytes() for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+
+    def _encode(self, new: list[str]) -> dict[str, bytes]:
+        """The ids of chunks that are not in the cache."""
+        if self.bare is None:
+            return self._fresh(self.whole, new)
+        out, cores, marks = {}, {}, {}
+        for w in new:
+            if m := PLAIN(w):
+                cores[w], marks[w] = m.groups()
+        plain = list({c.lower() for c in cores.values()})
+        ids = self._fresh(self.bare, plain)
+        tails = self.marks.filled(set(marks.values()), lambda texts: self._fresh(self.whole, texts))
+        for w, c in cores.items():
+            out[w] = ids[c.lower()] + tails[marks[w]]
+        if len(cores) < len(new):
+            out |= self._fresh(self.whole, [w for w in new if w not in cores])
+        return out
+
+    def encode(self, texts: list) -> Iterator[bytes]:
+        """The ids of each text; words are looked up for about GROUP characters of texts at once."""
+        group, size = [], 0
+        for text in texts:
+            text = text or ""
+            if self.bare is not None and "<|" not in text and not BEYOND(text):
+                text = text.lower()  # as the tokenizer will; fewer words to look up
+            group.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[str]]) -> list[bytes]:
+        known = self.chunks.filled(set().union(*group), self._encode).__getitem__
+        return [b"".join(map(known, words)) for words in group]
+
+
+class Memo:
+    """A dict in two generations of about size entries and 64 * size bytes each; what is in use moves to the new one."""
+
+    def __init__(self, size: int):
+        self.size, self.weight, self.new, self.old = size, 0, {}, {}
+
+    def filled(self, wanted: set[str], make) -> dict[str, bytes]:
+        """A dict that has all of wanted; make gets a list of the missing ones."""
+        missing = wanted.difference(self.new)
+        if not missing:
+            return self.new
+        if len(self.new) + len(missing) > self.size or self.weight > 64 * self.size:
+            self.old, self.new, self.weight, missing = self.new, {}, 0, wanted
+        if self.old:
+            known = {w: self.old[w] for w in missing if w in self.old}
+            self.new.update(known)
+            missing = missing.difference(known)
+        if missing:
+            made = make(list(missing))
+            self.weight += sum(map(len, made)) + sum(map(len, made.values()))
+            self.new.update(made)
+        return self.new
+
+
+def _encoder(path: str) -> Encoder:
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def encode(text: str | None, path: str) -> bytes:
-    """The ids of text. The tokenizer's pieces never span a space or a line feed, so each word that
-    stands between those is encoded once by the library and looked up after that."""
-    tokenizer, cache, kind = _words(path)
-    words = (text or "").replace("\n", " ").split(" ")
-    new = list(set(words).difference(cache))
-    if new:
-        ids = {w: np.array(e.ids, kind).tobytes() for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-        cache.update((w, x) for w, x in ids.items() if len(w) <= 64)
-        return b"".join([x if (x := cache.get(w)) is not None else ids[w] if w in ids else ids.setdefault(w, np.array(tokenizer.encode(w, add_special_tokens=False).ids, kind).tobytes()) for w in words])
-    return b"".join(map(cache.__getitem__, words))
+    """The ids of text, little-endian."""
+    return next(_encoder(path).encode([text]))
 
 
 @lru_cache(maxsize=1)
@@ -68,24 +158,32 @@ def _gear(size: int) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def cut_points(ids: np.ndarray, mean: int = MEAN, longest: int = LONGEST) -> list[int]:
-    """Ends of the chunks of a stream."""
-    roll = np.zeros(len(ids), np.uint32)
+def cuts(ids: np.ndarray, mean: int = MEAN) -> np.ndarray:
+    """Ends of chunks wherever the hash of the last REACH ids says so; streams may follow each other in ids."""
     gear = _gear(1 << 16)[ids & 0xFFFF]
-    for j in range(min(REACH, len(ids))):
+    roll = gear.copy()
+    for j in range(1, min(REACH, len(ids))):
         roll[j:] += gear[: len(ids) - j] << np.uint32(j)
-    cuts = (np.flatnonzero((roll >> np.uint32(REACH - 1)) % np.uint32(mean) == 0) + 1).tolist()
-    out, last = [], 0
-    for c in [*cuts, len(ids)]:
+    return np.flatnonzero((roll >> np.uint32(REACH - 1)) & np.uint32(mean - 1) == 0) + 1
+
+
+def ends_of(found: np.ndarray, start: int, end: int, longest: int = LONGEST) -> list[int]:
+    """Ends of the chunks of one stream within ids: none before REACH ids, none longer than longest."""
+    out, last = [], start
+    for c in [*found[np.searchsorted(found, start + REACH) : np.searchsorted(found, end)].tolist(), end]:
         while c - last > longest:
             last += longest
             out.append(last)
-        if c > last:
-            out.append(c)
-            last = c
+        out.append(c)
+        last = c
     return out
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of a stream."""
+    return ends_of(cuts(ids), 0, len(ids))
+
+
 def merkle(hashes: list[bytes]) -> bytes:
     """Root over pairs; leaves and nodes are told apart, an odd one moves up."""
     level = [hashlib.sha256(b"\0" + h).digest() for h in hashes] or [hashlib.sha256(b"").digest()]
@@ -95,24 +193,42 @@ def merkle(hashes: list[bytes]) -> bytes:
 
 
 def _chunked(path: str, end_id: int):
+    seen: set[bytes] = set()  # chunks that this task has given out, or the last of them
+
     def run(texts: list) -> dict[str, list]:
-        n_tokens, hashes, fresh, roots, seen = [], [], [], [], set()
-        kind = _words(path)[2]
-        tail = np.array([end_id], kind).tobytes()
-        for text in texts:
-            stream = encode(text, path) + tail
-            ids, at, own, new = np.frombuffer(stream, kind), 0, [], []
-            for end in cut_points(ids):
-                part = stream[at * kind.itemsize : end * kind.itemsize]
-                own.append(h := hashlib.sha256(part).digest())
-                if h not in seen:
-                    seen.add(h)
-                    new.append({"hash": h, "ids": part})
-                at = end
-            n_tokens.append(len(ids))
-            hashes.append(own)
-            fresh.append(new)
-            roots.append(merkle(own))
+        n_tokens, hashes, fresh, roots = [], [], [], []
+        if len(seen) > SEEN:
+            seen.clear()
+        encoder = _encoder(path)
+        kind, tail = encoder.kind, np.array([end_id], encoder.kind).tobytes()
+
+        def store(streams: list[bytes]) -> None:
+            whole, at = b"".join(streams), 0
+            found, size = cuts(np.frombuffer(whole, kind)), kind.itemsize
+            for stream in streams:
+                n, own, new = len(stream) // size, [], []
+                first = at
+                for end in ends_of(found, first, first + n):
+                    part = whole[at * size : end * size]
+                    own.append(h := hashlib.sha256(part).digest())
+                    if h not in seen:
+                        seen.add(h)
+                        new.append({"hash": h, "ids": part})
+                    at = end
+                n_tokens.append(n)
+                hashes.append(own)
+                fresh.append(new)
+                roots.append(merkle(own))
+
+        group, n_bytes = [], 0
+        for stream in encoder.encode(texts):
+            group.append(stream + tail)
+            n_bytes += len(stream)
+            if n_bytes >= GROUP:
+                store(group)
+                group, n_bytes = [], 0
+        if group:
+            store(group)
         return {"n_tokens": n_tokens, "chunks": hashes, "fresh": fresh, "root": roots}
 
     return run
