@@ -2,7 +2,8 @@
 
 Lines are exploded and hashed; the hashes alone are shuffled and counted (min and max of the ids
 are combined on the map side, so one line in a third of all documents costs one row a task). The
-doomed positions are gathered per document and the text is reassembled by position.
+doomed positions are gathered per document and the text is reassembled by position. Nothing that grows
+is broadcast by hint; where a join meets one hash very often, adaptive execution splits its rows.
 
 Defined cases: null or empty text is one empty line; null ids never share a line and lose none;
 rows that repeat an id count as one document and keep or lose lines alike; an empty table stays
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import ascii_lower, map_rows, replaced
+from lattica.llm.common import ascii_lower, map_rows, replaced, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -41,11 +42,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # 128 bits: two hashes under seeds that do not follow from each other
         .select("__id", "__row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     )
+    keyed = written(keyed, "lines")  # texts are split once; hashes are what is read again
     if min_docs <= 2:
         shared = keyed.groupBy("h1", "h2").agg(F.min("__id").alias("keep"), F.max("__id").alias("last")).filter("keep < last")
     else:
         shared = keyed.select("h1", "h2", "__id").distinct().groupBy("h1", "h2").agg(F.min("__id").alias("keep"), F.count("*").alias("n")).filter(F.col("n") >= min_docs)
-    doomed = keyed.join(shared.select("h1", "h2", "keep"), ["h1", "h2"]).filter("__id <> keep")
+    # written, so that the join deals out both its sides itself and may split a hash with very many lines
+    doomed = keyed.join(written(shared.select("h1", "h2", "keep"), "shared-lines"), ["h1", "h2"]).filter("__id <> keep")
     return doomed.groupBy("__id", "__row").agg(F.collect_set("pos").alias("positions"))
 
 
