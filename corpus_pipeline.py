@@ -13,10 +13,19 @@ from lattica.llm import decontaminate, mixing, simhash, token_store, toxicity
 from lattica.llm.common import table, written
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and the whole row as one, which no column of an operator can touch."""
+    return docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", "lang", "source")
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("__doc.*")
+
+
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is 0.5 or more go."""
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score(_packed(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return _unpacked(scored.filter("predicted = 0"))
 
 
 def _near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +44,7 @@ def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn by their cell's calibrated probability."""
-    return mixing.mix(mixing.profiled(docs)).filter("kept").select(*docs.columns)
+    return _unpacked(mixing.mix(mixing.profiled(_packed(docs))).filter("kept"))
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

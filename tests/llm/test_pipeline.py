@@ -77,3 +77,12 @@ def test_stages_take_odd_rows(spark):
             now = written(stage(spark, now, SF), "test-odd")
         assert now.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
         assert docs is odd or now.count() == 0
+
+
+def test_columns_with_the_operators_names_pass_through(spark):
+    names = ("score", "predicted", "passages", "held_out", "fp", "component_id", "hit_runs", "item_ids", "topic", "n_tokens", "probability", "kept")
+    docs = docs_of(spark, [f"plain words number {i} with more and more of them {i * 7}" for i in range(20)], ", ".join(f"{n} string" for n in names), names)
+    for _, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "test-names")
+        assert docs.columns[-len(names) :] == list(names) and {tuple(r) for r in docs.select(*names).collect()} == {names}
+    assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0
