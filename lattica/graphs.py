@@ -27,9 +27,9 @@ class GraphSet:
 
     @property
     def adj(self) -> DataFrame:
-        """(graph_id, v, u): every edge from both ends."""
-        e = self.edges.select("graph_id", "src", "dst")
-        return e.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("u")).union(e.select("graph_id", F.col("dst").alias("v"), F.col("src").alias("u")))
+        """(graph_id, v, u): every edge from both ends, in one pass over the edges."""
+        ends = F.array(F.struct(F.col("src").alias("v"), F.col("dst").alias("u")), F.struct(F.col("dst").alias("v"), F.col("src").alias("u")))
+        return self.edges.select("graph_id", F.inline(ends))
 
     @property
     def spark(self):
@@ -91,7 +91,9 @@ def per_graph(g: GraphSet, work: Callable[[Local], pd.DataFrame], schema: str |
             if out:
                 yield pd.concat(out, ignore_index=True)
 
-    return packed(g).mapInPandas(run, schema)
+    # a stated number of partitions, since little data may be much work: adaptive execution would merge them
+    n = max(g.spark.sparkContext.defaultParallelism, int(g.spark.conf.get("spark.sql.shuffle.partitions")))
+    return packed(g).repartition(n, "graph_id").mapInPandas(run, schema)
 
 
 def per_node(g: GraphSet, columns: dict[str, Callable[[Local], np.ndarray]] | Callable[[Local], dict[str, np.ndarray]], names: list[str] | None = None, kind: str = "double") -> DataFrame:

@@ -276,7 +276,7 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
         "size_filter_limit": over("SELECT g AS graph_id, n::BIGINT AS n_nodes FROM gs WHERE n BETWEEN 5 AND 90 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY g) <= 4", more=STATS),
         "evaluation_subset": over("SELECT * FROM (SELECT g AS graph_id, n::BIGINT AS n_nodes FROM gs ORDER BY g LIMIT 20) WHERE n_nodes >= 75", more=STATS),
         "node_labels": over(f"SELECT {ID}, -1 AS label FROM nodes"),
-        "corpus_union": f"WITH a AS (WITH {o.PARTS} q AS (SELECT DISTINCT g FROM nodes) SELECT 0 AS s, 'parts' AS dataset, g AS old_id FROM q), b AS (WITH {o.SUPPLIERS} q AS (SELECT DISTINCT g FROM nodes) SELECT 1 AS s, 'suppliers' AS dataset, g AS old_id FROM q) SELECT row_number() OVER (ORDER BY s, old_id) - 1 AS graph_id, dataset, old_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b)",
+        "corpus_union": f"WITH a AS (WITH {o.PARTS} q AS (SELECT DISTINCT g FROM nodes) SELECT 0 AS s, 'parts' AS dataset, g AS old_id FROM q), b AS (WITH {o.SUPPLIERS} q AS (SELECT DISTINCT g FROM nodes) SELECT 1 AS s, 'suppliers' AS dataset, g AS old_id FROM q) SELECT old_id * 2 + s AS graph_id, dataset, old_id FROM (SELECT * FROM a UNION ALL SELECT * FROM b)",
         "degree_features": over(f"SELECT {ID}, {DEGREE} FROM deg"),
         "neighbor_degree_stats": over(f"SELECT {ID}, {NEAR} FROM nodes LEFT JOIN nb USING (g, v)"),
         "return_prob": over(f"SELECT {ID}, {r6(rw_return_prob_t2='t2', rw_return_prob_t4='t2 * t2')} FROM ret", more=RETURN),
@@ -344,6 +344,15 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
         "greedy_scores": over(
             f"SELECT {ID}, {r6(prob='CASE WHEN list_contains(picked, v) THEN (len(picked) - list_position(picked, v) + 1) / len(picked) ELSE 0 END')} FROM nodes JOIN (SELECT g, picked FROM gr QUALIFY row_number() OVER (PARTITION BY g ORDER BY r DESC) = 1) USING (g)", more=GREEDY
         ),
+        "prune_greedy": over(
+            STATUS,
+            more=GREEDY + ", gp AS (SELECT g, picked FROM gr QUALIFY row_number() OVER (PARTITION BY g ORDER BY r DESC) = 1), " + o.pruned(0.1, 0.85).replace(o.PROBS, "pr AS MATERIALIZED (SELECT g, v, CASE WHEN list_contains(picked, v) THEN (len(picked) - list_position(picked, v) + 1) / len(picked) ELSE 0.0 END::DOUBLE AS p, n FROM deg JOIN gp USING (g))"),
+        ),
+        "pipeline_none": over(
+            "SELECT mc.g AS graph_id, any_value(n)::BIGINT AS n_nodes, any_value(m)::BIGINT AS n_edges, any_value(n)::BIGINT AS n_nodes_reduced, any_value(m)::BIGINT AS n_edges_reduced, any_value(mc.size) AS pipeline_cover_size, any_value(mc.size) AS baseline_cover_size, 0.0::DOUBLE AS optimality_gap, true AS cover_valid, 0.0::DOUBLE AS node_reduction, CASE WHEN any_value(m) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS edge_reduction, 0::BIGINT AS n_forced FROM mc JOIN deg USING (g) GROUP BY mc.g",
+            o.SUPPLIERS,
+            BRUTE + ", mc AS (SELECT sets.g, min(bit_count(sets.s))::BIGINT AS size FROM sets LEFT JOIN bad ON bad.g = sets.g AND bad.s = sets.s WHERE bad.s IS NULL GROUP BY sets.g)",
+        ),
         "matching_cover": over("SELECT g AS graph_id, unnest(used) AS node_id FROM (SELECT g, used FROM mt QUALIFY row_number() OVER (PARTITION BY g ORDER BY len(used) DESC) = 1)", more=MATCHING),
         "konig_cover": over("SELECT DISTINCT g AS graph_id, 1 AS is_optimal, 0::BIGINT AS over_bound FROM nodes", o.TRADE),
         "exact_cover_small": over("SELECT sets.g AS graph_id, min(bit_count(sets.s))::BIGINT AS size FROM sets LEFT JOIN bad ON bad.g = sets.g AND bad.s = sets.s WHERE bad.s IS NULL GROUP BY sets.g", o.SUPPLIERS, BRUTE),

@@ -34,8 +34,11 @@ def read_records(spark: SparkSession, path: str | list[str], tag: str | None = N
     """(graph_id, dataset, n_nodes, edges, mvc, source) of JSON arrays of records, in file order; the size filter comes before the cap, which holds per file."""
     raw = spark.read.schema(RECORD).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     rows = raw.filter("_corrupt_record is null and n_nodes is not null").withColumns({"file": F.col("_metadata.file_path"), "at": F.monotonically_increasing_id()})
-    kept = size_filter(numbered(rows, F.col("file"), F.col("at")), min_nodes, max_nodes, max_graphs, "file")
-    again = numbered(kept.drop("graph_id"), F.col("file"), F.col("at"))
+    kept = size_filter(rows.withColumn("graph_id", F.col("at")), min_nodes, max_nodes, max_graphs, "file").drop("graph_id")
+    # ids run on from file to file: a rank within the file plus the rows of the files before it; only counts meet
+    counts = kept.groupBy("file").agg(F.count("*").alias("k"))
+    offsets = counts.select("file", F.coalesce(F.sum("k").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    again = kept.join(F.broadcast(offsets), "file").withColumn("graph_id", (F.row_number().over(W.partitionBy("file").orderBy("at")) - 1 + F.col("before")).cast("long"))
     return again.select("graph_id", (F.lit(tag) if tag else F.col("source")).alias("dataset"), "n_nodes", "edges", "mvc", "source")
 
 
