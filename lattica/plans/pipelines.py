@@ -23,6 +23,7 @@ from lattica.plans.features import FeaturePipeline
 def evaluate(g: GraphSet, status: DataFrame, sources: DataFrame | None = None, solver: solvers.Solver | None = None, baseline: solvers.Solver | None = None, threshold: float = 0.5, scored: bool = False, feature_seconds: float = 0.0) -> DataFrame:
     """One row per graph with evaluation.RESULT_COLUMNS; status as pruning.prune gives it; sources(graph_id, source)."""
     solver, baseline = solver or solvers.Solver(), baseline or solvers.Solver()
+    g = GraphSet(checkpointed(g.nodes), checkpointed(g.edges))  # read by every step below
     began = time.perf_counter()
     status = checkpointed(status)
     n_graphs = max(g.nodes.select("graph_id").distinct().count(), 1)
@@ -97,6 +98,7 @@ def queries() -> dict:
     def run(name):
         def query(spark: SparkSession, d: str) -> DataFrame:
             g = tables.suppliers(spark, d)
+            g = GraphSet(checkpointed(g.nodes), checkpointed(g.edges))
             return evaluate(g, pruner(name)(g)).select(*fixed)
 
         return query

@@ -378,7 +378,7 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
         "summarise_runs": f"WITH {RUNS} {SUMMARY}",
         "compare_configs": f"WITH {RUNS} SELECT *, row_number() OVER (ORDER BY median_speedup DESC, config)::BIGINT AS place FROM ({SUMMARY})",
         "sensitivity_table": f"WITH {RUNS.replace('runs AS', 'runs0 AS')}, runs AS (SELECT * REPLACE ('pt=' || (run * 0.05)::DECIMAL(4, 2) AS config) FROM runs0) {SUMMARY}",
-        "experiment_grid": "SELECT * FROM (VALUES ('1', 7, 7), ('2', 5, 5), ('2b', 6, 6), ('2c', 5, 5), ('3', 5, 5), ('4', 3, 3), ('5', 2, 2), ('sensitivity', 16, 16), ('realworld', 4, 4), ('ablation', 55, 11)) t(grp, n_runs, n_configs)",
+        "experiment_grid": "SELECT grp, n_runs::BIGINT AS n_runs, n_configs::BIGINT AS n_configs FROM (VALUES ('1', 7, 7), ('2', 5, 5), ('2b', 6, 6), ('2c', 5, 5), ('3', 5, 5), ('4', 3, 3), ('5', 2, 2), ('sensitivity', 16, 16), ('realworld', 4, 4), ('ablation', 55, 11)) t(grp, n_runs, n_configs)",
         "core_number_rounds": over(f"SELECT {ID}, c::DOUBLE AS rw_core_number FROM c{o.CORES}", more=o.core_sql(o.CORES)),
     }
     from lattica.operators import learning

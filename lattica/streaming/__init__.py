@@ -1 +1 @@
-
+"""Empty: the study this engine follows has no streams and no event time."""
