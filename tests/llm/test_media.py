@@ -14,7 +14,8 @@ def picture(rng, height, width, kind):
     if kind == "noise":
         return rng.integers(0, 256, (height, width, 4)).astype(np.uint8)
     if kind == "few":
-        return rng.integers(0, 256, (int(rng.integers(1, 18)), 4)).astype(np.uint8)[rng.integers(0, 1 << 20, (height, width)) % int(rng.integers(1, 18)) % 3]
+        k = int(rng.integers(1, 18))
+        return rng.integers(0, 256, (k, 4)).astype(np.uint8)[rng.integers(0, k, (height, width))]
     out = np.cumsum(np.cumsum(rng.integers(-2, 3, (height, width, 4)), 0), 1).astype(np.uint8)
     if kind == "flat":
         out[:, width // 3 :] = out[0, 0]
