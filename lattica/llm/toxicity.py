@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 Fit: on at most about fit_rows labelled rows (a documented bound; taken by a hash of the id, none of the
-held-out ones) count, for words and word stems (prefixes of 4 to 6 letters, so that inflected and
+held-out ones, one row of near copies) count, for words and word stems (prefixes of 4 to 6 letters, so that inflected and
 compounded words count together), the toxic and the clean documents that have them. A feature's weight
 is its log-odds under a Dirichlet prior; features that chance alone would throw up among so many
 are left out. Score: each word weighs the most of its features, or `drift` (below zero); one
@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,6 +112,13 @@ def maximal_segments(scored: list[tuple[int, float]], drift: float) -> list[tupl
     return [(first, end, right - left) for left, right, first, end, _ in stack]
 
 
+def sketch(text: str | None) -> int:
+    """The least hash over three-word runs: near copies of a text mostly share it."""
+    words = [w.encode("utf-8", "surrogatepass") for w in words_of(text)]
+    digest = xxhash.xxh64_intdigest
+    return min((digest(b" ".join(x)) for x in zip(words, words[1:], words[2:], strict=False)), default=digest(b" ".join(words))) >> 1
+
+
 def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
@@ -177,7 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > fit_rows:  # by hash, so the sample is the same at every run and no order is needed
         own = own.filter(F.pmod(F.xxhash64(F.lit("fit"), id_col), F.lit(1 << 30)) < int(fit_rows / n * (1 << 30)))
     # at most about fit_rows ids: small enough to broadcast by that bound
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own.select(F.col(id_col).alias("id"), "toxic")), "id"), "toxicity-fit")
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(own.select(F.col(id_col).alias("id"), "toxic")), "id")
+    schema = T.StructType([*sample.schema.fields, T.StructField("sketch", T.LongType())])
+    sample = written(map_rows(sample, schema, ["text"], lambda texts: {"sketch": [sketch(t) for t in texts]}), "toxicity-sample")
+    # of near copies the one with the smallest id counts, or whatever a toxic text says would look toxic
+    first = sample.groupBy("sketch").agg(F.min_by(F.struct("id", "text", "toxic"), F.struct("id", "toxic", "text")).alias("r"))
+    rows = written(first.select("r.id", "r.text", "r.toxic"), "toxicity-fit")
     part = rows.withColumn("curve", F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(4)) == 0)
     weigh, calibrate = part.filter("not curve"), part.filter("curve")
     sizes = {r.toxic: r.n for r in weigh.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -80,3 +80,13 @@ def test_more_words_than_the_cache_holds(monkeypatch):
     monkeypatch.setattr(tx, "SEEN", 7)
     words = [w for i in range(50) for w in (f"bad{i}", f"good{i}")]
     assert len(model.segments(words)) == 1 and len(model.seen) <= 8
+
+
+def test_copies_of_a_toxic_text_do_not_spread(spark):
+    docs, labels = planted(spark)
+    words = " ".join(f"harmless{i}" for i in range(40))
+    more = [(1000 + i, f"{words} grumbling filth {i}", "en", "src0", 9) for i in range(60)] + [(2000 + i, f"{words} kind words {i}", "en", "src0", 9) for i in range(5)]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    labels = labels.union(spark.createDataFrame([(r[0], int(r[0] < 2000)) for r in more], "doc_id long, toxic int"))
+    out = {r.doc_id: r.predicted for r in tx.op6(docs, labels).collect()}
+    assert all(out[r[0]] == int(r[0] < 2000) for r in more)
