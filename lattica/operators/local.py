@@ -120,14 +120,39 @@ def orbit3(g: GraphSet, d: DataFrame | None = None) -> DataFrame:
     return t.join(s, KEY, "left").select(*KEY, (F.coalesce("s", F.lit(0)) - 2 * F.col("t")).cast("double").alias("orbit_0"), (F.col("d") * (F.col("d") - 1) / 2 - F.col("t")).cast("double").alias("orbit_1"), (3.0 * F.col("t")).alias("orbit_3"))
 
 
-#: The symmetry types, and for graphlets 0 to 28 how often each type occurs (type number: count).
+#: The symmetry types; and how often each occurs in graphlets 0 to 28.
 SYMMETRY_TYPES = ("2_1", "3", "2_1_1", "2_2", "3_1", "4", "2_1_1_1", "2_2_1", "2_3", "3_1_1", "3_2", "4_1", "5")
 SYMMETRIES = (
-    {0: 1}, {1: 1, 0: 3}, {2: 1}, {2: 3, 4: 1}, {2: 1, 3: 1}, {2: 2, 3: 2}, {2: 1, 3: 1, 4: 1}, {3: 3, 4: 4, 5: 3},
-    {6: 1}, {6: 1, 7: 1}, {6: 1, 7: 1}, {6: 2, 7: 2}, {6: 1, 9: 1}, {8: 5}, {6: 2, 7: 2}, {6: 1, 7: 2, 9: 1}, {6: 1, 7: 2, 8: 1},
-    {7: 2, 8: 2, 9: 2}, {7: 3, 9: 1, 10: 2}, {6: 1, 7: 1, 9: 1}, {7: 2, 8: 2, 11: 1}, {7: 1, 9: 1, 10: 2, 11: 2}, {7: 2, 10: 4, 11: 2},
-    {8: 5, 11: 5}, {10: 2, 11: 4, 12: 1}, {7: 1, 10: 3, 11: 4}, {10: 2, 11: 4, 12: 4}, {8: 3, 10: 6, 11: 6, 12: 6}, {3: 15, 10: 20, 11: 30, 12: 24},
-)
+    {"2_1": 1},  # 0
+    {"3": 1, "2_1": 3},  # 1
+    {"2_1_1": 1},  # 2
+    {"2_1_1": 3, "3_1": 1},  # 3
+    {"2_1_1": 1, "2_2": 1},  # 4
+    {"2_1_1": 2, "2_2": 2},  # 5
+    {"2_1_1": 1, "2_2": 1, "3_1": 1},  # 6
+    {"2_2": 3, "3_1": 4, "4": 3},  # 7
+    {"2_1_1_1": 1},  # 8
+    {"2_1_1_1": 1, "2_2_1": 1},  # 9
+    {"2_1_1_1": 1, "2_2_1": 1},  # 10
+    {"2_1_1_1": 2, "2_2_1": 2},  # 11
+    {"2_1_1_1": 1, "3_1_1": 1},  # 12
+    {"2_3": 5},  # 13
+    {"2_1_1_1": 2, "2_2_1": 2},  # 14
+    {"2_1_1_1": 1, "2_2_1": 2, "3_1_1": 1},  # 15
+    {"2_1_1_1": 1, "2_2_1": 2, "2_3": 1},  # 16
+    {"2_2_1": 2, "2_3": 2, "3_1_1": 2},  # 17
+    {"2_2_1": 3, "3_1_1": 1, "3_2": 2},  # 18
+    {"2_1_1_1": 1, "2_2_1": 1, "3_1_1": 1},  # 19
+    {"2_2_1": 2, "2_3": 2, "4_1": 1},  # 20
+    {"2_2_1": 1, "3_1_1": 1, "3_2": 2, "4_1": 2},  # 21
+    {"2_2_1": 2, "3_2": 4, "4_1": 2},  # 22
+    {"2_3": 5, "4_1": 5},  # 23
+    {"3_2": 2, "4_1": 4, "5": 1},  # 24
+    {"2_2_1": 1, "3_2": 3, "4_1": 4},  # 25
+    {"3_2": 2, "4_1": 4, "5": 4},  # 26
+    {"2_3": 3, "3_2": 6, "4_1": 6, "5": 6},  # 27
+    {"2_2": 15, "3_2": 20, "4_1": 30, "5": 24},  # 28
+)
 
 
 def graphlet_orbits(i: int) -> range:
@@ -152,8 +177,8 @@ def graphlet_shares(orbits: dict[int, Column]) -> list[Column]:
 def symmetry_features(shares: list[Column]) -> list[Column]:
     """The 13 symmetry-type features: graphlet shares times the types' multiplicities."""
     out = []
-    for t, name in enumerate(SYMMETRY_TYPES):
-        terms = [shares[i] * float(SYMMETRIES[i][t]) for i in range(len(shares)) if t in SYMMETRIES[i]]
+    for name in SYMMETRY_TYPES:
+        terms = [shares[i] * float(SYMMETRIES[i][name]) for i in range(len(shares)) if name in SYMMETRIES[i]]
         out.append(reduce(lambda a, b: a + b, terms, zero()).alias(f"vsko_sym{name}"))
     return out
 
