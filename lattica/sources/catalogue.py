@@ -82,7 +82,7 @@ def hashed_erdos_renyi(spark: SparkSession, n_graphs: int, n: int, p: float) ->
 #: The classical social networks as lists of "node: neighbours of higher number".
 NAMED = {
     "karate": "0: 1 2 3 4 5 6 7 8 10 11 12 13 17 19 21 31; 1: 2 3 7 13 17 19 21 30; 2: 3 7 8 9 13 27 28 32; 3: 7 12 13; 4: 6 10; 5: 6 10 16; 6: 16; 8: 30 32 33; 9: 33; 13: 33; 14: 32 33; 15: 32 33; 18: 32 33; 19: 33; 20: 32 33; 22: 32 33; 23: 25 27 29 32 33; 24: 25 27 31; 25: 31; 26: 29 33; 27: 33; 28: 31 33; 29: 32 33; 30: 32 33; 31: 32 33; 32: 33",
-    "florentine": "0: 1 2 3 4 5 6; 1: 7 8; 2: 9 10; 5: 11; 6: 8; 8: 12; 11: 12 13; 12: 13; 9: 14",
+    "florentine": "0: 1; 1: 5 6 7 8 9; 2: 3 4 5; 3: 4 11; 4: 6 11; 6: 7; 7: 12; 8: 12 13; 9: 10; 11: 12; 12: 14",
 }
 
 

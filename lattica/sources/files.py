@@ -207,6 +207,14 @@ def write_results(results: DataFrame, path: str) -> None:
     results.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def list_available(spark: SparkSession, root: str, kind: str = "realworld") -> list[str]:
+    """Names of the record files of a kind below root, in order; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}")
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [str(x.getPath().getName()) for x in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(n.removesuffix(".json") for n in found if n.endswith(".json"))
+
+
 SCHEMES = ("erdos", "synthetic", "pace", "tudataset", "realworld")
 
 

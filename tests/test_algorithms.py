@@ -135,3 +135,14 @@ def test_exact_solver_is_fast_on_the_hard_regime():
         g = local(gen.erdos_renyi(70, 0.35, np.random.default_rng(seed)), 70)
         cover, optimal = covers.exact_cover(g)
         assert optimal and is_cover(g, cover) and len(cover) >= math.ceil(len(g.src) / max(ct.degrees(g)))
+
+
+def test_classical_networks():
+    from lattica.sources.catalogue import catalogue
+
+    makers = catalogue()
+    karate, florentine = makers["karate"](), makers["florentine"]()
+    deg = np.bincount(np.array(sorted(karate)).ravel())
+    assert (len(karate), deg[0], deg[33], len(covers.exact_cover(local(karate))[0])) == (78, 16, 17, 14)
+    assert len(florentine) == 20 and len({x for e in florentine for x in e}) == 15
+    assert len(makers) == 54

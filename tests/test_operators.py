@@ -243,6 +243,7 @@ def test_file_formats(spark, tmp_path):
     assert labelled.nodes.filter("label = 1").count() == 2 and edges(catalogue.labelled_tu(spark, f"file://{root}/tudataset", "T", 1)) == edges(tu)
     with pytest.raises(FileNotFoundError):
         files.read_tu(spark, f"file://{root}/tudataset", "absent")
+    assert files.list_available(spark, f"file://{root}") == ["tiny"] and files.list_available(spark, f"file://{root}", "absent") == []
     with pytest.warns(UserWarning, match="left out"):
         every, ids = files.load(spark, f"file://{root}", ["realworld:tiny", "pace", "nothing"], min_nodes=1, max_nodes=10)
     assert sorted(r.dataset for r in ids.collect()) == ["pace", "realworld:tiny"] and every.edges.count() == 5
