@@ -1,10 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed per cell (source, language, topic); the cells' weights are raked in turn to the three
-marginals until they agree; each document is kept with its cell's calibrated probability,
+marginals; then they are raked again under the bound that no cell can give more tokens than it has, until
+the marginals of what is kept agree; each document is kept with its cell's calibrated probability,
 min(1, scale * weight / tokens), where the scale makes the expected tokens equal the wanted share. Whether
 a document stays depends on a hash of its id alone, so runs and retries agree.
 
+A level with fewer tokens than its share of the kept ones cannot meet its target: it is kept whole, and the
+others share the rest in proportion to theirs. `unmet` names the margins in which a document's level misses
+its target by more than MET of the kept tokens, whether for that reason or because the margins exclude each
+other, and a warning lists these levels.
+
 Marginal targets are shares of tokens: given, or the measured shares to the power `temper` (1 keeps
 them, 0 makes all levels equal). Topics, unless docs have them, are eight classes of a document's
 words of five letters or more: a word belongs to the class of its MD5's first digit, a document
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -29,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import checkpointed, held, map_rows, replaced, written
+from lattica.llm.common import held, map_rows, replaced, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.8, "lang": 0.7, "topic": 0.5}
 ROUNDS, KEEP, MAX_CELLS = 15, 0.8, 200_000
+#: Raking under the bound: most rounds (the gaps are looked at after every fifth), gap of a margin at which it ends, and gap that counts as a missed target; both gaps in shares of the kept tokens.
+BOUND_ROUNDS, AGREE, MET = 100, 1e-5, 1e-3
 
 
 def profile_text(text: str | None) -> tuple[int, int]:
@@ -89,6 +98,25 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return weights
 
 
+def rake_bounded(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Weights whose min(weight, tokens) sum to the goals: full cells stay, the others make up for them.
+
+    A factor never carries a level past its goal: upwards cells may only become full, downwards full cells
+    may only be freed. Cells that were cut keep their weight, so they can be freed again.
+    """
+    for i in range(BOUND_ROUNDS):
+        for c, goal in zip(codes, goals, strict=True):
+            full = weights >= tokens
+            have, free = np.bincount(c, np.where(full, tokens, 0), len(goal)), np.bincount(c, np.where(full, 0, weights), len(goal))
+            up = goal >= have + free
+            over = np.where(up, free, have + free)
+            weights = weights * np.divide(np.where(up, goal - have, goal), over, out=np.ones(len(goal)), where=over > 0)[c]
+        cut = np.minimum(weights, tokens)
+        if i % 5 == 4 and max(np.abs(np.bincount(c, cut, len(g)) - g).max(initial=0) for c, g in zip(codes, goals, strict=True)) <= AGREE * cut.sum():
+            break
+    return weights
+
+
 def calibrated(tokens: np.ndarray, weights: np.ndarray, keep: float) -> np.ndarray:
     """min(1, scale * weight / tokens), scaled so that keep of all tokens are expected to stay."""
     rate = np.divide(weights, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
@@ -117,15 +145,50 @@ def rates_local(cells: DataFrame, temper: dict, given: dict, rounds: int, keep:
         names.append(d.dictionary.to_pylist())
     targets = [shares(tokens, c, n, temper[m], given.get(m)) for m, c, n in zip(MARGINS, codes, names, strict=True)]
     weights = rake(tokens, codes, targets, rounds)
-    p = calibrated(tokens, weights, keep)
-    rows = list(zip(*(own[m].to_pylist() for m in MARGINS), p.tolist(), strict=True))
-    return cells.sparkSession.createDataFrame(rows, "source string, lang string, topic int, probability double")
+    sizes = [np.bincount(c, tokens, len(n)) for c, n in zip(codes, names, strict=True)]
+    goals = [t * calibrated(t, share * tokens.sum(), keep) for t, share in zip(sizes, targets, strict=True)]
+    p = calibrated(tokens, rake_bounded(tokens, codes, goals, keep * weights), keep)
+    kept, unmet, missed = p * tokens, [[] for _ in tokens], []
+    for m, c, n, share in zip(MARGINS, codes, names, targets, strict=True):
+        got = np.bincount(c, kept, len(n)) / (kept.sum() or 1.0)
+        off = np.abs(got - share) > MET
+        missed += [(m, n[i], share[i], got[i]) for i in np.flatnonzero(off)]
+        for i in np.flatnonzero(off[c]):
+            unmet[i].append(m)
+    report(missed)
+    rows = list(zip(*(own[m].to_pylist() for m in MARGINS), p.tolist(), map(",".join, unmet), strict=True))
+    return cells.sparkSession.createDataFrame(rows, "source string, lang string, topic int, probability double, unmet string")
+
+
+def report(missed: list[tuple]) -> None:
+    """Warn of (margin, level, target, reached) that differ; the largest gaps first."""
+    if missed:
+        worst = sorted(missed, key=lambda x: -abs(x[2] - x[3]))[:10]
+        warnings.warn(f"mixing: {len(missed)} targets are not met: " + ", ".join(f"{m} {n} {a:.4f} of {b:.4f}" for m, n, b, a in worst), stacklevel=3)
+
+
+def scale_of(cells: DataFrame, goal: float) -> float:
+    """The scale at which the sum of min(tokens, scale * w) is goal."""
+    lo, hi = 0.0, 1e12
+    for first in range(14):  # 16 scales at a time: at first by magnitude, then evenly
+        tries = [10.0**i for i in range(-3, 13)] if not first else [lo + (hi - lo) * i / 16 for i in range(1, 17)]
+        sums = cells.agg(*(F.sum(F.least("tokens", F.col("w") * F.lit(s))).alias(f"s{i}") for i, s in enumerate(tries))).first()
+        under = [s for s, x in zip(tries, sums, strict=True) if (x or 0.0) < goal]
+        lo, hi = max([lo, *under]), min([hi, *(s for s in tries if s not in under)])
+    return hi
+
+
+def written_cells(df: DataFrame) -> DataFrame:
+    return written(df, "mixing-cells")
 
 
 def rates_spread(cells: DataFrame, temper: dict, given: dict, rounds: int, keep: float) -> DataFrame:
-    """The same by joins and aggregates, for more cells than the driver should hold."""
+    """The same by joins and aggregates, for more cells than the driver should hold.
+
+    Every step is read back from Parquet: a checkpoint keeps its plan's size estimate, which joins multiply round by round.
+    """
     spark = cells.sparkSession
-    now = checkpointed(cells.withColumn("w", F.col("tokens")))
+    now = written_cells(cells.withColumn("w", F.col("tokens")))
     whole = now.agg(F.sum("tokens")).first()[0] or 0.0
     targets = {}
     for m in MARGINS:
@@ -136,19 +199,39 @@ def rates_spread(cells: DataFrame, temper: dict, given: dict, rounds: int, keep:
         else:
             raw = own.select(m, F.pow("t", F.lit(float(temper[m]))).alias("s"))
         total = raw.agg(F.sum("s")).first()[0] or 1.0
-        targets[m] = checkpointed(raw.select(m, (F.col("s") / total * whole).alias("goal")))
+        targets[m] = written_cells(raw.select(m, (F.col("s") / total * whole).alias("goal")))
     for _ in range(rounds):
         for m in MARGINS:
             factor = now.groupBy(m).agg(F.sum("w").alias("have")).join(targets[m], m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("f"))
             now = now.join(factor, m).select(*MARGINS, "tokens", (F.col("w") * F.col("f")).alias("w"))
-        now = checkpointed(now)
-    lo, hi, goal = 0.0, 1e12, keep * whole
-    for first in range(14):  # 16 scales at a time: at first by magnitude, then evenly
-        tries = [10.0**i for i in range(-3, 13)] if not first else [lo + (hi - lo) * i / 16 for i in range(1, 17)]
-        sums = now.agg(*(F.sum(F.least("tokens", F.col("w") * F.lit(s))).alias(f"s{i}") for i, s in enumerate(tries))).first()
-        under = [s for s, x in zip(tries, sums, strict=True) if (x or 0.0) < goal]
-        lo, hi = max([lo, *under]), min([hi, *(s for s in tries if s not in under)])
-    return now.select(*MARGINS, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(hi) / F.col("tokens"))).otherwise(1.0).alias("probability"))
+        now = written_cells(now)
+    goals = {}
+    for m in MARGINS:
+        own = written_cells(now.groupBy(m).agg(F.sum("tokens").alias("tokens")).join(targets[m], m).withColumnRenamed("goal", "w"))
+        goals[m] = written_cells(own.select(m, F.least("tokens", F.col("w") * F.lit(scale_of(own, keep * whole))).alias("goal")))
+    now, cut = now.withColumn("w", F.col("w") * F.lit(keep)), F.least("w", "tokens")
+    for i in range(BOUND_ROUNDS):
+        for m in MARGINS:
+            sums = now.groupBy(m).agg(F.sum(F.when(F.col("w") >= F.col("tokens"), F.col("tokens")).otherwise(0.0)).alias("have"), F.sum(F.when(F.col("w") >= F.col("tokens"), 0.0).otherwise(F.col("w"))).alias("free"))
+            up = F.col("goal") >= F.col("have") + F.col("free")
+            factor = sums.join(goals[m], m, "left").select(m, F.when(up & (F.col("free") > 0), (F.col("goal") - F.col("have")) / F.col("free")).when(~up & (F.col("have") + F.col("free") > 0), F.col("goal") / (F.col("have") + F.col("free"))).otherwise(1.0).alias("f"))
+            now = written_cells(now.join(factor, m).select(*MARGINS, "tokens", (F.col("w") * F.col("f")).alias("w")))
+        if i % 5 < 4:
+            continue
+        gaps = [now.groupBy(m).agg(F.sum(cut).alias("x")).join(goals[m], m).select(F.abs(F.col("x") - F.col("goal")).alias("gap")) for m in MARGINS]
+        gap = gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] or 0.0
+        if gap <= AGREE * keep * whole:
+            break
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(scale_of(now, keep * whole)) / F.col("tokens"))).otherwise(1.0)
+    out = written_cells(now.select(*MARGINS, "tokens", p.alias("probability")).withColumn("unmet", F.array().cast("array<string>")))
+    kept, missed = out.agg(F.sum(F.col("tokens") * F.col("probability"))).first()[0] or 1.0, []
+    for m in MARGINS:
+        got = out.groupBy(m).agg((F.sum(F.col("tokens") * F.col("probability")) / kept).alias("got")).join(targets[m], m)
+        off = written_cells(got.select(m, (F.col("goal") / (whole or 1.0)).alias("share"), "got").filter(F.abs(F.col("got") - F.col("share")) > MET))
+        missed += [(m, *r) for r in off.collect()]  # at most 2 / MET levels are off by so much
+        out = out.join(off.select(m, F.lit(m).alias("off")), m, "left").withColumn("unmet", F.when(F.col("off").isNull(), F.col("unmet")).otherwise(F.concat("unmet", F.array("off")))).drop("off")
+    report(missed)
+    return out.select(*MARGINS, "probability", F.array_join("unmet", ",").alias("unmet"))
 
 
 def draw(id_col: str = "doc_id"):
@@ -158,20 +241,20 @@ def draw(id_col: str = "doc_id"):
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict | None = None, given: dict | None = None, rounds: int = ROUNDS, keep: float = KEEP, max_cells: int = MAX_CELLS) -> DataFrame:
-    """docs (with source, lang, topic and n_tokens) with probability and kept."""
+    """docs (with source, lang, topic and n_tokens) with probability, unmet and kept."""
     cells = written(cells_of(docs), "mixing-cells")
     few = cells.limit(max_cells + 1).count() <= max_cells
     rates = (rates_local if few else rates_spread)(cells, {**TEMPER, **(temper or {})}, given or {}, rounds, keep)
-    rates = rates.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "probability")
+    rates = rates.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "probability", "unmet")
     on = [level(m) == F.col(f"__{m}") for m in MARGINS]
     # at most max_cells rows when broadcast
-    return docs.drop("probability", "kept").join(F.broadcast(rates) if few else rates, on, "left").drop(*(f"__{m}" for m in MARGINS)).withColumn("kept", draw(id_col) < F.col("probability"))
+    return docs.drop("probability", "unmet", "kept").join(F.broadcast(rates) if few else rates, on, "left").drop(*(f"__{m}" for m in MARGINS)).withColumn("kept", draw(id_col) < F.col("probability"))
 
 
 def op7(docs: DataFrame) -> DataFrame:
     own = profiled(docs.select("doc_id", "text", "source", "lang")).drop("text")
     out = mix(written(own, "mixing"))
-    return out.select("doc_id", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept")
+    return out.select("doc_id", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept", "unmet")
 
 
 def oracle() -> str:

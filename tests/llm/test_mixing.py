@@ -50,3 +50,52 @@ def test_odd_rows(spark):
     assert len(out) == len(ODD) and all(0 <= r.probability <= 1 and r.kept is not None for r in out)
     assert mx.op7(docs.limit(0)).count() == 0
     assert mx.profile_text("Apple apple, Grape fig") == (4, mx.profile_text("apple grape")[1])
+
+
+def shares_of(rows, margin, weight):
+    out = {}
+    for r in rows:
+        out[r[margin]] = out.get(r[margin], 0.0) + weight(r)
+    return {k: x / sum(out.values()) for k, x in out.items()}
+
+
+@pytest.mark.parametrize("max_cells", [mx.MAX_CELLS, 1])
+def test_marginals_are_met_after_cells_are_full(spark, max_cells):
+    # a cell (a, en) of few tokens is full at once: the other cells have to make up for it in both margins
+    rows = [("a", "en", 100), ("a", "es", 900), ("b", "en", 900), ("b", "es", 300), ("b", "fr", 800)]
+    docs = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(rows)], "doc_id long, source string, lang string, n_tokens long, topic int")
+    given = {"source": {"a": 0.38, "b": 0.62}, "lang": {"en": 0.45, "es": 0.35, "fr": 0.2}}
+    got = mx.mix(docs, given=given, rounds=2, keep=0.7, max_cells=max_cells).collect()
+    assert sum(r.probability * r.n_tokens for r in got) == pytest.approx(0.7 * 3000, rel=1e-6) and max(r.probability for r in got) == pytest.approx(1)
+    for m, want in given.items():
+        assert shares_of(got, m, lambda r: r.probability * r.n_tokens) == pytest.approx(want, abs=2e-5)
+    assert {r.unmet for r in got} == {""}
+
+
+@pytest.mark.parametrize("max_cells", [mx.MAX_CELLS, 1])
+def test_targets_beyond_the_tokens_are_reported(spark, max_cells):
+    docs = spark.createDataFrame([(0, "s", "en", 700, 0), (1, "s", "es", 100, 0), (2, "s", "fr", 200, 0)], "doc_id long, source string, lang string, n_tokens long, topic int")
+    with pytest.warns(UserWarning, match="3 targets are not met: lang es 0.1250 of 0.3000"):
+        got = {r.lang: r for r in mx.mix(docs, given={"lang": {"en": 0.6, "es": 0.3, "fr": 0.1}}, rounds=2, keep=0.8, max_cells=max_cells).collect()}
+    # es is kept whole, en and fr share the other 700 tokens as 6 to 1
+    assert [got[k].probability for k in ("en", "es", "fr")] == pytest.approx([6 / 7, 1, 0.5], rel=1e-4)
+    assert {r.unmet for r in got.values()} == {"lang"}
+
+
+def test_op7_reaches_what_can_be_reached(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    own = {r.doc_id: r for r in docs.select("doc_id", "source", "lang").collect()}
+    rows = [{**own[r.doc_id].asDict(), **r.asDict()} for r in mx.op7(docs).collect()]
+    for m, temper in mx.TEMPER.items():
+        tokens = {}
+        for r in rows:
+            tokens[r[m]] = tokens.get(r[m], 0) + r["n_tokens"]
+        total, full = sum(tokens.values()), set()
+        while True:  # levels that fall short are whole, the others share the rest
+            rest = sum(t**temper for k, t in tokens.items() if k not in full)
+            want = {k: t if k in full else (mx.KEEP * total - sum(tokens[f] for f in full)) * t**temper / rest for k, t in tokens.items()}
+            if not (more := {k for k in want if want[k] > tokens[k]}):
+                break
+            full |= more
+        got = shares_of(rows, m, lambda r: r["probability"] * r["n_tokens"])
+        assert got == pytest.approx({k: x / mx.KEEP / total for k, x in want.items()}, abs=2e-5)
