@@ -7,7 +7,7 @@ from lattica.functions import generators as gen
 from lattica.graphs import GraphSet, canonical
 from lattica.operators import corpus, evaluation, experiments, iterative, learning, local, pruning, solvers, statistics
 from lattica.plans import features, pipelines
-from lattica.sources import catalogue, files
+from lattica.sources import catalogue, files, tables
 
 
 def graphs(spark, *parts, labels=None) -> GraphSet:
@@ -256,3 +256,11 @@ def test_file_formats(spark, tmp_path):
     back = files.read_results(spark, f"file://{root}/results")
     assert {(r.config, r.n) for r in back.groupBy("config").agg(F.count("*").alias("n")).collect()} == {("cfg", 2), ("other", 1)}
     assert statistics.summarise_runs(back).count() == 2
+
+
+def test_edgelist_query_has_the_edges_of_all_graphs(spark):
+    d = "/root/testdata/sf0.001"
+    want = {(0, (r.graph_id << 32) + r.src, (r.graph_id << 32) + r.dst) for r in tables.parts(spark, d).edges.collect()}
+    assert len({a >> 32 for _, a, _ in want}) > 1
+    got = [tuple(r) for r in files.queries()["parse_edgelist"](spark, d).collect()]
+    assert set(got) == want and len(got) == len(want)
