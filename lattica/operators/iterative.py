@@ -55,19 +55,22 @@ def eigenvector(g: GraphSet, tol: float | None = 1e-4, max_iter: int = 100, fall
     return per_node(g, {name: lambda x: _or(ct.eigenvector(x, tol, max_iter), np.zeros(x.n) if fallback == "zero" else ct.degrees(x) / max(x.n - 1, 1))})
 
 
-def core_numbers(g: GraphSet, spread: bool = False, max_rounds: int = 200) -> DataFrame:
+def core_numbers(g: GraphSet, spread: bool = False, max_rounds: int | None = None) -> DataFrame:
+    """Core number of every node; in rounds until no value changes, or an error where max_rounds do not suffice."""
     if not spread:
         return per_node(g, {"rw_core_number": lambda x: ct.core_numbers(x).astype(float)})
     # cores are the limit of h-indices of the neighbours' values, starting from the degrees
     x, links = checkpointed(degree(g).select(*KEY, F.col("d").alias("c"))), checkpointed(g.adj)
-    for _ in range(max_rounds):
+    k = 0
+    while max_rounds is None or k < max_rounds:  # values only fall, so it ends; along a chain by one node a round from each end
+        k += 1
         ranked = links.join(x.toDF("graph_id", "u", "c"), ["graph_id", "u"]).withColumn("k", F.row_number().over(W.partitionBy("graph_id", "v").orderBy(F.col("c").desc())))
         h = ranked.groupBy("graph_id", F.col("v").alias("node_id")).agg(F.max(F.least("c", "k")).alias("h"))
         new = checkpointed(x.join(h, KEY, "left").select(*KEY, F.least("c", F.coalesce("h", F.lit(0))).alias("c"), F.col("c").alias("was")))
         x = new.select(*KEY, "c")
         if not new.filter("c <> was").limit(1).count():
-            break
-    return x.select(*KEY, F.col("c").cast("double").alias("rw_core_number"))
+            return x.select(*KEY, F.col("c").cast("double").alias("rw_core_number"))
+    raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
 
 
 def path_features(g: GraphSet) -> DataFrame:
@@ -116,8 +119,8 @@ def components(g: GraphSet, max_rounds: int = 100) -> DataFrame:
         new = checkpointed(low.join(jump, ["graph_id", "c"]).select(*KEY, "was", F.least("c", "far").alias("c")))
         x = new.select(*KEY, "c")
         if not new.filter("c <> was").limit(1).count():
-            break
-    return x.select(*KEY, F.col("c").alias("component"))
+            return x.select(*KEY, F.col("c").alias("component"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def largest_component(g: GraphSet, min_nodes: int = 5) -> GraphSet:

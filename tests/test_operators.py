@@ -67,6 +67,16 @@ def test_iterative_agree_with_rounds_and_components(g):
     assert h.filter("graph_id = 0 and source = 0").orderBy("node_id").select("hops").toPandas().hops.tolist() == [0, 1, 2, 3]
 
 
+def test_rounds_that_do_not_settle_are_an_error(spark):
+    nodes = spark.range(12).selectExpr("0L graph_id", "id node_id", "cast(null as int) label")
+    path = GraphSet(nodes, spark.range(11).selectExpr("0L graph_id", "id src", "id + 1 dst"))
+    with pytest.raises(RuntimeError, match="core numbers did not settle in 3 rounds"):
+        iterative.core_numbers(path, spread=True, max_rounds=3)
+    assert {r.rw_core_number for r in iterative.core_numbers(path, spread=True).collect()} == {1.0}
+    with pytest.raises(RuntimeError, match="components did not settle in 1 rounds"):
+        iterative.components(path, 1)
+
+
 @pytest.mark.parametrize(("name", "n"), [("kernel", 106), ("lauri", 9), ("both", 115), ("ajwani", 13), ("kernel+ajwani", 119)])
 def test_feature_sets(name, n):
     assert features.FeaturePipeline(name).n_features == n == len(set(features.FeaturePipeline(name).names()))
