@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +21,8 @@ from lattica.session import ship
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of an Arrow batch that are Python objects at one time.
-ROWS = 512
+#: Rows of an Arrow batch that are Python objects at one time, and bytes of their texts (a longer text goes alone).
+ROWS, BYTES = 512, 4 << 20
 _held: dict = {}
 
 
@@ -74,8 +76,24 @@ def replaced(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in new] + list(fields))
 
 
+def _portions(batch: pa.RecordBatch, inputs: list[str]) -> list[tuple[int, int]]:
+    """(first row, rows) of the portions of a batch."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for name in inputs:
+        column = batch.column(batch.schema.get_field_index(name))
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right"))
+        n = max(1, min(ROWS, upto - at))
+        out.append((at, n))
+        at += n
+    return out
+
+
 def map_rows(df: DataFrame, schema: T.StructType, inputs: list[str], compute: Callable[..., dict[str, list]]) -> DataFrame:
-    """Add computed columns to df, ROWS rows of an Arrow batch at a time.
+    """Add computed columns to df, at most ROWS rows and BYTES of texts of an Arrow batch at a time.
 
     compute gets a Python list for each input column and returns a list for each of the schema's
     columns that is not passed through. Columns of df that the schema does not name are dropped.
@@ -86,7 +104,7 @@ def map_rows(df: DataFrame, schema: T.StructType, inputs: list[str], compute: Ca
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in (b.slice(i, n) for b in batches for i, n in _portions(b, inputs)):
             out = compute(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
             columns = [pa.array(out[f.name], f.type) if f.name in out else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in target]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, f.type) for f in target]))

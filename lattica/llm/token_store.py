@@ -22,11 +22,13 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,29 +38,74 @@ from lattica.llm.common import held, map_rows, shared_dir
 
 #: Chunks: about `mean` ids (a power of two), at most `longest`; the rolling hash covers `reach` ids.
 MEAN, LONGEST, REACH = 512, 8192, 8
-#: Entries of a generation of a word cache.
-CACHE = 250_000
+#: Entries of a generation of the word cache; words that the library gets in one string.
+CACHE, TOGETHER = 300_000, 64
 #: Hashes of chunks a task remembers at least.
 SEEN = 200_000
-#: Characters, or bytes of ids, that are worked on at once.
-GROUP = 1 << 18
-
-
-#: A word of letters that neither compose nor change length in lower case, and ASCII marks after it (no apostrophe).
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
-
-
+#: Characters that are worked on at once.
+GROUP = 1 << 21
+
+#: Letters that neither compose nor change length in lower case, and ASCII marks that may follow them (no apostrophe).
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word of such letters with such marks after it, for Arrow's expressions.
+PLAIN = f"^[{LETTERS}]+[{re.escape(MARKS)}]*$"
+CORE = re.compile(f"[{LETTERS}]+").fullmatch
 #: Characters beyond Latin-1, within which nothing composes and lower case goes letter by letter.
 BEYOND = re.compile("[^\x00-\xff]").search
 
 
-class Encoder:
-    """A tokenizer of the library with word caches of bounded size.
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces flat[start : start + size], one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+class Words:
+    """Ids of words, by number, in two generations of about size entries; words in use move to the new one."""
+
+    def __init__(self, size: int, kind: np.dtype):
+        self.size, self.kind, self.old = size, kind, None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.weight = {}, 0
+        self.flat, self.starts, self.lengths = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, words: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.weight += sum(map(len, words)) + flat.nbytes
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
+        self.flat = np.concatenate((self.flat, flat))
+
+    def numbers(self, words: list[str], make) -> np.ndarray:
+        """Numbers of distinct words, good until the next call; make gives (all ids, ids of each) of a list of new ones."""
+        missing = [w for w in words if w not in self.known]
+        if missing and (len(self.known) + len(missing) > self.size or self.weight > 64 * self.size):
+            self.old = (self.known, self.flat, self.starts, self.lengths)
+            self._clear()
+            missing = words
+        if missing and self.old:
+            known, flat, starts, lengths = self.old
+            if moved := [w for w in missing if w in known]:
+                at = np.fromiter(map(known.__getitem__, moved), np.int64, len(moved))
+                self._add(moved, gathered(flat, starts[at], lengths[at]), lengths[at])
+                missing = [w for w in missing if w not in self.known]
+        if missing:
+            self._add(missing, *make(missing))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
-    Its pieces never span a space or a line feed, so what stands between those is encoded once and looked
-    up after that. A plain word's letters are one piece and the marks after it another; if the
-    tokenizer is of the known kind, letters in lower case go to the same model without the normaliser
-    and the splitting pattern, which would leave them as they are.
+
+class Encoder:
+    """A tokenizer of the library with a word cache of bounded size.
+
+    Its pieces never span a space or a line feed, so what stands between those is a word. The words of
+    many texts are told apart with Arrow's dictionary encoding; the library encodes each distinct one once and
+    NumPy lays the ids out. If the tokenizer is of the known kind, a plain word's letters are one piece
+    and the marks after it others; letters in lower case go to the same model without the normaliser and the
+    splitting pattern, which would leave them as they are, many words in one string: the model closes each
+    with a piece that has the suffix for ends of words.
     """
 
     def __init__(self, path: str):
@@ -67,77 +114,82 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks, self.marks = Memo(CACHE), Memo(CACHE // 10)
+        self.words, self.bare = Words(CACHE, self.kind), None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.bare = None
-        if steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and "[\\p{L}]+" in splits[0]["pattern"]["Regex"]:
-            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": splits[1]}))
-
-    def _fresh(self, tokenizer, texts: list[str]) -> dict[str, bytes]:
-        kind = "H" if self.kind.itemsize == 2 else "I"
-        return {t: array(kind, e.ids).tobytes() for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
-
-    def _encode(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of chunks that are not in the cache."""
-        if self.bare is None:
-            return self._fresh(self.whole, new)
-        out, cores, marks = {}, {}, {}
-        for w in new:
-            if m := PLAIN(w):
-                cores[w], marks[w] = m.groups()
-        plain = list({c.lower() for c in cores.values()})
-        ids = self._fresh(self.bare, plain)
-        tails = self.marks.filled(set(marks.values()), lambda texts: self._fresh(self.whole, texts))
-        for w, c in cores.items():
-            out[w] = ids[c.lower()] + tails[marks[w]]
-        if len(cores) < len(new):
-            out |= self._fresh(self.whole, [w for w in new if w not in cores])
-        return out
-
-    def encode(self, texts: list) -> Iterator[bytes]:
-        """The ids of each text; words are looked up for about GROUP characters of texts at once."""
+        known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and "[\\p{L}]+" in splits[0]["pattern"]["Regex"]
+        if known and (suffix := spec["model"].get("end_of_word_suffix")):
+            spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, splits[1]]}}))
+            self.closes = np.zeros(self.whole.get_vocab_size() + 1, bool)
+            self.closes[[i for piece, i in spec["model"]["vocab"].items() if piece.endswith(suffix)]] = True
+
+    def _made(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of new words, cores first in new's order, and how many each has."""
+        cores = [w for w in new if CORE(w)] if self.bare is not None else []
+        out, sizes = np.zeros(0, self.kind), np.zeros(len(new), np.int64)
+        is_core = np.fromiter((self.bare is not None and CORE(w) is not None for w in new), bool, len(new))
+        groups = [" ".join(cores[i : i + TOGETHER]) for i in range(0, len(cores), TOGETHER)]
+        first = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(groups, add_special_tokens=False)), self.kind) if cores else out
+        ends = np.flatnonzero(self.closes[first]) + 1 if cores else np.zeros(0, np.int64)
+        if len(ends) != len(cores):
+            raise ValueError("the tokenizer does not close each word once")
+        sizes[is_core] = np.diff(ends, prepend=0)
+        others = [w for w, c in zip(new, is_core.tolist(), strict=True) if not c]
+        own = [e.ids for e in self.whole.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        sizes[~is_core] = [len(x) for x in own]
+        rest = np.fromiter(chain.from_iterable(own), self.kind)
+        starts = np.zeros(len(new), np.int64)
+        starts[is_core] = ends - sizes[is_core]
+        starts[~is_core] = len(first) + np.cumsum(sizes[~is_core]) - sizes[~is_core]
+        return gathered(np.concatenate((first, rest)), starts, sizes), sizes
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of distinct words."""
+        plain = pc.match_substring_regex(words, PLAIN) if self.bare is not None else pa.array([False] * len(words), pa.bool_())
+        own = words.filter(plain)
+        cores = pc.utf8_lower(pc.utf8_rtrim(own, MARKS)).dictionary_encode()
+        marks = pa.concat_arrays([pc.utf8_ltrim(own, LETTERS), words.filter(pc.invert(plain)), pa.array([""], words.type)]).dictionary_encode()
+        n = len(cores.dictionary)
+        numbers = self.words.numbers([*cores.dictionary.to_numpy(zero_copy_only=False).tolist(), *marks.dictionary.to_numpy(zero_copy_only=False).tolist()], self._made)
+        mark = numbers[n:][marks.indices.to_numpy()]
+        plain = plain.to_numpy(zero_copy_only=False)
+        both = np.full((len(words), 2), mark[-1])
+        both[plain, 0] = numbers[:n][cores.indices.to_numpy()]
+        both[plain, 1] = mark[: len(own)]
+        both[~plain, 1] = mark[len(own) : -1]
+        sizes = self.words.lengths[both]
+        return gathered(self.words.flat, self.words.starts[both].ravel(), sizes.ravel()), sizes.sum(1)
+
+    def encode(self, texts: list, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For groups of about GROUP characters: all ids of the group's texts, with end_id after each, and each text's end."""
         group, size = [], 0
         for text in texts:
             text = text or ""
             if self.bare is not None and "<|" not in text and not BEYOND(text):
                 text = text.lower()  # as the tokenizer will; fewer words to look up
-            group.append(text.replace("\n", " ").split(" "))
+            group.append(text.replace("\n", " "))
             size += len(text)
             if size >= GROUP:
-                yield from self._group(group)
+                yield self._group(group, end_id)
                 group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[str]]) -> list[bytes]:
-        known = self.chunks.filled(set().union(*group), self._encode).__getitem__
-        return [b"".join(map(known, words)) for words in group]
-
-
-class Memo:
-    """A dict in two generations of about size entries and 64 * size bytes each; what is in use moves to the new one."""
-
-    def __init__(self, size: int):
-        self.size, self.weight, self.new, self.old = size, 0, {}, {}
-
-    def filled(self, wanted: set[str], make) -> dict[str, bytes]:
-        """A dict that has all of wanted; make gets a list of the missing ones."""
-        missing = wanted.difference(self.new)
-        if not missing:
-            return self.new
-        if len(self.new) + len(missing) > self.size or self.weight > 64 * self.size:
-            self.old, self.new, self.weight, missing = self.new, {}, 0, wanted
-        if self.old:
-            known = {w: self.old[w] for w in missing if w in self.old}
-            self.new.update(known)
-            missing = missing.difference(known)
-        if missing:
-            made = make(list(missing))
-            self.weight += sum(map(len, made)) + sum(map(len, made.values()))
-            self.new.update(made)
-        return self.new
+        if group:
+            yield self._group(group, end_id)
+
+    def _group(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        flat, sizes = self._distinct(coded.dictionary)
+        starts, bounds = np.cumsum(sizes) - sizes, split.offsets.to_numpy()
+        codes = coded.indices.to_numpy()
+        if end_id is not None:  # one more word, at the end of every text
+            codes = np.insert(codes, bounds[1:], len(sizes))
+            flat, starts, sizes = np.append(flat, np.array([end_id], self.kind)), np.append(starts, len(flat)), np.append(sizes, 1)
+            bounds = bounds + np.arange(len(bounds))
+        own = sizes[codes]
+        return gathered(flat, starts[codes], own), np.cumsum(own)[bounds[1:] - 1]
 
 
 def _encoder(path: str) -> Encoder:
@@ -146,7 +198,7 @@ def _encoder(path: str) -> Encoder:
 
 def encode(text: str | None, path: str) -> bytes:
     """The ids of text, little-endian."""
-    return next(_encoder(path).encode([text]))
+    return next(_encoder(path).encode([text]))[0].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -199,36 +251,21 @@ def _chunked(path: str, end_id: int):
         n_tokens, hashes, fresh, roots = [], [], [], []
         if len(seen) > SEEN:
             seen.clear()
-        encoder = _encoder(path)
-        kind, tail = encoder.kind, np.array([end_id], encoder.kind).tobytes()
-
-        def store(streams: list[bytes]) -> None:
-            whole, at = b"".join(streams), 0
-            found, size = cuts(np.frombuffer(whole, kind)), kind.itemsize
-            for stream in streams:
-                n, own, new = len(stream) // size, [], []
-                first = at
-                for end in ends_of(found, first, first + n):
-                    part = whole[at * size : end * size]
+        for ids, ends in _encoder(path).encode(texts, end_id):
+            found, size, at, raw = cuts(ids), ids.itemsize, 0, memoryview(np.ascontiguousarray(ids)).cast("B")
+            for end in ends.tolist():
+                own, new, first = [], [], at
+                for cut in ends_of(found, first, end):
+                    part = raw[at * size : cut * size]
                     own.append(h := hashlib.sha256(part).digest())
                     if h not in seen:
                         seen.add(h)
-                        new.append({"hash": h, "ids": part})
-                    at = end
-                n_tokens.append(n)
+                        new.append({"hash": h, "ids": bytes(part)})
+                    at = cut
+                n_tokens.append(end - first)
                 hashes.append(own)
                 fresh.append(new)
                 roots.append(merkle(own))
-
-        group, n_bytes = [], 0
-        for stream in encoder.encode(texts):
-            group.append(stream + tail)
-            n_bytes += len(stream)
-            if n_bytes >= GROUP:
-                store(group)
-                group, n_bytes = [], 0
-        if group:
-            store(group)
         return {"n_tokens": n_tokens, "chunks": hashes, "fresh": fresh, "root": roots}
 
     return run
