@@ -3,12 +3,13 @@
 Texts are encoded once; a rolling hash over the last ids cuts each document's id stream into chunks
 (cuts follow content, so copies and shared passages give equal chunks), each distinct chunk is stored
 once under its SHA-256, a recipe lists a document's chunks in order, and Merkle manifests (a root per
-document, per shard of consecutive documents and for the whole store) verify what is read back.
+document, per block of consecutive documents and for the whole store) verify what is read back.
 
 Layout under the store's path, all Parquet, so any file system that Spark reads will do:
   chunks/    hash (32 bytes), ids (little-endian unsigned; 16 bits each, or 32 when the ids need it)
   recipes/   shard, at, id, n_tokens, chunks (list of hashes), root; shards are ranges of ids, sorted
-  manifest/  shard, n_docs, n_tokens, start, root; the row of shard -1 is the whole store
+  manifest/  shard, block, n_docs, n_tokens, start, root: BLOCK consecutive documents of a shard a row
+  head/      width of ids in bytes, n_docs, n_tokens, root of the whole store
 
 Defined cases: null or empty text is the end id alone; repeated ids are stored as separate documents
 next to each other (ordered by their roots); null ids come first; an empty table gives an empty store.
@@ -29,12 +30,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import held, map_rows, shared_dir
+from lattica.llm.common import held, map_rows, shared_dir, written
 
 #: Chunks: about `mean` ids (a power of two), at most `longest`; the rolling hash covers `reach` ids.
 MEAN, LONGEST, REACH = 512, 8192, 8
@@ -44,6 +45,8 @@ CACHE, TOGETHER = 300_000, 64
 SEEN = 200_000
 #: Characters that are worked on at once.
 GROUP = 1 << 21
+#: Consecutive documents under one row of the manifest, and rows under one node of its tree.
+BLOCK, FAN = 4096, 1024
 
 #: Letters that neither compose nor change length in lower case, and ASCII marks that may follow them (no apostrophe).
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
@@ -276,7 +279,37 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
+def _joined(at: str, value) -> Column:
+    """The SHA-256 of a bounded group's hex hashes, in order of at."""
+    return F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(at, value.alias("h")))), lambda x: x["h"])), 256)
+
+
+def _blocks(recipes: DataFrame) -> DataFrame:
+    """(shard, block, n_docs, n_tokens, root) from recipes: the hash over ids, counts and roots of BLOCK documents at most."""
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("\0")), "n_tokens", F.hex("root")), 256)
+    return recipes.groupBy("shard", F.floor((F.col("at") - 1) / BLOCK).cast("int").alias("block")).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _joined("at", leaf).alias("root"))
+
+
+def _root(rows: DataFrame) -> tuple[int, int, str]:
+    """(documents, tokens, root) of the manifest's rows: a tree of FAN children a node, of as many rounds as it takes."""
+    # within shards first, then over the shards, which are as many as the partitions
+    own = rows.select("shard", "block", "n_docs", "n_tokens", F.sha2(F.concat_ws(":", "shard", "block", "n_docs", "n_tokens", "start", "root"), 256).alias("root"))
+    for column in ("block", "shard"):
+        top = own.agg(F.max(column)).first()[0] or 0
+        while True:
+            keys = {"shard": F.col("shard"), "block": F.floor(F.col("block") / FAN)} if column == "block" else {"shard": F.floor(F.col("shard") / FAN), "block": F.col("block")}
+            own = own.groupBy(*(v.cast("int").alias("next_" + k) for k, v in keys.items())).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _joined(column, F.col("root")).alias("root")).withColumnsRenamed({"next_shard": "shard", "next_block": "block"})
+            top //= FAN
+            if not top:
+                break
+    found = own.select("n_docs", "n_tokens", "root").collect()
+    return tuple(found[0]) if found else (0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> str:
+    """Write the store; its root, by which a reader can tell that the whole of it is meant."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType())), T.StructField("root", T.BinaryType()), T.StructField("fresh", T.ArrayType(T.StructType([T.StructField("hash", T.BinaryType()), T.StructField("ids", T.BinaryType())])))])
     staged = f"{path}/staging"
@@ -287,13 +320,37 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     within = W.partitionBy("shard").orderBy(F.col("id").asc_nulls_first(), "root")
     recipes.withColumn("shard", F.spark_partition_id()).withColumn("at", F.row_number().over(within)).write.option("compression", "zstd").parquet(f"{path}/recipes")
     _delete(spark, staged)
-    # a shard's root: the hash of its documents' roots in order; shards are as many as the partitions, not the documents
-    kept = spark.read.parquet(f"{path}/recipes")
-    shards = kept.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("root").alias("root")))), lambda x: x["root"])), 256).alias("root"))
-    before = F.coalesce(F.sum("n_tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    rows = shards.withColumn("start", before)
-    whole = shards.agg(F.lit(-1).alias("shard"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("shard", "root"))), lambda x: x["root"])), 256).alias("root"), F.lit(0).cast("long").alias("start"))
-    rows.union(whole.select(rows.columns)).coalesce(1).write.parquet(f"{path}/manifest")
+    blocks = written(_blocks(spark.read.parquet(f"{path}/recipes")), "token-blocks")
+    # a window over the shards, which are as many as the partitions, and one over a shard's blocks
+    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("all")).select("shard", F.coalesce(F.sum("all").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    earlier = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks.join(shards, "shard").withColumn("start", (F.col("before") + earlier).cast("long")).select(*MANIFEST).write.parquet(f"{path}/manifest")
+    n_docs, n_tokens, root = _root(spark.read.parquet(f"{path}/manifest"))
+    width = 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+    spark.createDataFrame([(width, n_docs, n_tokens, root)], HEAD).coalesce(1).write.parquet(f"{path}/head")
+    return root
+
+
+MANIFEST = ("shard", "block", "n_docs", "n_tokens", "start", "root")
+HEAD = "width int, n_docs long, n_tokens long, root string"
+
+
+def checked(spark: SparkSession, path: str, root: str | None = None) -> tuple[DataFrame, int]:
+    """The manifest and the width of ids, once manifest and recipes agree with the store's root (root, if given); ValueError if not.
+
+    Recipes that were deleted, added, moved or changed, and rows of the manifest likewise, are found here;
+    chunks are verified where they are read.
+    """
+    manifest, head = spark.read.parquet(f"{path}/manifest"), spark.read.schema(HEAD).parquet(f"{path}/head").collect()
+    if len(head) != 1 or _root(manifest) != (head[0].n_docs, head[0].n_tokens, head[0].root) or root not in (None, head[0].root):
+        raise ValueError("the store's manifest does not verify")
+    found = _blocks(spark.read.parquet(f"{path}/recipes")).select("shard", "block", *(F.col(c).alias(f"own_{c}") for c in ("n_docs", "n_tokens", "root")))
+    same = F.lit(True)
+    for c in ("n_docs", "n_tokens", "root"):
+        same = same & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    if not manifest.join(found, ["shard", "block"], "full").filter(~same).isEmpty():
+        raise ValueError("the store's recipes do not verify")
+    return manifest, head[0].width
 
 
 POLY = 0xEDB88320
@@ -361,28 +418,32 @@ def _document_digests(chunks: list, roots: list, parts: list) -> dict[str, list]
     return {"ids_crc32": (acc[bounds[1:]] ^ acc[bounds[:-1]]).tolist(), "read_tokens": (total[bounds[1:]] - total[bounds[:-1]]).tolist(), "verified": good}
 
 
-def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_store(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, computed from the stored bytes.
 
     Every chunk is read and hashed once; CRCs of chunks are joined to the recipes and combined, so ids
-    of chunks that many documents share are not copied. Fails if a chunk, recipe or root doesn't verify.
+    of chunks that many documents share are not copied. Manifest and recipes are verified first; a chunk or
+    document that doesn't verify fails the query that reads it.
     """
+    manifest, width = checked(spark, path, root)
     chunks = map_rows(spark.read.parquet(f"{path}/chunks"), T.StructType([T.StructField("hash", T.BinaryType()), T.StructField("crc", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sound", T.BooleanType())]), ["hash", "ids"], _chunk_digests(width))
     recipes = spark.read.parquet(f"{path}/recipes")
-    manifest = spark.read.parquet(f"{path}/manifest").filter("shard >= 0").select("shard", F.col("start").alias("shard_start"))
+    manifest = manifest.select("shard", "block", F.col("start").alias("block_start"))
     parts = recipes.select("shard", "at", F.posexplode("chunks").alias("pos", "hash")).join(chunks, "hash").groupBy("shard", "at").agg(F.collect_list(F.struct("pos", "crc", "n", "sound")).alias("parts"))
     whole = recipes.join(parts, ["shard", "at"], "left")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("at", T.IntegerType()), recipes.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("read_tokens", T.LongType()), T.StructField("verified", T.BooleanType())])
     tuples = whole.withColumn("parts", F.transform("parts", lambda x: F.array(x["pos"].cast("long"), x["crc"], x["n"], x["sound"].cast("long"))))
     read = map_rows(tuples, schema, ["chunks", "root", "parts"], _document_digests)
     sound = F.when(F.col("verified") & (F.col("read_tokens") == F.col("n_tokens")), F.col("read_tokens")).otherwise(F.raise_error(F.lit("a document does not verify")).cast("long"))
-    before = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    placed = read.select("shard", "id", "ids_crc32", before.alias("own"), sound.alias("n_tokens"))
-    return placed.join(manifest, "shard", "left").select("id", (F.col("own") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+    read = read.withColumn("block", F.floor((F.col("at") - 1) / BLOCK).cast("int"))
+    before = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard", "block").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    placed = read.select("shard", "block", "id", "ids_crc32", before.alias("own"), sound.alias("n_tokens"))
+    return placed.join(manifest, ["shard", "block"], "left").select("id", (F.col("own") + F.col("block_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(id, ids): the documents' id streams as bytes, for readers that want the ids themselves."""
+    """(id, ids): the documents' id streams as bytes, for readers that want the ids themselves; the manifest is verified."""
+    checked(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks")
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = recipes.select("shard", "at", "id", F.posexplode("chunks").alias("pos", "hash")).join(chunks, "hash")
@@ -401,5 +462,5 @@ def op4(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     spark = docs.sparkSession
     path = store_path(spark)
-    write_store(docs, path, tokenizer)
-    return read_store(spark, path).withColumnRenamed("id", "doc_id")
+    root = write_store(docs, path, tokenizer)
+    return read_store(spark, path, root).withColumnRenamed("id", "doc_id")
