@@ -18,6 +18,7 @@ an empty table stays empty. Roles compare to "assistant" exactly.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -59,17 +60,48 @@ def unescaped(text: str) -> str:
     return UNESCAPE(r"\1", text)
 
 
-def _tokenizer(path: str):
-    return held(("tokenizer", path), lambda: _read_tokenizer(path))
+class Tokens:
+    """A tokenizer of the library that encodes several texts at once, with offsets in code points.
 
+    A byte-level vocabulary writes each byte as one character and drops none, so there a piece's length in
+    bytes follows from its id and the offsets from a running sum; others give their own offsets.
+    """
 
-def _read_tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
-    return out
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        splits, self.sizes = spec["pre_tokenizer"] or {}, None
+        if spec["normalizer"] is None and spec["post_processor"] is None and splits.get("type") == "ByteLevel" and not splits["add_prefix_space"] and spec["model"]["type"] == "BPE" and not spec["model"].get("end_of_word_suffix"):
+            self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+            for piece, i in spec["model"]["vocab"].items():
+                self.sizes[i] = len(piece)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, (start, end) of each) of every text."""
+        if self.sizes is None:
+            for e in self.library.encode_batch(texts, add_special_tokens=False):
+                yield np.array(e.ids, np.int32), np.array(e.offsets, np.int64).reshape(-1, 2)
+            return
+        for text, e in zip(texts, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            ends = np.cumsum(self.sizes[ids])
+            if len(raw) != (ends[-1] if len(ends) else 0):
+                raise ValueError("the tokenizer's pieces are not the text")
+            if len(raw) != len(text):  # a byte's code point: as many as have begun up to it, less one
+                point = np.cumsum((raw & 0xC0) != 0x80) - 1
+                yield ids, np.stack((point[ends - self.sizes[ids]], point[ends - 1] + 1), 1)
+            else:
+                yield ids, np.stack((ends - self.sizes[ids], ends), 1)
+
+
+def _tokenizer(path: str) -> Tokens:
+    return held(("tokenizer", path), lambda: Tokens(path))
 
 
 def masked(tokens: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
@@ -97,26 +129,33 @@ def masked(tokens: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, list[list
     return mask, [s for s in spans if s[1] > s[0]]
 
 
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
 def _format(path: str, part_chars: int):
-    def part(tokenizer, conv, number, last, texts, turns):
-        whole = "".join(texts)
-        e = tokenizer.encode(whole, add_special_tokens=False)
-        mask, spans = masked(np.array(e.offsets, np.int64).reshape(-1, 2), np.array(turns, np.int64).reshape(-1, 2))
-        return conv, number, last, whole, e.ids, mask.tolist(), spans
+    def encoded(parts: list[tuple]) -> pa.RecordBatch:
+        """A batch of PARTS of (conv, part, last, texts, turns)."""
+        tokenizer, schema, ids, masks, spans = _tokenizer(path), to_arrow_schema(PARTS), [], [], []
+        whole = ["".join(p[3]) for p in parts]
+        for p, (own, offsets) in zip(parts, tokenizer.encode(whole), strict=True):
+            mask, covered = masked(offsets, np.array(p[4], np.int64).reshape(-1, 2))
+            ids.append(own)
+            masks.append(mask)
+            spans.append(covered)
+        columns = [*([p[i] for p in parts] for i in range(3)), whole]
+        arrays = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=False)]
+        return pa.RecordBatch.from_arrays([*arrays, _lists(ids, pa.int32()), _lists(masks, pa.bool_()), pa.array(spans, schema[-1].type)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, schema = _tokenizer(path), to_arrow_schema(PARTS)
         now, number, texts, turns, size, done, weight = None, 0, [], [], 0, [], 0
-
-        def flush(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
         for batch in batches:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if now is None or now != (conv,) or size >= part_chars:
                     if now is not None:
                         same = now == (conv,)
-                        done.append(part(tokenizer, now[0], number, not same, texts, turns))
+                        done.append((now[0], number, not same, texts, turns))
                         weight += size
                         number = number + 1 if same else 0
                     now, texts, turns, size = (conv,), [], [], 0
@@ -126,12 +165,12 @@ def _format(path: str, part_chars: int):
                 texts.append(head + body + END)
                 size += len(texts[-1])
                 if weight >= part_chars:
-                    yield flush(done)
+                    yield encoded(done)
                     done, weight = [], 0
         if now is not None:
-            done.append(part(tokenizer, now[0], number, True, texts, turns))
+            done.append((now[0], number, True, texts, turns))
         if done:
-            yield flush(done)
+            yield encoded(done)
 
     return run
 
@@ -147,7 +186,11 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     turns, loss, n_turns, loss_chars, chars, masked_tokens, tokens = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
+        ids, mask = (batch.column(batch.schema.get_field_index(c)) for c in ("ids", "loss_mask"))
+        ends = mask.offsets.to_numpy()
+        before = np.concatenate(([0], np.cumsum(mask.values.to_numpy(zero_copy_only=False))))
+        n_masked, n_ids = (before[ends[1:]] - before[ends[:-1]]).tolist(), np.diff(ids.offsets.to_numpy()).tolist()
+        for i, r in enumerate(batch.select(["conv_id", "last", "formatted", "loss_spans"]).to_pylist()):
             whole, at = r["formatted"], 0
             for m in TURN.finditer(whole):
                 if m.start() != at:
@@ -161,8 +204,8 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             loss.update(text.encode("utf-8", "surrogatepass"))
             loss_chars += len(text)
             chars += len(whole)
-            tokens += len(r["ids"])
-            masked_tokens += sum(r["loss_mask"])
+            tokens += n_ids[i]
+            masked_tokens += n_masked[i]
             if r["last"]:
                 rows.append((r["conv_id"], n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, tokens, masked_tokens))
                 turns, loss, n_turns, loss_chars, chars, masked_tokens, tokens = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0

@@ -67,6 +67,16 @@ def test_parts_have_the_tokens_of_the_whole(spark):
     assert joined(chat.format_chats(df, PATH, 100)) == joined(chat.format_chats(df, PATH))
 
 
+def test_offsets_equal_the_library():
+    tok = chat.Tokens(PATH)
+    texts = [t or "" for t in NASTY] + ["日本語 \U0001f468\u200d\U0001f469é a", "e\u0301 \xa0 x"]
+    for text, (ids, offsets) in zip(texts, tok.encode(texts), strict=True):
+        e = tok.library.encode(text, add_special_tokens=False)
+        assert ids.tolist() == e.ids and offsets.tolist() == [list(x) for x in e.offsets], text
+    fast, tok.sizes = list(tok.encode(texts)), None
+    assert all(np.array_equal(a[1], b[1]) for a, b in zip(fast, tok.encode(texts), strict=True))
+
+
 @given(st.text("\\#<:/turn> \nab"), st.text("\\#<:assistant"))
 def test_escapes_are_reversible(text, role):
     one = chat.HEAD + chat.escaped(role) + chat.BREAK + chat.escaped(text) + chat.END
