@@ -76,15 +76,15 @@ def replaced(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in new] + list(fields))
 
 
-def _portions(batch: pa.RecordBatch, inputs: list[str]) -> list[tuple[int, int]]:
-    """(first row, rows) of the portions of a batch."""
-    sizes = np.zeros(batch.num_rows, np.int64)
-    for name in inputs:
-        column = batch.column(batch.schema.get_field_index(name))
+def portions(columns: list[pa.Array]) -> list[tuple[int, int]]:
+    """(first row, rows) of portions of columns: at most ROWS rows and BYTES of strings and binaries, one row at least."""
+    rows = len(columns[0])
+    sizes = np.zeros(rows, np.int64)
+    for column in columns:
         if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
             sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     ends, out, at = np.cumsum(sizes), [], 0
-    while at < batch.num_rows:
+    while at < rows:
         upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right"))
         n = max(1, min(ROWS, upto - at))
         out.append((at, n))
@@ -104,7 +104,7 @@ def map_rows(df: DataFrame, schema: T.StructType, inputs: list[str], compute: Ca
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, n) for b in batches for i, n in _portions(b, inputs)):
+        for batch in (b.slice(i, n) for b in batches for i, n in portions([b.column(b.schema.get_field_index(c)) for c in inputs])):
             out = compute(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs])
             columns = [pa.array(out[f.name], f.type) if f.name in out else batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in target]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, f.type) for f in target]))

@@ -2,25 +2,29 @@
 
 The normalised items are joined in one automaton; each document streams through it, the longest match
 that ends at each word is tracked, and a window of `width` item words (or a whole shorter item) that
-occurs is a hit. Documents are read once per block of items: items are cut into blocks of at most
-block_words words, and only one block's automaton is in a worker at a time, so its size is bounded
-whatever the benchmark's. Memory per task is one Arrow batch and one automaton.
+occurs is a hit. Items are cut into blocks of at most block_words words (a longer item into overlapping pieces,
+which have its windows). One block, as any benchmark of that size is, goes through one pass. Of more blocks
+one at a time is on the driver and on the workers: its pass writes the hits of the documents that have any,
+its broadcast is destroyed, and the hits of all blocks are joined to the documents by row at the end.
+Memory per task is one portion of an Arrow batch and one automaton.
 
 Defined cases: null text has no words; null or empty items have none either and are never found; a
-null item_id is left out; repeated rows get equal results; an empty benchmark hits nothing.
+null item_id is left out; item ids of any type stay as they are; repeated rows get equal results; an empty
+benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import held, map_rows, replaced
+from lattica.llm.common import ascii_lower, held, map_rows, replaced, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -136,24 +140,55 @@ def _automaton(items: tuple, width: int) -> Automaton:
     return held(("automaton", items, width), lambda: Automaton(list(items), width))
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
-    """Tuples of (item, text) of at most block_words words each (one item at least), in item order."""
-    block, words = [], 0
+def pieces(text: str, block_words: int, width: int) -> Iterator[tuple[str, int]]:
+    """(text, words) of an item: as it is if it has at most block_words, otherwise pieces that share width - 1 words."""
+    words = WORD.findall(folded(text))
+    if len(words) <= block_words:
+        yield text, len(words)
+        return
+    step = max(block_words - width + 1, 1)
+    for i in range(0, len(words) - width + 1, step):
+        own = words[i : i + step + width - 1]
+        yield b" ".join(own).decode("utf-8", "surrogatepass"), len(own)
+
+
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int, width: int = 10) -> Iterator[tuple]:
+    """Tuples of (item, text) of at most block_words words each (or one piece), in item order; never none."""
+    block, words, any_yet = [], 0, False
     rows = benchmark.filter(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(item_col, text_col).distinct().orderBy(item_col, text_col)
     for item, text in rows.toLocalIterator():
-        n = len(WORD.findall(folded(text)))
-        if block and words + n > block_words:
-            yield tuple(block)
-            block, words = [], 0
-        block.append((item, text))
-        words += n
-    yield tuple(block)
+        for piece, n in pieces(text, block_words, width):
+            if block and words + n > block_words:
+                yield tuple(block)
+                block, words, any_yet = [], 0, True
+            block.append((item, piece))
+            words += n
+    if block or not any_yet:
+        yield tuple(block)
+
 
+def hits_of(item: T.DataType) -> list[T.StructField]:
+    return [T.StructField("n_words", T.LongType()), T.StructField("hit_runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("item_ids", T.ArrayType(item))]
+
+
+def _scanner(sent, width: int):
+    """texts to their words, runs and items."""
+
+    def scan(texts: list) -> dict[str, list]:
+        automaton = _automaton(sent.value, width)
+        n_words, runs, items = [], [], []
+        for text in texts:
+            words = WORD.findall(folded(text))
+            got, found = automaton.scan(words)
+            n_words.append(len(words))
+            runs.append([[int(a), int(z)] for a, z in got])
+            items.append(sorted(found))
+        return {"n_words": n_words, "hit_runs": runs, "item_ids": items}
 
-HITS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_runs", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("item_ids", T.ArrayType(T.LongType()))])
+    return scan
 
 
-def _merge_runs(runs: list) -> list:
+def merged_runs(runs: list) -> list:
     out: list = []
     for a, z in sorted(map(tuple, runs)):
         if out and a <= out[-1][1]:
@@ -163,37 +198,45 @@ def _merge_runs(runs: list) -> list:
     return out
 
 
-def _scanner(sent, width: int):
-    """texts, and the runs and items of earlier blocks if there were any, to HITS."""
+def _joined(rows: DataFrame, blocks: Iterator[tuple], text_col: str, fields: list[T.StructField], width: int) -> DataFrame:
+    """rows with the hits of all blocks: each block's hits are written, and joined at the end."""
+    spark = rows.sparkSession
+    # the rows are written with their numbers, so every pass sees the same ones
+    numbered = written(rows.withColumn("__row", F.monotonically_increasing_id()), "benchmark-rows")
+    narrow, schema, hits = numbered.select("__row", F.col(text_col).alias("__text")), T.StructType([T.StructField("__row", T.LongType()), *fields]), None
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        found = written(map_rows(narrow, schema, ["__text"], _scanner(sent, width)).filter("size(item_ids) > 0").select("__row", "hit_runs", "item_ids"), "benchmark-hits")
+        sent.destroy()
+        hits = found if hits is None else hits.union(found)
+    # a row has one entry a block at most
+    per = hits.groupBy("__row").agg(F.flatten(F.collect_list("hit_runs")).alias("__runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    per = map_rows(per, T.StructType([schema["__row"], *fields[1:]]), ["__runs"], lambda runs: {"hit_runs": [merged_runs(r) for r in runs]})
+    n_words = F.size(F.filter(F.split(text_of(text_col), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
+    clean = numbered.drop(*(f.name for f in fields)).withColumn("n_words", n_words).join(per, "__row", "left").drop("__row")
+    return clean.withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in fields[1:]})
 
-    def scan(texts: list, had_runs: list | None = None, had_items: list | None = None) -> dict[str, list]:
-        automaton = _automaton(sent.value, width)
-        n_words, runs, items = [], [], []
-        for i, text in enumerate(texts):
-            words = WORD.findall(folded(text))
-            got, found = automaton.scan(words)
-            n_words.append(len(words))
-            runs.append(_merge_runs([*got, *had_runs[i]]) if had_runs and had_runs[i] else [[int(a), int(z)] for a, z in got])
-            items.append(sorted(found.union(had_items[i] or ()) if had_items else found))
-        return {"n_words": n_words, "hit_runs": runs, "item_ids": items}
 
-    return scan
+def text_of(column: str):
+    return ascii_lower(F.coalesce(F.col(column), F.lit("")))
 
 
-def _with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, width: int, block_words: int) -> tuple[DataFrame, Callable, list[str]]:
-    """docs with the hits of all blocks but the last; the last block's scanner and its input columns."""
-    out, last, inputs = docs, None, [text_col]
-    for block in item_blocks(benchmark, item_col, item_text, block_words):
-        if last is not None:
-            out, inputs = map_rows(out, replaced(out.schema, *HITS.fields), inputs, last), [text_col, "hit_runs", "item_ids"]
-        last = _scanner(docs.sparkSession.sparkContext.broadcast(block), width)
-    return out, last, inputs
+def _first_blocks(benchmark: DataFrame, item_col: str, item_text: str, width: int, block_words: int) -> tuple[tuple, Iterator[tuple] | None]:
+    """The only block, or an iterator over all if there are more."""
+    blocks = item_blocks(benchmark, item_col, item_text, block_words, width)
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else chain((first, second), blocks)
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 200_000) -> DataFrame:
     """docs with n_words, hit_runs (word positions [first, end) of merged hits) and item_ids (sorted)."""
-    out, last, inputs = _with_hits(docs, benchmark, text_col, item_col, item_text, width, block_words)
-    return map_rows(out, replaced(out.schema, *HITS.fields), inputs, last)
+    fields = hits_of(benchmark.schema[item_col].dataType)
+    only, many = _first_blocks(benchmark, item_col, item_text, width, block_words)
+    if many is not None:
+        return _joined(docs, many, text_col, fields, width).select(*(f.name for f in replaced(docs.schema, *fields)))
+    sent = docs.sparkSession.sparkContext.broadcast(only)
+    return map_rows(docs, replaced(docs.schema, *fields), [text_col], _scanner(sent, width))
 
 
 def cut(text: str | None, runs: list) -> str | None:
@@ -211,18 +254,21 @@ def cut(text: str | None, runs: list) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", max_coverage: float = 0.5, item_col: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 200_000) -> DataFrame:
     """docs without the hit spans; documents of which more than max_coverage of the words are hit go whole.
 
-    The last block's scan also cuts, so with one block texts go through Python once.
+    With one block the scan also cuts, so texts go through Python once.
     """
     packed = docs.select(F.struct(*docs.columns).alias("__doc"), F.col(text_col).alias("__text"))
-    out, last, inputs = _with_hits(packed, benchmark, "__text", item_col, item_text, width, block_words)
+    fields = hits_of(benchmark.schema[item_col].dataType)
+    only, many = _first_blocks(benchmark, item_col, item_text, width, block_words)
+    scan = None if many is not None else _scanner(docs.sparkSession.sparkContext.broadcast(only), width)
 
-    def finish(texts: list, *before: list) -> dict[str, list]:
-        hits = last(texts, *before)
+    def finish(texts: list, n_words: list | None = None, hit_runs: list | None = None) -> dict[str, list]:
+        hits = scan(texts) if scan else {"n_words": n_words, "hit_runs": hit_runs}
         keep = [sum(z - a for a, z in runs) <= n * max_coverage for n, runs in zip(hits["n_words"], hits["hit_runs"], strict=True)]
         return {"__keep": keep, "__text": [cut(t, r) if k else None for t, r, k in zip(texts, hits["hit_runs"], keep, strict=True)]}
 
     schema = T.StructType([packed.schema["__doc"], packed.schema["__text"], T.StructField("__keep", T.BooleanType())])
-    kept = map_rows(out, schema, inputs, finish).filter("__keep")
+    rows, inputs = (packed, ["__text"]) if scan else (_joined(packed, many, "__text", fields, width), ["__text", "n_words", "hit_runs"])
+    kept = map_rows(rows, schema, inputs, finish).filter("__keep")
     return kept.select(*(F.col("__text").alias(c) if c == text_col else F.col("__doc")[c].alias(c) for c in docs.columns))
 
 

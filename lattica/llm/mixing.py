@@ -1,80 +1,167 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed per cell (source, language, topic); the cells' weights are raked in turn to the three
-marginals; then they are raked again under the bound that no cell can give more tokens than it has, until
-the marginals of what is kept agree; each document is kept with its cell's calibrated probability,
-min(1, scale * weight / tokens), where the scale makes the expected tokens equal the wanted share. Whether
-a document stays depends on a hash of its id alone, so runs and retries agree.
+marginals until they agree; then they are raked again under the bound that no cell can give more tokens than
+it has, until the marginals of what is kept agree; each document is kept with its cell's calibrated
+probability, min(1, scale * weight / tokens), where the scale makes the expected tokens equal the wanted
+share. Whether a document stays depends on a hash of its id alone, so runs and retries agree.
 
 A level with fewer tokens than its share of the kept ones cannot meet its target: it is kept whole, and the
 others share the rest in proportion to theirs. `unmet` names the margins in which a document's level misses
-its target by more than MET of the kept tokens, whether for that reason or because the margins exclude each
-other, and a warning lists these levels.
+its target by more than MET of the kept tokens, whether for that reason, because the margins exclude each
+other or because raking made no more headway; a warning lists these levels with what they reach.
 
 Marginal targets are shares of tokens: given, or the measured shares to the power `temper` (1 keeps
-them, 0 makes all levels equal). Topics, unless docs have them, are eight classes of a document's
-words of five letters or more: a word belongs to the class of its MD5's first digit, a document
-to the class with the most distinct words (the smaller at ties, 0 without such words).
+them, 0 makes all levels equal). A document's topic is the one it comes with (column topic); where that is
+absent or null, it is its cluster: the distinct words of five bytes or more are hashed with signs into a
+vector of DIM counts, scaled to one length, and k-means around the mean of all documents finds TOPICS
+directions, each named t0, t1 and so on. Every document moves the clusters in every round; only their seeds
+come from the SEEDS documents with the least digests. Sums are of whole numbers, so the order of tasks
+does not matter.
 
 The cells are as many as the combinations of levels, whatever the documents: up to max_cells they are
-raked on the driver, beyond that by joins on the cluster.
+raked on the driver, beyond that by joins on the cluster, to the same result.
 
-Defined cases: null text has no tokens; a null source or language counts as the empty one; null ids
-share one draw; a target for a level that has no tokens is spread over the others; documents without
-tokens are kept with their cell's probability (1 if the whole cell is empty); an empty table stays empty.
+Defined cases: null text has no tokens; a null source, language or topic counts as the empty one; null ids
+share one draw; a text without long words has topic t0; a target for a level that has no tokens is spread over
+the others; documents without tokens are kept with their cell's probability (1 if the whole cell is empty);
+an empty table stays empty.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import warnings
-from collections import Counter
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import held, map_rows, replaced, written
+from lattica.llm.common import portions, written
+from lattica.session import ship
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MARGINS = ("source", "lang", "topic")
 TEMPER = {"source": 0.8, "lang": 0.7, "topic": 0.5}
-ROUNDS, KEEP, MAX_CELLS = 15, 0.8, 200_000
-#: Raking under the bound: most rounds (the gaps are looked at after every fifth), gap of a margin at which it ends, and gap that counts as a missed target; both gaps in shares of the kept tokens.
-BOUND_ROUNDS, AGREE, MET = 100, 1e-5, 1e-3
-
-
-def profile_text(text: str | None) -> tuple[int, int]:
-    """Words and topic of a text."""
-    words = WORD.findall((text or "").translate(FOLD))
-    counts: Counter = Counter()
-    topics = held(("topics",), dict)
-    for w in set(words):
-        if len(w) >= 5:
-            if (k := topics.get(w)) is None:
-                if len(topics) > 200_000:
-                    topics.clear()
-                k = topics[w] = int(hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()[0], 16) // 2
-            counts[k] += 1
-    return len(words), min(counts, key=lambda k: (-counts[k], k), default=0)
+KEEP, MAX_CELLS = 0.8, 200_000
+#: Most rounds of either raking, gap of a margin at which it ends, and gap that counts as a missed target; gaps in shares of the tokens (of the kept ones, under the bound).
+ROUNDS, AGREE, MET = 200, 1e-5, 1e-3
+#: Clusters, coordinates of a text's vector, documents from which seeds are drawn, and rounds of k-means.
+TOPICS, DIM, SEEDS, PASSES = 8, 64, 1024, 8
+
+
+def profile_text(text: str | None) -> tuple[int, bytes]:
+    """Words of a text, and its vector as signed bytes."""
+    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(FOLD))
+    long = [w for w in set(words) if len(w) > 4]
+    h = np.fromiter(map(zlib.crc32, long), np.uint32, len(long))
+    v = np.bincount(h % DIM, ((h >> np.uint32(16)) & np.uint32(1)) * 2.0 - 1.0, DIM)
+    return len(words), np.round(v * (127 / max(1.0, float(np.sqrt(v @ v))))).astype(np.int8).tobytes()
+
+
+PROFILE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("vector", T.BinaryType())])
 
 
 def profiled(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens (words) and topic."""
-    schema = replaced(docs.schema, T.StructField("n_tokens", T.LongType()), T.StructField("topic", T.IntegerType()))
+    """docs with n_tokens (words) and vector; only the text goes through Python."""
+    ship(docs.sparkSession)
+    kind = pa.struct([("n_tokens", pa.int64()), ("vector", pa.binary())])
+
+    @F.arrow_udf(PROFILE)
+    def profile(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            own = []
+            for at, n in portions([texts]):
+                own += [profile_text(t) for t in texts.slice(at, n).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([v for _, v in own], pa.binary())], fields=list(kind))
+
+    return docs.withColumn("__profile", profile(F.col(text_col))).withColumns({"n_tokens": F.col("__profile.n_tokens"), "vector": F.col("__profile.vector")}).drop("__profile")
+
+
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors.to_pylist()), np.int8).reshape(-1, DIM).astype(np.float64)
+
+
+def nearest(vectors: np.ndarray, mean: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cluster with the direction closest to each vector's from the mean; vectors of nothing go to the first."""
+    return np.where(vectors.any(1), ((vectors - mean) @ centres.T).argmax(1), 0)
+
+
+def seeds(vectors: np.ndarray, mean: np.ndarray, k: int) -> np.ndarray:
+    """Directions of k of the vectors, each far from those before it with a probability by its squared distance."""
+    rng, own = np.random.default_rng(0), vectors - mean
+    own /= np.maximum(np.sqrt((own * own).sum(1, keepdims=True)), 1e-9)
+    out = [own[0]]
+    while len(out) < k:
+        far = np.maximum(1 - (own @ np.array(out).T).max(1), 0)
+        out.append(own[rng.choice(len(own), p=far / far.sum())] if far.sum() > 1e-9 else own[len(out) % len(own)])
+    return np.array(out)
+
+
+def _sums(rows: DataFrame, mean: np.ndarray | None, centres: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, sums of vectors) of each cluster: whole numbers, added on the cluster; k * DIM rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 1 if centres is None else len(centres)
+        count, total = np.zeros(k, np.int64), np.zeros((k, DIM))
+        for batch in batches:
+            for at, n in portions([batch.column(0)]):
+                own = _matrix(batch.column(0).slice(at, n))
+                to = np.zeros(len(own), np.int64) if centres is None else nearest(own, mean, centres)
+                count += np.bincount(to, minlength=k)
+                np.add.at(total, to, own)
+        size = DIM + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k * size)), pa.array(np.column_stack((count, total)).astype(np.int64).ravel())], names=["at", "x"])
+
+    k = 1 if centres is None else len(centres)
+    out = np.zeros(k * (DIM + 1))
+    for r in rows.select("vector").mapInArrow(run, "at long, x long").groupBy("at").agg(F.sum("x").alias("x")).collect():
+        out[r["at"]] = r["x"]
+    out = out.reshape(k, DIM + 1)
+    return out[:, 0], out[:, 1:]
+
+
+def clusters(rows: DataFrame, k: int = TOPICS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, directions) of k-means over the vectors of all rows, which should be a written table."""
+    count, total = _sums(rows, None, None)
+    mean = total[0] / max(count[0], 1)
+    first = rows.select("vector").distinct().orderBy(F.md5("vector"), "vector").limit(SEEDS).toArrow()["vector"].combine_chunks()
+    if not len(first):
+        return mean, np.zeros((k, DIM))
+    centres = seeds(_matrix(first), mean, k)
+    for _ in range(passes):
+        count, total = _sums(rows, mean, centres)
+        now = total - count[:, None] * mean
+        size = np.sqrt((now * now).sum(1, keepdims=True))
+        after = np.where(size > 1e-9, now / np.maximum(size, 1e-9), centres)
+        if np.array_equal(after, centres):
+            break
+        centres = after
+    return mean, centres
+
+
+def with_topics(rows: DataFrame, k: int = TOPICS) -> DataFrame:
+    """rows (with vector, and topic or not) with topic; vector goes."""
+    ship(rows.sparkSession)
+    mean, centres = clusters(rows, k)
 
-    def run(texts):
-        both = [profile_text(t) for t in texts]
-        return {"n_tokens": [n for n, _ in both], "topic": [k for _, k in both]}
+    @F.arrow_udf(T.StringType())
+    def cluster(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            yield pa.array([f"t{i}" for i in nearest(_matrix(vectors), mean, centres).tolist()], pa.string())
 
-    return map_rows(docs, schema, [text_col], run)
+    own = cluster(F.col("vector"))
+    given = next((c for c in rows.columns if c.lower() == "topic"), None)
+    return rows.withColumn("topic", F.coalesce(F.col(given).cast("string"), own) if given else own).drop("vector")
 
 
-def level(name: str):
-    return F.col(name) if name == "topic" else F.coalesce(F.col(name), F.lit(""))
+def level(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
@@ -89,9 +176,25 @@ def shares(tokens: np.ndarray, codes: np.ndarray, names: list, temper: float, gi
     return out / out.sum() if out.sum() else out
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int) -> np.ndarray:
+class Ends:
+    """Whether raking has ended: the gap is small enough, or less than a hundredth smaller than at the last look."""
+
+    def __init__(self, enough: float):
+        self.enough, self.last = enough, np.inf
+
+    def __call__(self, gap: float) -> bool:
+        done = gap <= self.enough or gap > 0.99 * self.last
+        self.last = gap
+        return done
+
+
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, agree: float = 1e-10) -> np.ndarray:
+    """Weights whose marginals are the targets: raked in turn until they agree, or for the most rounds."""
     weights, whole = tokens.astype(float), tokens.sum()
-    for _ in range(rounds):
+    ends = Ends(agree * whole)
+    for i in range(rounds):
+        if i % 5 == 0 and ends(max(np.abs(np.bincount(c, weights, len(share)) - share * whole).max(initial=0) for c, share in zip(codes, targets, strict=True))):
+            break
         for c, share in zip(codes, targets, strict=True):
             now = np.bincount(c, weights, len(share))
             weights = weights * np.divide(share * whole, now, out=np.zeros(len(share)), where=now > 0)[c]
@@ -104,7 +207,8 @@ def rake_bounded(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.nda
     A factor never carries a level past its goal: upwards cells may only become full, downwards full cells
     may only be freed. Cells that were cut keep their weight, so they can be freed again.
     """
-    for i in range(BOUND_ROUNDS):
+    ends = Ends(AGREE * sum(goals[0]))
+    for i in range(ROUNDS):
         for c, goal in zip(codes, goals, strict=True):
             full = weights >= tokens
             have, free = np.bincount(c, np.where(full, tokens, 0), len(goal)), np.bincount(c, np.where(full, 0, weights), len(goal))
@@ -112,7 +216,7 @@ def rake_bounded(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.nda
             over = np.where(up, free, have + free)
             weights = weights * np.divide(np.where(up, goal - have, goal), over, out=np.ones(len(goal)), where=over > 0)[c]
         cut = np.minimum(weights, tokens)
-        if i % 5 == 4 and max(np.abs(np.bincount(c, cut, len(g)) - g).max(initial=0) for c, g in zip(codes, goals, strict=True)) <= AGREE * cut.sum():
+        if i % 5 == 4 and ends(max(np.abs(np.bincount(c, cut, len(g)) - g).max(initial=0) for c, g in zip(codes, goals, strict=True))):
             break
     return weights
 
@@ -157,7 +261,7 @@ def rates_local(cells: DataFrame, temper: dict, given: dict, rounds: int, keep:
             unmet[i].append(m)
     report(missed)
     rows = list(zip(*(own[m].to_pylist() for m in MARGINS), p.tolist(), map(",".join, unmet), strict=True))
-    return cells.sparkSession.createDataFrame(rows, "source string, lang string, topic int, probability double, unmet string")
+    return cells.sparkSession.createDataFrame(rows, "source string, lang string, topic string, probability double, unmet string")
 
 
 def report(missed: list[tuple]) -> None:
@@ -178,6 +282,12 @@ def scale_of(cells: DataFrame, goal: float) -> float:
     return hi
 
 
+def gap_of(cells: DataFrame, goals: dict[str, DataFrame], value: Column) -> float:
+    """The largest difference of a level's sum from its goal."""
+    gaps = [cells.groupBy(m).agg(F.sum(value).alias("x")).join(goals[m], m).select(F.abs(F.col("x") - F.col("goal")).alias("gap")) for m in MARGINS]
+    return gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] or 0.0
+
+
 def written_cells(df: DataFrame) -> DataFrame:
     return written(df, "mixing-cells")
 
@@ -194,13 +304,15 @@ def rates_spread(cells: DataFrame, temper: dict, given: dict, rounds: int, keep:
     for m in MARGINS:
         own = now.groupBy(m).agg(F.sum("tokens").alias("t")).filter("t > 0")
         if given.get(m):
-            kind = cells.schema[m].dataType.simpleString()
-            raw = own.join(spark.createDataFrame([(k, float(v)) for k, v in given[m].items()], f"{m} {kind}, s double"), m, "left").select(m, F.coalesce("s", F.lit(0.0)).alias("s"))
+            raw = own.join(spark.createDataFrame([(k, float(v)) for k, v in given[m].items()], f"{m} string, s double"), m, "left").select(m, F.coalesce("s", F.lit(0.0)).alias("s"))
         else:
             raw = own.select(m, F.pow("t", F.lit(float(temper[m]))).alias("s"))
         total = raw.agg(F.sum("s")).first()[0] or 1.0
         targets[m] = written_cells(raw.select(m, (F.col("s") / total * whole).alias("goal")))
-    for _ in range(rounds):
+    ends = Ends(1e-10 * whole)
+    for i in range(rounds):
+        if i % 5 == 0 and ends(gap_of(now, targets, F.col("w"))):
+            break
         for m in MARGINS:
             factor = now.groupBy(m).agg(F.sum("w").alias("have")).join(targets[m], m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("f"))
             now = now.join(factor, m).select(*MARGINS, "tokens", (F.col("w") * F.col("f")).alias("w"))
@@ -209,18 +321,17 @@ def rates_spread(cells: DataFrame, temper: dict, given: dict, rounds: int, keep:
     for m in MARGINS:
         own = written_cells(now.groupBy(m).agg(F.sum("tokens").alias("tokens")).join(targets[m], m).withColumnRenamed("goal", "w"))
         goals[m] = written_cells(own.select(m, F.least("tokens", F.col("w") * F.lit(scale_of(own, keep * whole))).alias("goal")))
-    now, cut = now.withColumn("w", F.col("w") * F.lit(keep)), F.least("w", "tokens")
-    for i in range(BOUND_ROUNDS):
+    now, cut, ends = now.withColumn("w", F.col("w") * F.lit(keep)), F.least("w", "tokens"), Ends(AGREE * keep * whole)
+    for i in range(ROUNDS):
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum(F.when(F.col("w") >= F.col("tokens"), F.col("tokens")).otherwise(0.0)).alias("have"), F.sum(F.when(F.col("w") >= F.col("tokens"), 0.0).otherwise(F.col("w"))).alias("free"))
             up = F.col("goal") >= F.col("have") + F.col("free")
             factor = sums.join(goals[m], m, "left").select(m, F.when(up & (F.col("free") > 0), (F.col("goal") - F.col("have")) / F.col("free")).when(~up & (F.col("have") + F.col("free") > 0), F.col("goal") / (F.col("have") + F.col("free"))).otherwise(1.0).alias("f"))
-            now = written_cells(now.join(factor, m).select(*MARGINS, "tokens", (F.col("w") * F.col("f")).alias("w")))
+            now = now.join(factor, m).select(*MARGINS, "tokens", (F.col("w") * F.col("f")).alias("w"))
+        now = written_cells(now)
         if i % 5 < 4:
             continue
-        gaps = [now.groupBy(m).agg(F.sum(cut).alias("x")).join(goals[m], m).select(F.abs(F.col("x") - F.col("goal")).alias("gap")) for m in MARGINS]
-        gap = gaps[0].union(gaps[1]).union(gaps[2]).agg(F.max("gap")).first()[0] or 0.0
-        if gap <= AGREE * keep * whole:
+        if ends(gap_of(now, goals, cut)):
             break
     p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(scale_of(now, keep * whole)) / F.col("tokens"))).otherwise(1.0)
     out = written_cells(now.select(*MARGINS, "tokens", p.alias("probability")).withColumn("unmet", F.array().cast("array<string>")))
@@ -244,7 +355,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict | None = None, giv
     """docs (with source, lang, topic and n_tokens) with probability, unmet and kept."""
     cells = written(cells_of(docs), "mixing-cells")
     few = cells.limit(max_cells + 1).count() <= max_cells
-    rates = (rates_local if few else rates_spread)(cells, {**TEMPER, **(temper or {})}, given or {}, rounds, keep)
+    wanted = {m: {str(k): v for k, v in levels.items()} for m, levels in (given or {}).items() if levels}
+    rates = (rates_local if few else rates_spread)(cells, {**TEMPER, **(temper or {})}, wanted, rounds, keep)
     rates = rates.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), "probability", "unmet")
     on = [level(m) == F.col(f"__{m}") for m in MARGINS]
     # at most max_cells rows when broadcast
@@ -252,42 +364,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", temper: dict | None = None, giv
 
 
 def op7(docs: DataFrame) -> DataFrame:
-    own = profiled(docs.select("doc_id", "text", "source", "lang")).drop("text")
-    out = mix(written(own, "mixing"))
+    given = [c for c in docs.columns if c.lower() == "topic"]
+    own = profiled(docs.select("doc_id", "text", "source", "lang", *given)).drop("text")
+    out = mix(with_topics(written(own, "mixing")))
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 9).alias("probability"), "kept", "unmet")
-
-
-def oracle() -> str:
-    """The same in SQL: one common table expression for each raking step."""
-    steps, last = [], "w0"
-    for i in range(ROUNDS):
-        for m in MARGINS:
-            name = f"w{i}_{m}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * share * (SELECT sum(tokens) FROM cells) / nullif(sum(w) OVER (PARTITION BY {m}), 0) AS w FROM {last} JOIN t_{m} USING ({m}))")
-            last = name
-    goals = ",\n".join(f"t_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {TEMPER[m]}) / sum(pow(sum(tokens), {TEMPER[m]})) OVER () AS share FROM cells GROUP BY {m})" for m in MARGINS)
-    return rf"""
-WITH words AS (
-  SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents),
-long AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(w) AS x FROM words) WHERE length(x) >= 5),
-classes AS (SELECT doc_id, (strpos('0123456789abcdef', md5(x)[1]) - 1) // 2 AS topic, count(*) AS n FROM long GROUP BY ALL),
-best AS (SELECT doc_id, topic FROM classes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, topic) = 1),
-docs AS MATERIALIZED (SELECT doc_id, source, lang, coalesce(topic, 0)::INTEGER AS topic, len(w)::BIGINT AS n_tokens FROM words LEFT JOIN best USING (doc_id)),
-cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
-{goals},
-w0 AS (SELECT source, lang, topic, tokens, tokens AS w FROM cells),
-{",".join(steps)},
-ranked AS MATERIALIZED (SELECT *, w / tokens AS rate, row_number() OVER (ORDER BY w / tokens DESC, source, lang, topic) AS k FROM {last} WHERE tokens > 0),
-scaled AS MATERIALIZED (SELECT *, ({KEEP} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-           / sum(w) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS scale FROM ranked),
-cut AS (SELECT k, scale FROM scaled WHERE scale * rate <= 1 ORDER BY k LIMIT 1),
-rates AS (SELECT source, lang, topic, CASE WHEN scaled.k < cut.k THEN 1.0 ELSE cut.scale * rate END AS p FROM scaled, cut)
-SELECT doc_id, topic, n_tokens, round(coalesce(p, 1.0), 9) AS probability,
-       ('0x' || md5('mix:' || doc_id)[1:13])::BIGINT / 4503599627370496.0 < coalesce(p, 1.0) AS kept
-FROM docs LEFT JOIN rates USING (source, lang, topic)
-"""
-
-
-ORACLE = oracle()

@@ -4,11 +4,13 @@ Fingerprints are made distinct first, so copies of one text meet as one row. A p
 budget of k bits agrees wholly on one of k+1 blocks of bits, so each distinct fingerprint is sent to
 k+1 keys (block, value). A key with more than max_group fingerprints is split again: among those that
 share a block, a pair within k bits agrees on one of k+1 blocks of the remaining bits, and so on until
-every group is small or the shared bits leave at most max_group values. No pair is lost, no group is
-unbounded. Inside a task the sorted fingerprints form a binary trie: pairs of nodes are traversed
+every group is small or, after four splits, the shared bits leave at most 2^16 values. No pair is lost, no
+group is unbounded. Inside a task the sorted fingerprints form a binary trie: pairs of nodes are traversed
 together level by level, differing bits add up, and a pair is dropped as soon as it exceeds the budget.
 Linked groups leave a task as stars, never as all pairs; components() joins the stars.
 
+Ids are whole numbers. Fingerprints, not ids, are linked: rows that share an id but not their text stay apart.
+
 Defined cases: null or empty text (no words) has fingerprint zero and links like any other; null ids
 get a fingerprint but take no part in grouping, their component is null; repeated rows get equal
 results; empty tables stay empty.
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import map_batches, map_rows, written
+from lattica.llm.common import map_batches, map_rows, replaced, written
 from lattica.llm.components import components
 
 SEED, SPACES = 42, b" \t\n\x0b\x0c\r"
@@ -71,6 +73,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(rows, schema, ["__text"], lambda texts: {"fp": [_signed(fingerprint(t, width)) for t in texts]}).withColumnRenamed("__id", id_col)
 
 
+def marked(docs: DataFrame, text_col: str = "text", width: int = 3) -> DataFrame:
+    """docs with fp."""
+    return map_rows(docs, replaced(docs.schema, T.StructField("fp", T.LongType())), [text_col], lambda texts: {"fp": [_signed(fingerprint(t, width)) for t in texts]})
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -240,12 +247,14 @@ def near_links(distinct: DataFrame, budget: int = 3, max_group: int = 20_000) ->
 
 
 def near_dups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, max_group: int = 20_000) -> DataFrame:
-    """(id_col, fp, component_id) for every row of docs."""
+    """(id_col, fp, root, component_id) for every row of docs: root is the least fingerprint reachable, component_id the least id."""
     prints = written(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = written(prints.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-distinct")
-    merged = components(near_links(distinct, budget, max_group))
-    label = distinct.join(merged, distinct["rep"] == merged["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(label, "fp", "left").select(id_col, "fp", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
+    distinct = written(prints.filter(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    merged = components(near_links(distinct.select("fp", F.col("fp").alias("rep")), budget, max_group))
+    rooted = distinct.join(merged, distinct["fp"] == merged["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    label = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    found, known = prints.join(label, "fp", "left"), F.col(id_col).isNotNull()
+    return found.select(id_col, "fp", F.when(known, F.col("root")).alias("root"), F.when(known, F.col("component_id")).alias("component_id"))
 
 
 def op8(docs: DataFrame) -> DataFrame:

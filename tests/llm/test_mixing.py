@@ -1,8 +1,16 @@
+import hashlib
+
 import numpy as np
 import pytest
 from helpers import ODD, SF, docs_of
 
 from lattica.llm import mixing as mx
+from lattica.llm.common import written
+
+
+def ready(docs):
+    """docs as mix() takes them."""
+    return mx.with_topics(written(mx.profiled(docs), "test-mixing"))
 
 
 def test_raked_marginals_agree():
@@ -28,7 +36,7 @@ def test_calibrated_probabilities(keep):
 
 
 def test_both_ways_agree_and_tokens_are_met(spark):
-    docs = mx.profiled(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).cache()
+    docs = ready(spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")).drop("text").cache()
     a, b = ({r.doc_id: r.probability for r in mx.mix(docs, max_cells=n, rounds=2).collect()} for n in (mx.MAX_CELLS, 3))
     assert a == pytest.approx(b, abs=1e-6)
     few = mx.mix(docs)
@@ -38,7 +46,7 @@ def test_both_ways_agree_and_tokens_are_met(spark):
 
 def test_given_targets(spark):
     docs = docs_of(spark, ["alpha beta gamma"] * 400).selectExpr("doc_id", "text", "if(doc_id % 4 = 0, 'a', 'b') source", "lang")
-    out = mx.mix(mx.profiled(docs), given={"source": {"a": 0.5, "b": 0.5, "absent": 3.0}}, keep=0.4)
+    out = mx.mix(ready(docs), given={"source": {"a": 0.5, "b": 0.5, "absent": 3.0}}, keep=0.4)
     got = {r.source: r.p for r in out.groupBy("source").agg({"probability": "max"}).toDF("source", "p").collect()}
     assert got == pytest.approx({"a": 0.8, "b": 0.8 / 3})
 
@@ -46,12 +54,43 @@ def test_given_targets(spark):
 def test_odd_rows(spark):
     docs = docs_of(spark, ODD, "probability string, kept int, topic string, n_tokens string", ("p", 1, "t", "n")).selectExpr("*", "cast(null as string) other")
     docs = docs.selectExpr("if(doc_id = 1, null, doc_id) doc_id", "text", "if(doc_id = 2, null, lang) lang", "if(doc_id = 3, null, source) source", "probability", "kept", "other")
-    out = mx.mix(mx.profiled(docs)).collect()
+    out = mx.mix(ready(docs)).collect()
     assert len(out) == len(ODD) and all(0 <= r.probability <= 1 and r.kept is not None for r in out)
     assert mx.op7(docs.limit(0)).count() == 0
     assert mx.profile_text("Apple apple, Grape fig") == (4, mx.profile_text("apple grape")[1])
 
 
+def test_topics_are_those_of_plain_k_means(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.topic for r in mx.op7(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    v = np.array([np.frombuffer(mx.profile_text(r.text)[1], np.int8) for r in rows]).astype(float)
+    mean = v.sum(0) / len(v)
+    own = {x.tobytes(): hashlib.md5(x.astype(np.int8).tobytes()).hexdigest() for x in v}
+    first = np.array([np.frombuffer(x) for x in sorted(own, key=own.get)[: mx.SEEDS]])
+    c = mx.seeds(first, mean, mx.TOPICS)
+    for _ in range(mx.PASSES):
+        to = np.where(v.any(1), ((v - mean) @ c.T).argmax(1), 0)
+        sums = np.array([v[to == k].sum(0) - (to == k).sum() * mean for k in range(mx.TOPICS)])
+        c = np.where(np.linalg.norm(sums, axis=1)[:, None] > 1e-9, sums / np.maximum(np.linalg.norm(sums, axis=1)[:, None], 1e-9), c)
+    to = np.where(v.any(1), ((v - mean) @ c.T).argmax(1), 0)
+    assert got == {r.doc_id: f"t{k}" for r, k in zip(rows, to.tolist(), strict=True)} and len(set(got.values())) > 3
+
+
+def test_a_given_topic_is_used_and_a_null_one_is_not(spark):
+    texts = ["alpha words beta gamma", None, "delta epsilon zeta words"] * 4
+    docs = docs_of(spark, texts).selectExpr("doc_id", "text", "lang", "source", "if(doc_id % 2 = 0, 'given', null) Topic")
+    got = {r.doc_id: r.topic for r in mx.op7(docs).collect()}
+    assert all((got[i] == "given") == (i % 2 == 0) for i in got) and {got[i] for i in got if i % 2} <= {f"t{k}" for k in range(mx.TOPICS)}
+
+
+@pytest.mark.parametrize("max_cells", [mx.MAX_CELLS, 1])
+def test_null_topics_count_as_empty_ones(spark, max_cells):
+    docs = spark.createDataFrame([(0, "s", "en", 700, None), (1, "s", "en", 300, "a"), (2, "s", "en", 500, "")], "doc_id long, source string, lang string, n_tokens long, topic string")
+    got = {r.doc_id: r.probability for r in mx.mix(docs, temper={"topic": 0}, keep=0.4, max_cells=max_cells).collect()}
+    assert got == pytest.approx({0: 0.25, 1: 1.0, 2: 0.25})
+
+
 def shares_of(rows, margin, weight):
     out = {}
     for r in rows:

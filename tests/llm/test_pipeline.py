@@ -57,7 +57,7 @@ def test_stages_and_run(spark):
         quick = not re.search(b"", b"") or sum(w in known for w in decontaminate.WORD.findall(decontaminate.folded(r.text))) < 10
         want = r.text if quick else cleaned(r.text, items)
         assert (kept[2][i].text, kept[2][i].n_chars) == (want, len(want)) if want is not None else i not in kept[2]
-    rates = {r.doc_id: r.probability for r in mixing.mix(mixing.profiled(frames[2])).collect()}
+    rates = {r.doc_id: r.probability for r in mixing.mix(mixing.with_topics(written(mixing.profiled(frames[2]), "test-profile"))).collect()}
     draws = {r.doc_id: r.u for r in frames[2].select("doc_id", mixing.draw().alias("u")).collect()}
     assert set(kept[3]) == {i for i in kept[2] if draws[i] < rates[i]}
     tok, at = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
@@ -86,3 +86,12 @@ def test_columns_with_the_operators_names_pass_through(spark):
         docs = written(stage(spark, docs, SF), "test-names")
         assert docs.columns[-len(names) :] == list(names) and {tuple(r) for r in docs.select(*names).collect()} == {names}
     assert cp.STAGES[-1][1](spark, docs, SF).count() == docs.count() > 0
+
+
+def test_unlike_texts_that_share_an_id_both_stay(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"thing{i * i}" for i in range(60))
+    rows = [(1, long, "a"), (1, other, "a"), (1, other, "a"), (2, long, "b"), (3, other, "c"), (None, long, "d"), (4, "alone " + other[:200], "e")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text) for r in cp.STAGES[1][1](spark, docs, SF).collect())
+    assert got == sorted([(0, long), (1, long), (1, other), (4, "alone " + other[:200])])
