@@ -15,7 +15,8 @@ from lattica.llm.common import table, written
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The columns that operators read, and the whole row as one, which no column of an operator can touch."""
-    return docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", "lang", "source")
+    given = [c for c in docs.columns if c.lower() == "topic"]
+    return docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", "lang", "source", *given)
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
@@ -29,12 +30,23 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group stays, one row of it; rows without an id stay."""
+    """One row of each group stays, that with the smallest id; rows without an id stay.
+
+    Where several rows of a group have that id, the one with the least fingerprint stays, then the least
+    text, then the least digest of the row. Unlike texts that share an id are groups of their own.
+    """
     found = simhash.near_dups(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    keep = found.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("x")).select("x.fp", "x.doc_id")
+    with_id = docs.filter("doc_id is not null")
+    repeated = with_id.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        kept = with_id.join(keep, "doc_id", "left_semi")
+    else:
+        repeated = written(repeated, "pipeline-repeated")
+        rows = simhash.marked(with_id.join(repeated, "doc_id", "left_semi").select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text"))
+        chosen = rows.join(keep, ["doc_id", "fp"], "left_semi").groupBy("doc_id", "fp").agg(F.min_by("__doc", F.struct("text", F.xxhash64("__doc"))).alias("__doc"))
+        kept = with_id.join(repeated, "doc_id", "left_anti").join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(_unpacked(chosen))
+    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +56,8 @@ def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn by their cell's calibrated probability."""
-    return _unpacked(mixing.mix(mixing.profiled(_packed(docs))).filter("kept"))
+    rows = written(mixing.profiled(_packed(docs)), "pipeline-profile")  # texts are read once
+    return _unpacked(mixing.mix(mixing.with_topics(rows)).filter("kept"))
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
