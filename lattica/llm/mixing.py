@@ -14,10 +14,11 @@ other or because raking made no more headway; a warning lists these levels with
 Marginal targets are shares of tokens: given, or the measured shares to the power `temper` (1 keeps
 them, 0 makes all levels equal). A document's topic is the one it comes with (column topic); where that is
 absent or null, it is its cluster: the distinct words of five bytes or more are hashed with signs into a
-vector of DIM counts, scaled to one length, and k-means around the mean of all documents finds TOPICS
-directions, each named t0, t1 and so on. Every document moves the clusters in every round; only their seeds
-come from the SEEDS documents with the least digests. Sums are of whole numbers, so the order of tasks
-does not matter.
+vector of DIM counts, scaled to one length; the mean of the document's language is taken off, so that topics
+are not languages again, and what remains is scaled once more; k-means around the mean of all documents finds
+TOPICS directions, each named t0, t1 and so on. Every document moves the clusters in every round; only their
+seeds come from the SEEDS documents with the least digests. Sums are of whole numbers, so the order of
+tasks does not matter.
 
 The cells are as many as the combinations of levels, whatever the documents: up to max_cells they are
 raked on the driver, beyond that by joins on the cluster, to the same result.
@@ -55,13 +56,19 @@ ROUNDS, AGREE, MET = 200, 1e-5, 1e-3
 TOPICS, DIM, SEEDS, PASSES = 8, 64, 1024, 8
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each row as signed bytes with a length of 127; rows of zeros stay."""
+    size = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    return np.round(vectors * (127 / np.where(size > 0, size, 1))).astype(np.int8)
+
+
 def profile_text(text: str | None) -> tuple[int, bytes]:
     """Words of a text, and its vector as signed bytes."""
     words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(FOLD))
     long = [w for w in set(words) if len(w) > 4]
     h = np.fromiter(map(zlib.crc32, long), np.uint32, len(long))
     v = np.bincount(h % DIM, ((h >> np.uint32(16)) & np.uint32(1)) * 2.0 - 1.0, DIM)
-    return len(words), np.round(v * (127 / max(1.0, float(np.sqrt(v @ v))))).astype(np.int8).tobytes()
+    return len(words), scaled(v[None])[0].tobytes()
 
 
 PROFILE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("vector", T.BinaryType())])
@@ -145,10 +152,44 @@ def clusters(rows: DataFrame, k: int = TOPICS, passes: int = PASSES) -> tuple[np
     return mean, centres
 
 
+def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, at, x): documents (at 0) and sums of vectors of each language in a batch."""
+    for batch in batches:
+        codes, own = batch.column(0).dictionary_encode(), _matrix(batch.column(1))
+        total = np.zeros((len(codes.dictionary), DIM + 1))
+        np.add.at(total, codes.indices.to_numpy(), np.column_stack((np.ones(len(own)), own)))
+        at = np.tile(np.arange(DIM + 1), len(total))
+        yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(np.repeat(np.arange(len(total)), DIM + 1))), pa.array(at), pa.array(total.astype(np.int64).ravel())], names=["lang", "at", "x"])
+
+
+#: Languages whose means are broadcast at most: 5 MB; beyond that they are joined.
+MAX_LANGS = 10_000
+
+
+def centred(rows: DataFrame) -> DataFrame:
+    """rows with the mean of their language taken off vector."""
+    sums = rows.select(level("lang").alias("lang"), "vector").mapInArrow(_language_sums, "lang string, at long, x long").groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    own = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s"))  # DIM + 1 entries
+    mean = F.transform(F.slice("s", 2, DIM), lambda x: x["x"] / F.col("s")[0]["x"])
+    means = written(own.select(F.col("lang").alias("__lang"), mean.alias("__mean")), "mixing-means")
+    few = means.limit(MAX_LANGS + 1).count() <= MAX_LANGS
+
+    @F.arrow_udf(T.BinaryType())
+    def apart(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for vectors, mean in batches:
+            own = _matrix(vectors)
+            out = scaled(np.where(own.any(1, keepdims=True), own - mean.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM), 0))
+            yield pa.array([v.tobytes() for v in out], pa.binary())
+
+    joined = rows.join(F.broadcast(means) if few else means, level("lang") == F.col("__lang"))
+    return joined.withColumn("vector", apart("vector", "__mean")).drop("__lang", "__mean")
+
+
 def with_topics(rows: DataFrame, k: int = TOPICS) -> DataFrame:
-    """rows (with vector, and topic or not) with topic; vector goes."""
+    """rows (a written table with lang, vector, and topic or not) with topic; vector goes."""
     ship(rows.sparkSession)
-    mean, centres = clusters(rows, k)
+    apart = centred(rows)
+    mean, centres = clusters(written(apart.select("vector"), "mixing-vectors"), k)
 
     @F.arrow_udf(T.StringType())
     def cluster(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -157,7 +198,7 @@ def with_topics(rows: DataFrame, k: int = TOPICS) -> DataFrame:
 
     own = cluster(F.col("vector"))
     given = next((c for c in rows.columns if c.lower() == "topic"), None)
-    return rows.withColumn("topic", F.coalesce(F.col(given).cast("string"), own) if given else own).drop("vector")
+    return apart.withColumn("topic", F.coalesce(F.col(given).cast("string"), own) if given else own).drop("vector")
 
 
 def level(name: str) -> Column:

@@ -63,8 +63,12 @@ def test_odd_rows(spark):
 def test_topics_are_those_of_plain_k_means(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r.topic for r in mx.op7(docs).collect()}
-    rows = docs.select("doc_id", "text").collect()
+    rows = docs.select("doc_id", "text", "lang").collect()
     v = np.array([np.frombuffer(mx.profile_text(r.text)[1], np.int8) for r in rows]).astype(float)
+    lang = np.array([r.lang or "" for r in rows])
+    for own in set(lang.tolist()):
+        v[lang == own] -= np.where(v[lang == own].any(1)[:, None], v[lang == own].sum(0) / (lang == own).sum(), 0)
+    v = np.round(v * 127 / np.maximum(np.sqrt((v * v).sum(1)), 1e-9)[:, None])
     mean = v.sum(0) / len(v)
     own = {x.tobytes(): hashlib.md5(x.astype(np.int8).tobytes()).hexdigest() for x in v}
     first = np.array([np.frombuffer(x) for x in sorted(own, key=own.get)[: mx.SEEDS]])
