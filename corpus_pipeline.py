@@ -56,7 +56,7 @@ def _benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn by their cell's calibrated probability."""
-    rows = written(mixing.profiled(_packed(docs)), "pipeline-profile")  # texts are read once
+    rows = written(mixing.profiled(_packed(docs)).drop("text"), "pipeline-profile")  # texts are read once
     return _unpacked(mixing.mix(mixing.with_topics(rows)).filter("kept"))
 
 
