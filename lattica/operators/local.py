@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lattica.functions.orbits import five_node_counts
-from lattica.graphs import KEY, GraphSet, per_node
+from lattica.graphs import KEY, GraphSet
+
 
 def zero() -> Column:
     """0.0; made when used, since literals need a session and workers import this module without one."""
@@ -226,6 +226,27 @@ def quads(g: GraphSet) -> DataFrame:
 ROLES = {3: (8, 9, 9, 9), 4: (16, 17, 17, 16), 5: (20, 21, 21, 22), 6: (24, 24, 24, 24)}
 
 
+#: Candidates taken at each step of growing five nodes, and subgraphs of a graph at most.
+BRANCHES, FIVES = (10, 5, 3, 2), 1000
+
+
+def fives(g: GraphSet, limit: int = FIVES) -> DataFrame:
+    """(graph_id, path, k): the first connected subgraphs of five nodes in order of their paths, and their edges.
+
+    Paths start at every node; a step ranks the candidates next to a path (the second: next to both of its
+    nodes) by id and keeps the first few, so there are at most 300 paths a node.
+    """
+    near, rows = g.adj.toDF("graph_id", "at", "c"), g.nodes.select("graph_id", F.array("node_id").alias("path"))
+    for i, most in enumerate(BRANCHES):
+        own = rows.withColumn("at", F.explode("path")).join(near, ["graph_id", "at"]).filter(~F.array_contains("path", F.col("c")))
+        met = own.groupBy("graph_id", "path", "c").agg(F.count("*").alias("k")).filter(F.col("k") >= (2 if i == 1 else 1))
+        rank = F.row_number().over(W.partitionBy("graph_id", "path").orderBy("c"))
+        rows = met.withColumn("r", rank).filter(F.col("r") <= most).select("graph_id", F.concat("path", F.array("c")).alias("path"))
+    rows = rows.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy("path"))).filter(F.col("r") <= limit).drop("r")
+    pairs = F.array(*(F.struct(F.least(F.col("path")[a], F.col("path")[b]).alias("src"), F.greatest(F.col("path")[a], F.col("path")[b]).alias("dst")) for a in range(5) for b in range(a)))
+    return rows.select("graph_id", "path", F.inline(pairs)).join(g.edges, ["graph_id", "src", "dst"], "left_semi").groupBy("graph_id", "path").agg(F.count("*").alias("k"))
+
+
 def gdv(g: GraphSet, d: DataFrame | None = None, max_graphlet_size: int = 4) -> DataFrame:
     """73 orbit columns: 3-node orbits in closed form, 4-node ones by positions in id order and edge counts, 5-node ones
     (max_graphlet_size 5 only, else 0) from a bounded sample in id order."""
@@ -241,7 +262,8 @@ def gdv(g: GraphSet, d: DataFrame | None = None, max_graphlet_size: int = 4) ->
         have |= {o: f"q{o}" for o in orbits}
     if max_graphlet_size >= 5:
         late = [k for k in range(28, 73) if (k - 28) % 3 == 0 or k == 72]
-        five = per_node(g, lambda x: dict(zip([f"f{k}" for k in late], five_node_counts(x)[:, late].T, strict=True)), [f"f{k}" for k in late])
+        orbit = F.least(28 + 3 * F.greatest(F.col("k") - 4, F.lit(0)), F.lit(72))
+        five = fives(g).select("graph_id", F.explode("path").alias("node_id"), orbit.alias("orbit")).groupBy(*KEY).agg(*(F.count(F.when(F.col("orbit") == k, 1)).alias(f"f{k}") for k in late))
         out = out.join(five, KEY, "left")
         have |= {k: f"f{k}" for k in late}
     return out.select(*KEY, *((F.coalesce(F.col(have[k]).cast("double"), zero()) if k in have else zero()).alias(f"gdv_orbit_{k}") for k in range(73)))

@@ -274,3 +274,14 @@ def test_edgelist_query_has_the_edges_of_all_graphs(spark):
     assert len({a >> 32 for _, a, _ in want}) > 1
     got = [tuple(r) for r in files.queries()["parse_edgelist"](spark, d).collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_five_node_sample(spark):
+    tail = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4)]
+    h = graphs(spark, (gen.complete(6), 6), (gen.complete(7), 7), (tail, 5), (gen.path(6), 6))
+    out = local.gdv(h, max_graphlet_size=5)
+    # all 720 paths of K6, each with 10 edges; of K7 the first 1000; a triangle in 6 orders and its tail; no triangle
+    assert column(out, 0, "gdv_orbit_46") == [600] * 6 and sum(column(out, 1, "gdv_orbit_46")) == 5000
+    assert column(out, 2, "gdv_orbit_31") == [6] * 5 and column(out, 3, "gdv_orbit_28") == [0] * 6
+    paths = [r.path for r in local.fives(h).filter("graph_id = 1").orderBy("path").collect()]
+    assert paths[0] == [0, 1, 2, 3, 4] and len(paths) == 1000 and paths[-1] < [6, 6, 6, 6, 6]
