@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from hashlib import md5
 
 import numpy as np
 
@@ -94,9 +95,9 @@ def closeness_and_eccentricity(g: Local) -> dict[str, np.ndarray]:
 
 
 def betweenness(g: Local, pivots: int | None = None, seed: int = 0) -> np.ndarray:
-    """Shares of shortest paths through each node (Brandes), normalised; from a seeded sample of pivots in larger graphs."""
+    """Shares of shortest paths through each node (Brandes), normalised; in larger graphs from the pivots with the least hashes of (seed, node)."""
     near, total = g.neighbours(), np.zeros(g.n)
-    sources = range(g.n) if pivots is None or g.n <= pivots else np.sort(np.random.default_rng([seed, g.n]).permutation(g.n)[:pivots]).tolist()
+    sources = range(g.n) if pivots is None or g.n <= pivots else sorted(np.lexsort((np.arange(g.n), coins(g.ids, str(seed))))[:pivots].tolist())
     for s in sources:
         sigma, dist, order, before = [0.0] * g.n, [-1] * g.n, [], [[] for _ in range(g.n)]
         sigma[s], dist[s] = 1.0, 0
@@ -146,20 +147,27 @@ def mwua(g: Local, max_iter: int = 200, tol: float | None = 1e-5) -> dict[str, n
     return dict(zip(names, (sums / rounds, np.divide(load, d, out=np.zeros(g.n), where=d > 0), np.where(d > 0, least, 0), most), strict=True))
 
 
+def coins(ids: np.ndarray, key: str) -> np.ndarray:
+    """A whole number below 2^32 for each id: a hash that any SQL engine can repeat."""
+    return np.array([int(md5(f"{key}:{v}".encode()).hexdigest()[:8], 16) for v in ids.tolist()], np.int64)
+
+
 def mis_frequency(g: Local, runs: int = 20, seed: int = 0) -> np.ndarray:
-    """How often each node is in Luby's random maximal independent set; numpy's generator, one for all runs."""
-    counts, rng = np.zeros(g.n), np.random.default_rng(seed)
+    """How often each node is in Luby's random maximal independent set; a round's priorities are hashes of (seed, run, round, node)."""
+    counts = np.zeros(g.n)
     a, b = np.concatenate((g.src, g.dst)), np.concatenate((g.dst, g.src))
-    for _ in range(runs):
-        alive, r = np.ones(g.n, bool), rng.random(g.n)
+    for run in range(runs):
+        alive, k = np.ones(g.n, bool), 0
         while alive.any():
+            r = np.zeros(g.n, np.int64)
+            r[alive] = coins(g.ids[alive], f"{seed}:{run}:{k}")
             live = alive[a] & alive[b]
             beaten = np.zeros(g.n, bool)
-            beaten[a[live & (r[a] <= r[b])]] = True
+            beaten[a[live & (r[a] >= r[b])]] = True
             win = alive & ~beaten
             counts[win] += 1
             gone = win.copy()
             gone[b[win[a]]] = True
             alive &= ~gone
-            r = rng.random(g.n)
+            k += 1
     return counts / runs

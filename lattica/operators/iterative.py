@@ -33,22 +33,36 @@ def _or(values: np.ndarray | None, otherwise: np.ndarray) -> np.ndarray:
 
 def pagerank(g: GraphSet, alpha: float = 0.85, tol: float | None = 1e-6, max_iter: int = 100, fallback: str = "zero", name: str = "rw_pagerank", spread: bool = False) -> DataFrame:
     if spread:
-        return _pagerank_rounds(g, alpha, max_iter, name)
+        return _pagerank_rounds(g, alpha, tol, max_iter, fallback, name)
     return per_node(g, {name: lambda x: _or(ct.pagerank(x, alpha, tol, max_iter), np.zeros(x.n) if fallback == "zero" else np.full(x.n, 1 / max(x.n, 1)))})
 
 
-def _pagerank_rounds(g: GraphSet, alpha: float, rounds: int, name: str) -> DataFrame:
-    d = checkpointed(degree(g))
+def _pagerank_rounds(g: GraphSet, alpha: float, tol: float | None, rounds: int, fallback: str, name: str) -> DataFrame:
+    """Rounds over all graphs that have not settled yet. A graph's sums are partial aggregates joined back, so no task holds a graph."""
     links = checkpointed(g.adj)
-    x = d.select(*KEY, "d", "n", (1 / F.col("n")).alias("x"))
-    for i in range(rounds):
-        share = x.filter("d > 0").select("graph_id", F.col("node_id").alias("u"), (F.col("x") / F.col("d")).alias("y"))
+    d = links.groupBy("graph_id", F.col("v").alias("node_id")).agg(F.count("*").alias("d"))
+    n = g.nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    open_ = checkpointed(g.nodes.select(*KEY).join(d, KEY, "left").join(n, "graph_id").select(*KEY, F.coalesce("d", F.lit(0)).alias("d"), "n", (1 / F.col("n")).alias("x")))
+    done = None
+    for _ in range(rounds):
+        share = open_.filter("d > 0").select("graph_id", F.col("node_id").alias("u"), (F.col("x") / F.col("d")).alias("y"))
         got = links.join(share, ["graph_id", "u"]).groupBy("graph_id", F.col("v").alias("node_id")).agg(F.sum("y").alias("s"))
-        lost = F.sum(F.when(F.col("d") == 0, F.col("x")).otherwise(0.0)).over(W.partitionBy("graph_id"))
-        x = x.withColumn("z", lost).join(got, KEY, "left").select(*KEY, "d", "n", (alpha * (F.coalesce("s", F.lit(0.0)) + F.col("z") / F.col("n")) + (1 - alpha) / F.col("n")).alias("x"))
-        if i % 5 == 4:
-            x = checkpointed(x)
-    return x.select(*KEY, F.col("x").alias(name))
+        lost = open_.groupBy("graph_id").agg(F.sum(F.when(F.col("d") == 0, F.col("x")).otherwise(0.0)).alias("z"))
+        y = alpha * (F.coalesce("s", F.lit(0.0)) + F.col("z") / F.col("n")) + (1 - alpha) / F.col("n")
+        new = checkpointed(open_.join(got, KEY, "left").join(lost, "graph_id").select(*KEY, "d", "n", F.col("x").alias("was"), y.alias("x")))
+        open_ = new.drop("was")
+        if tol is not None:
+            moved = F.sum(F.abs(F.col("x") - F.col("was"))) < F.first("n") * tol
+            settled = checkpointed(new.groupBy("graph_id").agg(moved.alias("settled")))
+            if settled.filter("settled").isEmpty():
+                continue
+            ready = new.join(settled.filter("settled"), "graph_id", "left_semi").select(*KEY, "x")
+            done = checkpointed(ready if done is None else done.union(ready))
+            open_ = checkpointed(open_.join(settled.filter("not settled"), "graph_id", "left_semi"))
+            if open_.isEmpty():
+                return done.select(*KEY, F.col("x").alias(name))
+    rest = open_.select(*KEY, (F.col("x") if tol is None else F.lit(0.0) if fallback == "zero" else 1 / F.col("n")).alias("x"))
+    return (rest if done is None else done.union(rest)).select(*KEY, F.col("x").alias(name))
 
 
 def eigenvector(g: GraphSet, tol: float | None = 1e-4, max_iter: int = 100, fallback: str = "zero", name: str = "rw_eigenvector_centrality") -> DataFrame:

@@ -28,6 +28,26 @@ pn AS (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS v FROM
 nodes AS MATERIALIZED (SELECT g, v FROM pn),
 edges AS MATERIALIZED (SELECT tp.g, least(p.v, q.v) AS a, greatest(p.v, q.v) AS b FROM tp JOIN pn p ON p.g = tp.g AND p.k = tp.x JOIN pn q ON q.g = tp.g AND q.k = tp.y),
 """
+LINES = """
+tp AS (SELECT DISTINCT s_nationkey::BIGINT AS g, -l_linenumber AS a, s_suppkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50 AND l_discount = 0.10),
+pn AS (SELECT g, k, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS v FROM (SELECT g, a AS k FROM tp UNION SELECT g, b FROM tp)),
+nodes AS MATERIALIZED (SELECT g, v FROM pn),
+edges AS MATERIALIZED (SELECT tp.g, p.v AS a, q.v AS b FROM tp JOIN pn p ON p.g = tp.g AND p.k = tp.a JOIN pn q ON q.g = tp.g AND q.k = tp.b),
+"""
+#: Least covers of bipartite graphs with few nodes on the low side: choose some of these, and every other node with a neighbour that is not chosen.
+BIPARTITE = """mask AS (SELECT g, b AS v, sum(1 << a)::BIGINT AS bits FROM edges GROUP BY ALL),
+low AS (SELECT g, max(a) + 1 AS k FROM edges GROUP BY g),
+mc AS MATERIALIZED (SELECT g, min(size)::BIGINT AS size FROM (
+  SELECT c.g, c.s, any_value(bit_count(c.s)) + sum(((mask.bits & ~c.s) <> 0)::INT) AS size FROM (SELECT g, unnest(range(0, (1 << k)::BIGINT)) AS s FROM low) c JOIN mask ON mask.g = c.g GROUP BY c.g, c.s) GROUP BY g)"""
+#: is_bipartite: no edge whose ends are equally far, modulo 2, from their component's least node. After apsp().
+ODD = """root AS (SELECT g, v, min(struct_pack(s := s, dist := dist)) AS r FROM sp GROUP BY ALL),
+odd AS (SELECT DISTINCT e.g FROM edges e JOIN root x ON x.g = e.g AND x.v = e.a JOIN root y ON y.g = e.g AND y.v = e.b WHERE x.r.dist % 2 = y.r.dist % 2)"""
+#: Half a least cover of the bipartite double cover, rounded up: choose some left copies, and the right copies next to others.
+LP = """ng AS (SELECT g, count(*) AS n FROM nodes GROUP BY g),
+near AS (SELECT nodes.g, nodes.v, coalesce(sum(1 << u), 0)::BIGINT AS bits FROM nodes LEFT JOIN adj USING (g, v) GROUP BY ALL),
+lp AS (SELECT g, min(size) AS twice FROM (
+  SELECT c.g, c.s, bit_count(any_value(c.s)) + bit_count(bit_or(CASE WHEN (c.s >> near.v) & 1 = 0 THEN near.bits ELSE 0 END)) AS size
+  FROM (SELECT g, unnest(range(0, (1 << n)::BIGINT)) AS s FROM ng) c JOIN near ON near.g = c.g GROUP BY c.g, c.s) GROUP BY g)"""
 COMMON = """
 adj AS MATERIALIZED (SELECT g, a AS v, b AS u FROM edges UNION ALL SELECT g, b, a FROM edges),
 deg AS MATERIALIZED (
@@ -68,28 +88,6 @@ def apsp(depth: int) -> str:
 DEPTH = 14
 
 
-def pagerank_sql(rounds: int) -> str:
-    out = ["p0 AS MATERIALIZED (SELECT g, v, 1.0 / n AS x FROM deg)"]
-    for k in range(1, rounds + 1):
-        out.append(
-            f"q{k} AS (SELECT adj.g, adj.v, sum(p.x / deg.d) AS s FROM adj JOIN p{k - 1} p ON p.g = adj.g AND p.v = adj.u JOIN deg ON deg.g = adj.g AND deg.v = adj.u GROUP BY ALL), "
-            f"z{k} AS (SELECT p.g, sum(CASE WHEN d = 0 THEN p.x ELSE 0 END) AS z FROM p{k - 1} p JOIN deg USING (g, v) GROUP BY p.g), "
-            f"p{k} AS MATERIALIZED (SELECT deg.g, deg.v, 0.85 * (coalesce(s, 0) + z / n) + 0.15 / n AS x FROM deg JOIN z{k} USING (g) LEFT JOIN q{k} USING (g, v))"
-        )
-    return ", ".join(out)
-
-
-def eigenvector_sql(rounds: int) -> str:
-    out = ["e0 AS MATERIALIZED (SELECT g, v, 1.0 / n AS x FROM deg)"]
-    for k in range(1, rounds + 1):
-        out.append(
-            f"f{k} AS (SELECT adj.g, adj.v, sum(e.x) AS s FROM adj JOIN e{k - 1} e ON e.g = adj.g AND e.v = adj.u GROUP BY ALL), "
-            f"h{k} AS MATERIALIZED (SELECT e.g, e.v, e.x + coalesce(s, 0) AS x FROM e{k - 1} e LEFT JOIN f{k} USING (g, v)), "
-            f"e{k} AS MATERIALIZED (SELECT g, v, x / sqrt(sum(x * x) OVER (PARTITION BY g)) AS x FROM h{k})"
-        )
-    return ", ".join(out)
-
-
 def core_sql(rounds: int) -> str:
     """Cores as the limit of h-indices of the neighbours' values, from the degrees."""
     out = ["c0 AS MATERIALIZED (SELECT g, v, d AS c FROM deg)"]
@@ -105,18 +103,73 @@ def core_sql(rounds: int) -> str:
 CORES = 40
 
 
-def mwua_sql(rounds: int) -> str:
-    out = ["w0 AS MATERIALIZED (SELECT g, a, b, 1.0::DOUBLE AS w FROM edges)"]
-    for k in range(1, rounds + 1):
-        out.append(
-            f"s{k} AS (SELECT g, v, sum(w) AS s FROM (SELECT g, a AS v, w FROM w{k - 1} UNION ALL SELECT g, b, w FROM w{k - 1}) GROUP BY ALL), "
-            f"x{k} AS MATERIALIZED (SELECT nodes.g, nodes.v, greatest(0, 1 - coalesce(s, 0) / W) AS x FROM nodes JOIN (SELECT g, sum(w) AS W FROM w{k - 1} GROUP BY g) USING (g) LEFT JOIN s{k} USING (g, v)), "
-            f"w{k} AS MATERIALIZED (SELECT w.g, a, b, w * (1 + greatest(0, p.x + q.x - 1)) AS w FROM w{k - 1} w JOIN x{k} p ON p.g = w.g AND p.v = a JOIN x{k} q ON q.g = w.g AND q.v = b)"
-        )
-    union = " UNION ALL ".join(f"SELECT * FROM x{k}" for k in range(1, rounds + 1))
-    out.append(f"mx AS (SELECT g, v, avg(x) AS ax FROM ({union}) GROUP BY ALL)")
-    out.append(f"mw AS (SELECT g, v, avg(w) AS aw, min(w) AS iw, max(w) AS xw FROM (SELECT g, a AS v, w FROM w{rounds} UNION ALL SELECT g, b, w FROM w{rounds}) GROUP BY ALL)")
-    return ", ".join(out)
+#: adj with every node as its own neighbour too: a recursion may name its table once, and so sees old and new values.
+SELF = "adjs AS MATERIALIZED (SELECT g, v, u FROM adj UNION ALL SELECT g, v, v FROM nodes)"
+
+
+def settled(name: str, tol: float, fallback: str) -> str:
+    return f"{name}x AS MATERIALIZED (SELECT g, v, CASE WHEN err < n * {tol} THEN x ELSE {fallback} END AS x FROM {name} JOIN deg USING (g, v) QUALIFY k = max(k) OVER (PARTITION BY g))"
+
+
+def pagerank_until(tol: float = 1e-6, rounds: int = 100, fallback: str = "0", name: str = "pt") -> str:
+    """Rounds until a graph's values move by less than n * tol in all: {name}x(g, v, x). Needs SELF."""
+    return (
+        f"""{name}(g, v, k, x, err) AS (
+  SELECT g, v, 0, 1.0::DOUBLE / n, n::DOUBLE FROM deg
+  UNION ALL
+  SELECT g, v, k + 1, y, sum(abs(y - x)) OVER (PARTITION BY g) FROM (
+    SELECT q.g, j.u AS v, q.k, sum(q.x) FILTER (j.u = j.v) AS x, 0.85 * (coalesce(sum(q.x / q.d) FILTER (j.u <> j.v), 0) + any_value(z) / any_value(n)) + 0.15 / any_value(n) AS y
+    FROM (SELECT p.g, p.v, p.k, p.x, deg.d, deg.n, sum(CASE WHEN deg.d = 0 THEN p.x ELSE 0 END) OVER (PARTITION BY p.g) AS z FROM {name} p JOIN deg ON deg.g = p.g AND deg.v = p.v WHERE p.err >= deg.n * {tol} AND p.k < {rounds}) q
+    JOIN adjs j ON j.g = q.g AND j.v = q.v GROUP BY q.g, j.u, q.k)),
+"""
+        + settled(name, tol, fallback)
+    )
+
+
+def eigenvector_until(tol: float = 1e-4, rounds: int = 100, fallback: str = "0", name: str = "et") -> str:
+    return (
+        f"""{name}(g, v, k, x, err) AS (
+  SELECT g, v, 0, 1.0::DOUBLE / n, n::DOUBLE FROM deg
+  UNION ALL
+  SELECT g, v, k + 1, y, sum(abs(y - x)) OVER (PARTITION BY g) FROM (
+    SELECT g, v, k, x, s / sqrt(sum(s * s) OVER (PARTITION BY g)) AS y FROM (
+      SELECT p.g, j.u AS v, p.k, sum(p.x) FILTER (j.u = j.v) AS x, sum(p.x) AS s
+      FROM (SELECT e.* FROM {name} e JOIN deg ON deg.g = e.g AND deg.v = e.v WHERE e.err >= deg.n * {tol} AND e.k < {rounds}) p JOIN adjs j ON j.g = p.g AND j.v = p.v GROUP BY p.g, j.u, p.k))),
+"""
+        + settled(name, tol, fallback)
+    )
+
+
+def mwua_until(tol: float = 1e-5, rounds: int = 200) -> str:
+    """mx(g, v, ax) and mw(g, v, aw, iw, xw). The loads that a round starts from end with it, so weights move only where values did."""
+    return f"""mt(g, a, b, k, w, xa, xb, moved) AS (
+  SELECT g, a, b, 0, 1.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM edges
+  UNION ALL
+  SELECT g, a, b, k + 1, CASE WHEN moved < {tol} THEN w WHEN max(t) OVER (PARTITION BY g) > 1e8 THEN t / max(t) OVER (PARTITION BY g) ELSE t END, xa, xb, moved FROM (
+    SELECT *, w * (1 + greatest(0, xa + xb - 1)) AS t FROM (
+      SELECT g, a, b, any_value(k) AS k, any_value(w) AS w, any_value(x) FILTER (v = a) AS xa, any_value(x) FILTER (v = b) AS xb, any_value(moved) AS moved FROM (
+        SELECT *, max(abs(x - was)) OVER (PARTITION BY g) AS moved FROM (
+          SELECT *, greatest(0, 1 - sum(w) OVER (PARTITION BY g, v) / (sum(w) OVER (PARTITION BY g) / 2)) AS x FROM (
+            SELECT g, a, b, k, w, unnest([a, b]) AS v, unnest([xa, xb]) AS was FROM mt WHERE (moved IS NULL OR moved >= {tol}) AND k < {rounds})))
+      GROUP BY g, a, b))),
+mv AS (SELECT g, v, k, any_value(x) AS x FROM (SELECT g, k, unnest([a, b]) AS v, unnest([xa, xb]) AS x FROM mt WHERE k > 0) GROUP BY g, v, k),
+mx AS MATERIALIZED (SELECT nodes.g, nodes.v, coalesce(avg(x), 1) AS ax FROM nodes LEFT JOIN mv USING (g, v) GROUP BY ALL),
+ml AS (SELECT * FROM mt QUALIFY k = max(k) OVER (PARTITION BY g)),
+mw AS MATERIALIZED (SELECT g, v, avg(w) AS aw, min(w) AS iw, max(w) AS xw FROM (SELECT g, w, unnest([a, b]) AS v FROM ml) GROUP BY ALL)"""
+
+
+#: How often a node is in Luby's set, 20 runs with seed 0: lu holds the nodes alive at each round, and those that have won. Needs SELF.
+LUBY = """lu(g, run, k, v, won) AS (
+  SELECT g, run, 0, v, false FROM nodes, range(20) t(run)
+  UNION ALL
+  SELECT g, run, k + 1, v, mine FROM (
+    SELECT c.g, c.run, c.k, j.u AS v, bool_or(j.u = j.v) AS here, bool_or(j.u = j.v AND c.win) AS mine, bool_or(j.u <> j.v AND c.win) AS beside FROM (
+      SELECT g, run, k, v, coalesce(own < other, true) AS win FROM (
+        SELECT p.g, p.run, p.k, j.u AS v, min(p.r) FILTER (j.u = j.v) AS own, min(p.r) FILTER (j.u <> j.v) AS other
+        FROM (SELECT g, run, k, v, ('0x' || md5('0:' || run || ':' || k || ':' || v)[1:8])::BIGINT AS r FROM lu WHERE NOT won) p JOIN adjs j ON j.g = p.g AND j.v = p.v GROUP BY p.g, p.run, p.k, j.u)
+      WHERE own IS NOT NULL) c JOIN adjs j ON j.g = c.g AND j.v = c.v GROUP BY c.g, c.run, c.k, j.u)
+  WHERE here AND (mine OR NOT beside)),
+lf AS MATERIALIZED (SELECT g, v, count(*) FILTER (won) / 20.0::DOUBLE AS f FROM lu GROUP BY g, v)"""
 
 
 #: A score for each node that both engines compute alike: its degree scaled within the graph.

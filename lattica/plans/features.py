@@ -99,14 +99,49 @@ class Scaler:
 
 
 def queries() -> dict:
+    from lattica.queries import rounded, scaled_weights
     from lattica.sources import tables
 
     return {
-        "features_lauri": lambda spark, d: lauri(tables.suppliers(spark, d)),
-        "features_ajwani": lambda spark, d: ajwani(tables.suppliers(spark, d)),
-        "features_kernel": lambda spark, d: FeaturePipeline().extract(tables.parts(spark, d)),
+        "features_lauri": lambda spark, d: rounded(lauri(tables.parts(spark, d))),
+        "features_ajwani": lambda spark, d: rounded(scaled_weights(ajwani(tables.parts(spark, d)))),
+        "features_kernel": lambda spark, d: rounded(FeaturePipeline().extract(tables.parts(spark, d))),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from lattica import oracles as o
+    from lattica import queries as q
+
+    own = f"SELECT {o.ID}, "
+    lauri_sql = own + o.r6(n_nodes="n", n_edges="m", degree="d", lcc="lcc", eigenvec_centrality="x", chi2_degree="cd", chi2_degree_nbr="coalesce(a, 0)", chi2_lcc="cl", chi2_lcc_nbr="coalesce(b, 0)")
+    core = f"c{o.CORES}"
+    ajwani_sql = own + o.r6(
+        lcc="lcc", degree_centrality="CASE WHEN n <= 1 THEN 1.0 ELSE d / greatest(n - 1, 1) END", core_number="c::DOUBLE / greatest(max(c) OVER (PARTITION BY g), 1)", degree_rank="nr.x", min_nbr_deg_rank="coalesce(ni, 0)", max_nbr_deg_rank="coalesce(nx, 0)",
+        avg_nbr_deg_rank="coalesce(na, 0)", pagerank="ptx.x", mis_freq="f", mwua_avg_x="ax", **q.WEIGHTS,
+    )
+    symmetry = {f"vsko_sym{t}": q.symmetry(" + ".join(f"{local.SYMMETRIES[i][t]} * g{i}" for i in (0, 1) if t in local.SYMMETRIES[i]) or "0") for t in local.SYMMETRY_TYPES}
+    orbits = {f"gdv_orbit_{k}": f"coalesce(o{k}, 0)" if k in q.SOME_ORBITS else "0" for k in range(73)}
+    walks = {
+        "rw_degree": "d", "rw_degree_normalized": "d / greatest(n - 1, 1)", "rw_return_prob_t2": "t2", "rw_return_prob_t4": "t2 * t2", "rw_stationary_prob": "d / greatest(2 * m, 1)", "rw_local_clustering": "lcc",
+        "rw_avg_neighbor_degree": "coalesce(nd_avg, 0)", "rw_max_neighbor_degree": "coalesce(nd_max, 0)", "rw_min_neighbor_degree": "coalesce(nd_min, 0)", "rw_degree_centrality": "CASE WHEN n <= 1 THEN 1.0 ELSE d / greatest(n - 1, 1) END",
+        "rw_closeness_centrality": "CASE WHEN r < 2 THEN 0 ELSE (r - 1) / far * (r - 1) / (n - 1) END", "rw_betweenness_centrality": "CASE WHEN n > 2 THEN coalesce(bt, 0) * n / least(n, 50) / ((n - 1) * (n - 2)) ELSE coalesce(bt, 0) END",
+        "rw_eigenvector_centrality": "etx.x", "rw_pagerank": "ptx.x", "rw_core_number": "c", "rw_eccentricity": "CASE WHEN min(r) OVER (PARTITION BY g) = n THEN ecc ELSE -1 END", "rw_avg_dist_2hop_nbrs": "coalesce((2.0 * th.k - th.j) / th.k, 0)",
+        "rw_hitting_time_proxy": "h / greatest(max(h) OVER (PARTITION BY g), 1)", "rw_commute_time_proxy": "CASE WHEN d * hit.a = 0 THEN 0 ELSE 2.0 * m / (d * hit.a) END", "rw_triangle_count": "t",
+    }
+    counted = ", ".join(f"count(*) FILTER (o = {k}) AS o{k}" for k in q.SOME_ORBITS[3:])
+    kernel_more = f"""{o.SELF}, {o.pagerank_until()}, {o.eigenvector_until()}, {o.core_sql(o.CORES)}, {o.apsp(o.DEPTH)}, {q.RETURN}, {q.ORBITS}, {q.QUADS}, {q.TWO_HOP}, {q.HIT},
+qo AS (SELECT g, v, {counted} FROM role GROUP BY g, v),
+piv AS (SELECT g, v FROM nodes QUALIFY row_number() OVER (PARTITION BY g ORDER BY ('0x' || md5('0:' || v)[1:8])::BIGINT, v) <= 50),
+bw AS (SELECT x.g, x.v, sum(x.sigma * y.sigma / z.sigma) AS bt FROM sp x JOIN piv ON piv.g = x.g AND piv.v = x.s JOIN sp y ON y.g = x.g AND y.s = x.v JOIN sp z ON z.g = x.g AND z.s = x.s AND z.v = y.v AND z.dist = x.dist + y.dist WHERE x.dist > 0 AND y.dist > 0 GROUP BY ALL),
+pd AS (SELECT g, s AS v, count(*)::DOUBLE AS r, sum(dist) AS far, max(dist) AS ecc FROM sp GROUP BY g, sp.s),
+sh AS (SELECT g, v, o0, o1, o3, (o0 + o1) / 3.0 AS g0, o3 / 3.0 AS g1 FROM orb)"""
+    kernel_sql = own + o.r6(**symmetry, **orbits, **walks) + f", -1 AS label FROM loc JOIN sh USING (g, v) JOIN ret USING (g, v) JOIN (SELECT g, v, h, a FROM hit) hit USING (g, v) JOIN ptx USING (g, v) JOIN etx USING (g, v) JOIN {core} USING (g, v) JOIN pd USING (g, v) LEFT JOIN nb USING (g, v) LEFT JOIN qo USING (g, v) LEFT JOIN bw USING (g, v) LEFT JOIN th USING (g, v)"
+    return {
+        "features_lauri": o.over(lauri_sql + " FROM chi JOIN etx USING (g, v) LEFT JOIN cn USING (g, v)", more=f"{o.SELF}, {o.eigenvector_until(1e-6, 1000, 'd / greatest(n - 1, 1)')}, {q.CHI}, {q.CHI_NEAR}"),
+        "features_ajwani": o.over(
+            ajwani_sql + f" FROM loc JOIN {core} USING (g, v) JOIN nr USING (g, v) JOIN ptx USING (g, v) JOIN lf USING (g, v) JOIN mx USING (g, v) LEFT JOIN mw USING (g, v) LEFT JOIN rn USING (g, v)",
+            more=f"{o.SELF}, {o.pagerank_until(rounds=200, fallback='1.0 / n')}, {o.LUBY}, {o.mwua_until()}, {o.core_sql(o.CORES)}, {q.RANK}, rn AS (SELECT adj.g, adj.v, min(nr.x) AS ni, max(nr.x) AS nx, avg(nr.x) AS na FROM adj JOIN nr ON nr.g = adj.g AND nr.v = adj.u GROUP BY ALL)",
+        ),
+        "features_kernel": o.over(kernel_sql, more=kernel_more),
+    }

@@ -20,7 +20,6 @@ from lattica.plans import features
 from lattica.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
-PAGERANK_ROUNDS, EIGEN_ROUNDS, MWUA_ROUNDS = 25, 25, 10
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -35,6 +34,15 @@ def longs(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
 
+def scaled_weights(df: DataFrame) -> DataFrame:
+    """Weights grow to 1e8, beyond six shared places: here they are shares of their graph's largest."""
+    most = F.greatest(F.max("mwua_max_w").over(W.partitionBy("graph_id")), F.lit(1e-300))
+    return df.withColumns({c: F.col(c) / most for c in ("mwua_avg_w", "mwua_min_w", "mwua_max_w")})
+
+
+WEIGHTS = {f"mwua_{k}_w": f"coalesce({c}, 0) / greatest(max(coalesce(xw, 0)) OVER (PARTITION BY g), 1e-300)" for k, c in (("avg", "aw"), ("min", "iw"), ("max", "xw"))}
+
+
 def scored(g: GraphSet) -> DataFrame:
     """A stand-in for a model's output that SQL can repeat: labels by id, scores by degree."""
     return pruning.degree_scores(g).withColumn("label", (F.col("node_id") % 3 == 0).cast("int"))
@@ -109,6 +117,14 @@ COVER = """base AS MATERIALIZED (SELECT g, v FROM st WHERE forced = 1),
 open AS MATERIALIZED (SELECT * FROM edges e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.g = e.g AND b.v = e.a) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.g = e.g AND b.v = e.b))"""
 
 
+def symmetry(terms: str) -> str:
+    return f"coalesce(({terms}) / nullif(g0 + g1, 0), 0)"
+
+
+#: All 13 types; with 3-node graphlets alone ten of them are 0.
+SYMMETRY = {f"vsko_sym{t}": symmetry({"2_1": "g0 + 3 * g1", "3": "g1"}.get(t, "0")) for t in local.SYMMETRY_TYPES}
+
+
 def _solver_row(df: DataFrame) -> DataFrame:
     return df.select("graph_id", "size", "lp_bound", "is_optimal")
 
@@ -189,9 +205,9 @@ def queries() -> dict[str, Query]:
         "triangle_count_users": on_parts(lambda g: longs(local.triangles(g), "triangles"), tables.users),
         "clustering": on_parts(local.clustering),
         "orbit3_counts": on_parts(local.orbit3),
-        "vsko": on_parts(lambda g: local.vsko(g).select(*KEY, "vsko_sym2_1", "vsko_sym3", "vsko_sym5")),
-        "vsko_one_hop": on_parts(lambda g: local.vsko(g, ego_hops=1).select(*KEY, "vsko_sym2_1", "vsko_sym3")),
-        "gdv4_counts": on_parts(lambda g: local.gdv(g).select(*KEY, *(f"gdv_orbit_{k}" for k in SOME_ORBITS))),
+        "vsko": on_parts(local.vsko),
+        "vsko_one_hop": on_parts(lambda g: local.vsko(g, ego_hops=1)),
+        "gdv4_counts": on_parts(local.gdv),
         "ego_2hop_size": on_parts(lambda g: longs(local.ego_sizes(g, 2), "ego_edges")),
         "two_hop_dist": on_parts(local.two_hop),
         "hitting_commute": on_parts(local.hitting_commute),
@@ -206,12 +222,12 @@ def queries() -> dict[str, Query]:
         "closeness": on_parts(lambda g: iterative.path_features(g).select(*KEY, "rw_closeness_centrality")),
         "eccentricity": on_parts(lambda g: iterative.path_features(g).select(*KEY, "rw_eccentricity")),
         "betweenness": on_parts(lambda g: iterative.betweenness(g, None)),
-        "pagerank": on_parts(lambda g: iterative.pagerank(g, tol=None, max_iter=PAGERANK_ROUNDS)),
-        "pagerank_rounds": on_parts(lambda g: iterative.pagerank(g, max_iter=5, spread=True)),
-        "eigenvector": on_parts(lambda g: iterative.eigenvector(g, None, EIGEN_ROUNDS)),
+        "pagerank": on_parts(iterative.pagerank),
+        "pagerank_rounds": on_parts(lambda g: iterative.pagerank(g, spread=True)),
+        "eigenvector": on_parts(iterative.eigenvector),
         "connected_components": on_parts(iterative.components),
         "largest_component": on_parts(lambda g: longs(pruning.sizes(iterative.largest_component(g)), "n_nodes", "n_edges")),
-        "mwua": on_parts(lambda g: iterative.mwua(g, MWUA_ROUNDS, None)),
+        "mwua": on_parts(lambda g: scaled_weights(iterative.mwua(g))),
         "luby_mis": on_parts(iterative.mis_frequency),
         "structural_score": on_parts(pruning.structural_scores),
         "prune_structural": on_parts(lambda g: pruning.structural_pruner(g, 0.2)),
@@ -226,12 +242,15 @@ def queries() -> dict[str, Query]:
         "greedy_scores": on_parts(pruning.greedy_scores),
         "prune_greedy": on_parts(lambda g: pruning.greedy_pruner(g, 0.1, 0.85)),
         "matching_cover": on_parts(_matching),
-        "konig_cover": on_parts(lambda g: _solver_row(solvers.Solver("konig").solve(g)).select("graph_id", "is_optimal", (F.col("size") - F.col("lp_bound")).alias("over_bound")), tables.trade),
+        "konig_cover": on_parts(lambda g: _solver_row(solvers.Solver("konig").solve(g)), tables.lines),
         "exact_cover": on_parts(lambda g: _solver_row(solvers.Solver("exact").solve(g))),
         "exact_cover_small": on_parts(_small_exact, tables.suppliers),
         "approx_cover": on_parts(lambda g: solvers.Solver("approx").solve(g).select("graph_id", "size", "backend")),
         "lp_bound": on_parts(solvers.lp_bounds),
+        "lp_bound_small": on_parts(solvers.lp_bounds, tables.suppliers),
+        "approx_cover_bipartite": on_parts(lambda g: solvers.Solver("approx").solve(g).select("graph_id", "size", "backend"), tables.lines),
         "bipartite_check": on_parts(solvers.bipartite, tables.trade),
+        "bipartite_check_parts": on_parts(solvers.bipartite),
         "class_balance": on_parts(lambda g: learning.class_balance(scored(g))),
         "group_folds": on_parts(_folds),
         "threshold_tuning": on_parts(lambda g: evaluation.tune_threshold(scored(g), ["graph_id"])),
@@ -241,15 +260,15 @@ def queries() -> dict[str, Query]:
         "eval_summary": on_parts(lambda g: evaluation.summary(_eval_rows(g))),
         "wilcoxon": lambda spark, d: rounded(statistics.signed_ranks(runs(spark, d), ["config"])),
         "wilcoxon_p": lambda spark, d: statistics.wilcoxon(runs(spark, d), ["config", "run"]),
-        "bootstrap_ci": lambda spark, d: rounded(statistics.bootstrap_means(runs(spark, d), ["config"], ["event_id"], "speedup", 50)),
-        "bootstrap_median_ci": lambda spark, d: statistics.bootstrap_ci(runs(spark, d), ["config"], n_bootstrap=200),
+        "bootstrap_ci": lambda spark, d: rounded(statistics.bootstrap_hashed(runs(spark, d), ["config"], ["event_id"], "speedup", 50)),
+        "bootstrap_median_ci": lambda spark, d: rounded(statistics.bootstrap_hashed(runs(spark, d), ["config"], ["event_id"], "speedup", 200, median=True)),
         "cohens_d": lambda spark, d: rounded(statistics.cohens_d(runs(spark, d), ["config"], "run", 0, 1)),
         "summarise_runs": lambda spark, d: rounded(statistics.summarise_runs(runs(spark, d)).drop(*NO_P)),
         "compare_configs": lambda spark, d: rounded(statistics.compare_configs(runs(spark, d)).drop(*NO_P)).withColumn("place", F.row_number().over(W.orderBy(F.col("median_speedup").desc(), "config")).cast("long")),
         "sensitivity_table": lambda spark, d: rounded(statistics.sensitivity_table(runs(spark, d).withColumn("config", F.concat(F.lit("pt="), (F.col("run") * 0.05).cast("decimal(4,2)").cast("string"))))).drop(*NO_P),
         "experiment_grid": _grid,
         "config_tags": lambda spark, d: experiments.grid(spark).select("config_id", "seed", experiments.run_tag().alias("tag")),
-        "mvc_labels": on_parts(lambda g: solvers.labelled(g, solvers.Solver("konig").solve(g)).nodes.groupBy("graph_id").agg(F.sum("label").alias("n_positive")), tables.trade),
+        "mvc_labels": on_parts(lambda g: solvers.labelled(g, solvers.Solver("konig").solve(g)).nodes.groupBy("graph_id").agg(F.sum("label").alias("n_positive")), tables.lines),
     }
     return out | files.queries() | catalogue.queries() | features.queries() | learning.queries() | pipelines.queries()
 
@@ -264,7 +283,6 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
     scored_sql = f"{o.PROBS}, {SCORED}"
     shares = "sh AS (SELECT g, v, (o0 + o1) / 3.0 AS g0, o3 / 3.0 AS g1 FROM orb)"
     one_hop = "sh AS (SELECT g, v, o1 / 3.0 AS g0, o3 / 3.0 AS g1 FROM orb)"
-    vsko = lambda name: f"coalesce(({name}) / nullif(g0 + g1, 0), 0)"
     out = {
         "graph_stats": over(sizes),
         "graph_stats_users": over(sizes, o.USERS),
@@ -288,10 +306,10 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
         "triangle_count_users": over(f"SELECT {ID}, t::BIGINT AS triangles FROM tri", o.USERS),
         "clustering": over(f"SELECT {ID}, {r6(rw_local_clustering='lcc', rw_triangle_count='t')} FROM loc"),
         "orbit3_counts": over(f"SELECT {ID}, {r6(orbit_0='o0', orbit_1='o1', orbit_3='o3')} FROM orb", more=ORBITS),
-        "vsko": over(f"SELECT {ID}, {r6(vsko_sym2_1=vsko('g0 + 3 * g1'), vsko_sym3=vsko('g1'), vsko_sym5='0')} FROM sh", more=f"{ORBITS}, {shares}"),
-        "vsko_one_hop": over(f"SELECT {ID}, {r6(vsko_sym2_1=vsko('g0 + 3 * g1'), vsko_sym3=vsko('g1'))} FROM sh", more=f"{ORBITS}, {one_hop}"),
+        "vsko": over(f"SELECT {ID}, {r6(**SYMMETRY)} FROM sh", more=f"{ORBITS}, {shares}"),
+        "vsko_one_hop": over(f"SELECT {ID}, {r6(**SYMMETRY)} FROM sh", more=f"{ORBITS}, {one_hop}"),
         "gdv4_counts": over(
-            f"SELECT {ID}, {r6(gdv_orbit_0='any_value(o0)', gdv_orbit_1='any_value(o1)', gdv_orbit_3='any_value(o3)', **{f'gdv_orbit_{k}': f'count(*) FILTER (o = {k})' for k in SOME_ORBITS[3:]})} FROM orb LEFT JOIN role USING (g, v) GROUP BY g, v",
+            f"SELECT {ID}, {r6(gdv_orbit_0='any_value(o0)', gdv_orbit_1='any_value(o1)', gdv_orbit_3='any_value(o3)', **{f'gdv_orbit_{k}': f'count(*) FILTER (o = {k})' if k in SOME_ORBITS else '0' for k in range(73) if k not in (0, 1, 3)})} FROM orb LEFT JOIN role USING (g, v) GROUP BY g, v",
             more=f"{ORBITS}, {QUADS}",
         ),
         "ego_2hop_size": over(
@@ -321,15 +339,16 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
             f"SELECT {ID}, {r6(rw_betweenness_centrality='coalesce(b, 0) / ((n - 1) * (n - 2))')} FROM deg LEFT JOIN bt USING (g, v)",
             more=o.apsp(gs) + ", bt AS (SELECT x.g, x.v, sum(x.sigma * y.sigma / z.sigma) AS b FROM sp x JOIN sp y ON y.g = x.g AND y.s = x.v JOIN sp z ON z.g = x.g AND z.s = x.s AND z.v = y.v AND z.dist = x.dist + y.dist WHERE x.dist > 0 AND y.dist > 0 GROUP BY ALL)",
         ),
-        "pagerank": over(f"SELECT {ID}, {r6(rw_pagerank='x')} FROM p{PAGERANK_ROUNDS}", more=o.pagerank_sql(PAGERANK_ROUNDS)),
-        "pagerank_rounds": over(f"SELECT {ID}, {r6(rw_pagerank='x')} FROM p5", more=o.pagerank_sql(5)),
-        "eigenvector": over(f"SELECT {ID}, {r6(rw_eigenvector_centrality='x')} FROM e{EIGEN_ROUNDS}", more=o.eigenvector_sql(EIGEN_ROUNDS)),
+        "pagerank": (pagerank := over(f"SELECT {ID}, {r6(rw_pagerank='x')} FROM ptx", more=f"{o.SELF}, {o.pagerank_until()}")),
+        "pagerank_rounds": pagerank,
+        "eigenvector": over(f"SELECT {ID}, {r6(rw_eigenvector_centrality='x')} FROM etx", more=f"{o.SELF}, {o.eigenvector_until()}"),
+        "luby_mis": over(f"SELECT {ID}, f AS mis_freq FROM lf", more=f"{o.SELF}, {o.LUBY}"),
         "connected_components": over(f"SELECT {ID}, min(s)::BIGINT AS component FROM sp GROUP BY g, v", more=o.apsp(gs)),
         "largest_component": over(
             "SELECT big.g AS graph_id, k::BIGINT AS n_nodes, (SELECT count(*) FROM edges e JOIN cc x ON x.g = e.g AND x.v = e.a WHERE e.g = big.g AND x.c = big.c)::BIGINT AS n_edges FROM big",
             more=o.apsp(gs) + ", cc AS MATERIALIZED (SELECT g, v, min(s) AS c FROM sp GROUP BY g, v), sz AS (SELECT g, c, count(*) AS k FROM cc GROUP BY g, c), big AS (SELECT * FROM sz WHERE k >= 5 QUALIFY row_number() OVER (PARTITION BY g ORDER BY k DESC, c) = 1)",
         ),
-        "mwua": over(f"SELECT {ID}, {r6(mwua_avg_x='ax', mwua_avg_w='coalesce(aw, 0)', mwua_min_w='coalesce(iw, 0)', mwua_max_w='coalesce(xw, 0)')} FROM mx LEFT JOIN mw USING (g, v)", more=o.mwua_sql(MWUA_ROUNDS)),
+        "mwua": over(f"SELECT {ID}, {r6(mwua_avg_x='ax', **WEIGHTS)} FROM mx LEFT JOIN mw USING (g, v)", more=o.mwua_until()),
         "structural_score": over(f"SELECT {ID}, {r6(prob='score')} FROM ss", more=o.STRUCTURAL),
         "prune_structural": over(STATUS, more=o.STRUCTURAL + ", " + o.pruned(0.2, 1.1).replace(o.PROBS, "pr AS MATERIALIZED (SELECT ss.g, ss.v, round(score, 12) AS p, n FROM ss JOIN deg USING (g, v))")),
         **status,
@@ -354,9 +373,13 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
             BRUTE + ", mc AS (SELECT sets.g, min(bit_count(sets.s))::BIGINT AS size FROM sets LEFT JOIN bad ON bad.g = sets.g AND bad.s = sets.s WHERE bad.s IS NULL GROUP BY sets.g)",
         ),
         "matching_cover": over("SELECT g AS graph_id, unnest(used) AS node_id FROM (SELECT g, used FROM mt QUALIFY row_number() OVER (PARTITION BY g ORDER BY len(used) DESC) = 1)", more=MATCHING),
-        "konig_cover": over("SELECT DISTINCT g AS graph_id, 1 AS is_optimal, 0::BIGINT AS over_bound FROM nodes", o.TRADE),
+        "konig_cover": over("SELECT g AS graph_id, size, size AS lp_bound, 1 AS is_optimal FROM mc", o.LINES, o.BIPARTITE),
+        "approx_cover_bipartite": over("SELECT g AS graph_id, size, 'approx_konig' AS backend FROM mc", o.LINES, o.BIPARTITE),
+        "mvc_labels": over("SELECT g AS graph_id, size AS n_positive FROM mc", o.LINES, o.BIPARTITE),
+        "lp_bound_small": over("SELECT g AS graph_id, ceil(twice / 2)::BIGINT AS lp_bound FROM lp", o.SUPPLIERS, o.LP),
         "exact_cover_small": over("SELECT sets.g AS graph_id, min(bit_count(sets.s))::BIGINT AS size FROM sets LEFT JOIN bad ON bad.g = sets.g AND bad.s = sets.s WHERE bad.s IS NULL GROUP BY sets.g", o.SUPPLIERS, BRUTE),
-        "bipartite_check": over("SELECT DISTINCT g AS graph_id, 1 AS is_bipartite FROM nodes", o.TRADE),
+        "bipartite_check": over("SELECT DISTINCT g AS graph_id, (g NOT IN (SELECT g FROM odd))::INT AS is_bipartite FROM nodes", o.TRADE, f"{o.apsp(8)}, {o.ODD}"),
+        "bipartite_check_parts": over("SELECT DISTINCT g AS graph_id, (g NOT IN (SELECT g FROM odd))::INT AS is_bipartite FROM nodes", more=f"{o.apsp(gs)}, {o.ODD}"),
         "class_balance": over("SELECT count(*) FILTER (label = 1)::BIGINT AS n_positive, count(*) FILTER (label = 0)::BIGINT AS n_negative, round(count(*) FILTER (label = 0) / greatest(count(*) FILTER (label = 1), 1), 6) AS scale_pos_weight FROM sc", more=scored_sql),
         "group_folds": over(
             "SELECT g AS graph_id, CASE WHEN ((k - 1) // 5) % 2 = 0 THEN (k - 1) % 5 ELSE 4 - (k - 1) % 5 END::BIGINT AS fold FROM (SELECT g, row_number() OVER (ORDER BY sum(label) DESC, g) AS k FROM sc GROUP BY g)", more=scored_sql
@@ -373,7 +396,7 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
         "eval_by_source_rollup": over(f"SELECT CASE WHEN grouping(source) = 1 THEN 'ALL' ELSE source END AS source, count(*)::BIGINT AS n_graphs, {r6(**{f'mean_{m}': f'avg({m})' for m in metrics})} FROM ev6 GROUP BY ROLLUP (source)", more=EVAL),
         "eval_summary": over(" UNION ALL ".join(f"SELECT '{m}' AS metric, {r6(mean=f'avg({m})', std=f'stddev_samp({m})', median=f'quantile_cont({m}, 0.5)')} FROM ev6" for m in metrics), more=EVAL),
         "wilcoxon": f"WITH {RUNS}, df AS (SELECT config, speedup - 1.0 AS x, round(abs(speedup - 1.0), 12) AS a FROM runs WHERE speedup <> 1), tk AS (SELECT *, count(*) OVER (PARTITION BY config, a) AS t, rank() OVER (PARTITION BY config ORDER BY a) AS r FROM df) SELECT config, round(sum(CASE WHEN x > 0 THEN r + (t - 1) / 2.0 ELSE 0 END), 6) AS w_plus, count(*)::BIGINT AS n_used, sum(t * t - 1)::DOUBLE AS ties FROM tk GROUP BY config",
-        "bootstrap_ci": f"WITH {RUNS}, vv AS MATERIALIZED (SELECT config, speedup AS x, row_number() OVER (PARTITION BY config ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY config) AS n FROM runs), dw AS (SELECT config, b, ('0x' || md5(b || ':' || i)[1:8])::BIGINT % n AS i FROM vv, range(50) t(b)), mm AS (SELECT dw.config, b, avg(x) AS mean FROM dw JOIN vv ON vv.config = dw.config AND vv.i = dw.i GROUP BY ALL) SELECT config, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM mm GROUP BY config",
+        **{name: f"WITH {RUNS}, vv AS MATERIALIZED (SELECT config, speedup AS x, row_number() OVER (PARTITION BY config ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY config) AS n FROM runs), dw AS (SELECT config, b, ('0x' || md5(b || ':' || i)[1:8])::BIGINT % n AS i FROM vv, range({draws}) t(b)), mm AS (SELECT dw.config, b, {stat} AS mean FROM dw JOIN vv ON vv.config = dw.config AND vv.i = dw.i GROUP BY ALL) SELECT config, round(quantile_cont(mean, 0.025), 6) AS ci_low, round(quantile_cont(mean, 0.975), 6) AS ci_high FROM mm GROUP BY config" for name, draws, stat in (("bootstrap_ci", 50, "avg(x)"), ("bootstrap_median_ci", 200, "quantile_cont(x, 0.5)"))},
         "cohens_d": f"WITH {RUNS}, cd AS (SELECT config, avg(speedup) FILTER (run = 0) AS ma, avg(speedup) FILTER (run = 1) AS mb, var_samp(speedup) FILTER (run = 0) AS va, var_samp(speedup) FILTER (run = 1) AS vb, count(*) FILTER (run = 0) AS na, count(*) FILTER (run = 1) AS nb FROM runs GROUP BY config) SELECT config, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohens_d FROM cd",
         "summarise_runs": f"WITH {RUNS} {SUMMARY}",
         "compare_configs": f"WITH {RUNS} SELECT *, row_number() OVER (ORDER BY median_speedup DESC, config)::BIGINT AS place FROM ({SUMMARY})",

@@ -63,3 +63,15 @@ def trade(spark: SparkSession, sf_dir: str) -> GraphSet:
     pairs = li.join(o.join(c, "c_custkey"), "o_orderkey").select("graph_id", (F.col("c_custkey") * 2).alias("x"), (F.col("l_suppkey") * 2 + 1).alias("y")).distinct()
     ends = pairs.select("graph_id", F.explode(F.array("x", "y")).alias("key")).distinct()
     return _graphs(relabelled(ends), pairs.select("graph_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> GraphSet:
+    """A bipartite graph per nation: a supplier is linked to the line numbers of its order lines of quantity 50 with a discount of 0.10.
+
+    Keys: the supplier's number, and line numbers below 0; both only where linked.
+    """
+    own = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("graph_id"), F.col("s_suppkey").alias("key"))
+    some = read(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_discount = 0.10").select(F.col("l_suppkey").alias("key"), (-F.col("l_linenumber")).cast("long").alias("a"))
+    pairs = some.join(own, "key").select("graph_id", "a", F.col("key").cast("long").alias("b")).distinct()
+    ends = pairs.select("graph_id", F.explode(F.array("a", "b")).alias("key")).distinct()
+    return _graphs(relabelled(ends), pairs)
