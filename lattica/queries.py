@@ -273,6 +273,21 @@ def queries() -> dict[str, Query]:
     return out | files.queries() | catalogue.queries() | features.queries() | learning.queries() | pipelines.queries()
 
 
+def tags_sql() -> str:
+    """Run names from the grid's fixed values."""
+    told = lambda x: f"'{x}'" if isinstance(x, str) else str(x)
+    rows = ", ".join(f"({i}, {', '.join(map(told, vars(c).values()))})" for i, c in enumerate(experiments.configurations()))
+    names = ", ".join(vars(experiments.configurations()[0]))
+    seeds = ", ".join(f"({x})" for x in experiments.SEEDS)
+    return f"""
+SELECT config_id, seed, replace(replace(replace(datasets, ',', '_'), ':', '-'), ' ', '') || CASE WHEN pruner = 'ml' THEN '' ELSE '_' || pruner || '-pruner' END || CASE WHEN ilp_solver = 'auto' THEN '' ELSE '_' || ilp_solver || '-solver' END
+       || CASE WHEN feature_set = 'kernel' THEN '' ELSE '_' || feature_set || '-feat' END
+       || CASE WHEN feature_set NOT IN ('kernel', 'both', 'kernel+ajwani') OR active = 'vsko+gdv+rw' THEN '' WHEN active = '' THEN '_no-kernel' ELSE '_' || active || '-only' END
+       || CASE WHEN prune_threshold = 0.1 THEN '' ELSE '_pt' || prune_threshold::DECIMAL(4, 2) END || CASE WHEN fix_threshold > 1 THEN '' ELSE '_ft' || fix_threshold::DECIMAL(4, 2) END || CASE WHEN seed = 42 THEN '' ELSE '_s' || seed END AS tag
+FROM (SELECT *, concat_ws('+', CASE WHEN NOT no_vsko THEN 'vsko' END, CASE WHEN NOT no_gdv THEN 'gdv' END, CASE WHEN NOT no_rw THEN 'rw' END) AS active
+      FROM (VALUES {rows}) t(config_id, {names}), (VALUES {seeds}) s(seed) WHERE grp = 'ablation' OR seed = {experiments.SEEDS[0]})"""
+
+
 def oracle_sql() -> dict[str, str]:
     sizes = "SELECT g AS graph_id, any_value(n)::BIGINT AS n_nodes, any_value(m)::BIGINT AS n_edges FROM deg GROUP BY g"
     gs = o.DEPTH
@@ -404,6 +419,7 @@ re AS (SELECT e.g, count(*)::BIGINT AS n_edges, sum((x.removed = 0 AND x.high =
         "experiment_grid": "SELECT grp, n_runs::BIGINT AS n_runs, n_configs::BIGINT AS n_configs FROM (VALUES ('1', 7, 7), ('2', 5, 5), ('2b', 6, 6), ('2c', 5, 5), ('3', 5, 5), ('4', 3, 3), ('5', 2, 2), ('sensitivity', 16, 16), ('realworld', 4, 4), ('ablation', 55, 11)) t(grp, n_runs, n_configs)",
         "core_number_rounds": over(f"SELECT {ID}, c::DOUBLE AS rw_core_number FROM c{o.CORES}", more=o.core_sql(o.CORES)),
     }
+    out["config_tags"] = tags_sql()
     from lattica.operators import learning
     from lattica.plans import pipelines
     from lattica.sources import catalogue, files

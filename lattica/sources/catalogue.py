@@ -82,6 +82,8 @@ def hashed_erdos_renyi(spark: SparkSession, n_graphs: int, n: int, p: float) ->
 #: The classical social networks as lists of "node: neighbours of higher number".
 NAMED = {
     "karate": "0: 1 2 3 4 5 6 7 8 10 11 12 13 17 19 21 31; 1: 2 3 7 13 17 19 21 30; 2: 3 7 8 9 13 27 28 32; 3: 7 12 13; 4: 6 10; 5: 6 10 16; 6: 16; 8: 30 32 33; 9: 33; 13: 33; 14: 32 33; 15: 32 33; 18: 32 33; 19: 33; 20: 32 33; 22: 32 33; 23: 25 27 29 32 33; 24: 25 27 31; 25: 31; 26: 29 33; 27: 33; 28: 31 33; 29: 32 33; 30: 32 33; 31: 32 33; 32: 33",
+    # 18 women, 0 to 17, and the 14 meetings they came to, 18 to 31
+    "davis": "0: 18 19 20 21 22 23 25 26; 1: 18 19 20 22 23 24 25; 2: 19 20 21 22 23 24 25 26; 3: 18 20 21 22 23 24 25; 4: 20 21 22 24; 5: 20 22 23 25; 6: 22 23 24 25; 7: 23 25 26; 8: 22 24 25 26; 9: 24 25 26 29; 10: 25 26 27 29; 11: 25 26 27 29 30 31; 12: 24 25 26 27 29 30 31; 13: 23 24 26 27 28 29 30 31; 14: 24 25 27 28 29; 15: 25 26; 16: 26 28; 17: 26 28",
     "florentine": "0: 1; 1: 5 6 7 8 9; 2: 3 4 5; 3: 4 11; 4: 6 11; 6: 7; 7: 12; 8: 12 13; 9: 10; 11: 12; 12: 14",
 }
 
@@ -95,9 +97,9 @@ def _with(f: Callable, seed: int, *how) -> Callable[[], gen.Edges]:
 
 
 def catalogue() -> dict[str, Callable[[], gen.Edges]]:
-    """Name to a maker of edges. Two of the classical networks (les miserables, southern women) are not carried."""
+    """Name to a maker of edges. One of the classical networks (les miserables) is not carried."""
     out: dict[str, Callable[[], gen.Edges]] = {
-        "karate": functools.partial(_named, "karate"), "florentine": functools.partial(_named, "florentine"), "petersen": gen.petersen, "dodecahedron": gen.dodecahedron, "icosahedron": gen.icosahedron,
+        "karate": functools.partial(_named, "karate"), "florentine": functools.partial(_named, "florentine"), "davis": functools.partial(_named, "davis"), "petersen": gen.petersen, "dodecahedron": gen.dodecahedron, "icosahedron": gen.icosahedron,
         "complete_bipartite_5_5": lambda: gen.multipartite([5, 5]), **{f"grid_{k}x{k}": functools.partial(gen.grid, k, k) for k in (5, 7, 8, 10)}, "cycle_20": lambda: gen.cycle(20), "wheel_30": lambda: gen.wheel(30),
         "barbell_15": lambda: gen.barbell(15, 5), "triangular_lattice": lambda: gen.triangular_lattice(6, 8), "hexagonal_lattice": lambda: gen.hexagonal_lattice(5, 6), "turan_50_5": lambda: gen.turan(50, 5),
     }

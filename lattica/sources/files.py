@@ -158,7 +158,7 @@ def _named(names: DataFrame, pairs: DataFrame) -> GraphSet:
 
 def read_graphml(spark: SparkSession, path: str) -> GraphSet:
     names = spark.read.format("xml").option("rowTag", "node").schema("_id string").load(path).select(F.col("_id").alias("name"))
-    pairs = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string").load(path).toDF("a", "b")
+    pairs = spark.read.format("xml").option("rowTag", "edge").schema("_source string, _target string").load(path).select(F.col("_source").alias("a"), F.col("_target").alias("b"))
     return _named(names, pairs)
 
 
@@ -254,9 +254,53 @@ def _scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lattica/{uuid.uuid4().hex}"
 
 
+def shape(g: GraphSet) -> DataFrame:
+    """(graph_id, node_id, label, dst): every node with its neighbours of higher number, or null."""
+    return g.nodes.join(g.edges.withColumnRenamed("src", "node_id"), KEY, "left").select(*KEY, F.coalesce("label", F.lit(-1)).alias("label"), "dst")
+
+
 def queries() -> dict:
     from lattica.sources import tables
 
+    def labelled(spark: SparkSession, d: str) -> GraphSet:
+        g = tables.suppliers(spark, d)
+        return GraphSet(g.nodes.withColumn("label", (F.col("node_id") % 3 == 0).cast("int")), g.edges)
+
+    def joint(spark: SparkSession, d: str) -> GraphSet:
+        """All graphs side by side as one: a node's number is its graph's times 2^32 plus its own."""
+        g, node = tables.suppliers(spark, d), lambda c: (F.shiftleft("graph_id", 32) + F.col(c)).alias(c)
+        return GraphSet(g.nodes.select(node("node_id")), g.edges.select(node("src"), node("dst")))
+
+    def saved(spark: SparkSession, lines: DataFrame, suffix: str) -> str:
+        path = _scratch(spark) + suffix
+        lines.write.text(path)
+        return path
+
+    def json_arrays(spark: SparkSession, d: str) -> DataFrame:
+        path, r = _scratch(spark), to_records(labelled(spark, d))
+        one = F.concat(F.lit("["), F.to_json(F.struct("n_nodes", "edges", "mvc", "source")), F.lit("]"))
+        r.select(F.col("graph_id").alias("part"), one.alias("value")).write.partitionBy("part").text(path)
+        return shape(from_records(read_records(spark, path, min_nodes=0)))
+
+    def adjlist(spark: SparkSession, d: str) -> DataFrame:
+        g = joint(spark, d)
+        near = g.edges.groupBy(F.col("src").alias("node_id")).agg(F.array_join(F.collect_list(F.col("dst").cast("string")), " ").alias("near"))
+        return shape(read_graph(spark, saved(spark, g.nodes.join(near, "node_id", "left").select(F.concat_ws(" ", "node_id", "near").alias("value")), ".adjlist")))
+
+    def graphml(spark: SparkSession, d: str) -> DataFrame:
+        g, part = joint(spark, d), F.shiftright
+        ids = g.nodes.select(part("node_id", 32).alias("part"), F.lit(0).alias("k"), F.format_string('<node id="%d"/>', "node_id").alias("x"))
+        links = g.edges.select(part("src", 32), F.lit(1), F.format_string('<edge source="%d" target="%d"/>', "src", "dst"))
+        body = F.array_join(F.sort_array(F.collect_list(F.struct("k", "x"))).getField("x"), "")
+        path = _scratch(spark) + ".graphml"  # a document a graph
+        ids.union(links).groupBy("part").agg(F.concat(F.lit("<graphml><graph>"), body, F.lit("</graph></graphml>")).alias("value")).write.partitionBy("part").text(path)
+        return shape(read_graph(spark, path))
+
+    def gml(spark: SparkSession, d: str) -> DataFrame:
+        g = joint(spark, d)
+        ids = g.nodes.select(F.format_string("node [ id %d ]", "node_id").alias("value"))
+        return shape(read_graph(spark, saved(spark, ids.union(g.edges.select(F.format_string("edge [ source %d target %d ]", "src", "dst"))), ".gml")))
+
     def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
         path = _scratch(spark)
         write_records(tables.suppliers(spark, d), path)
@@ -274,9 +318,9 @@ def queries() -> dict:
         name = F.format_string("g%03d", "graph_id")
         heads = g.nodes.groupBy("graph_id").count().select(F.concat(name, F.lit(".gr")).alias("path"), F.concat_ws(" ", F.lit("p td"), "count", F.lit("0")).alias("value"))
         body = g.edges.select(F.concat(name, F.lit(".gr")).alias("path"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1).alias("value"))
-        sol = g.nodes.filter("node_id = 0").select(F.concat(name, F.lit(".sol")).alias("path"), F.lit("1").alias("value"))
+        sol = g.nodes.filter("node_id % 3 = 0").select(F.concat(name, F.lit(".sol")).alias("path"), (F.col("node_id") + 1).cast("string").alias("value"))
         got, names = parse_pace(heads.union(body), sol, 0)
-        return got.edges.join(names, "graph_id").select("stem", "src", "dst")
+        return shape(got).join(names, "graph_id").drop("graph_id")
 
     def tu(spark: SparkSession, d: str) -> DataFrame:
         g = tables.suppliers(spark, d)
@@ -293,17 +337,26 @@ def queries() -> dict:
         rows = r.select(F.col("graph_id").alias("id"), F.lit("min_vertex_cover").alias("task"), F.concat(F.lit("(1, "), F.col("n_nodes").cast("string"), F.lit(")")).alias("nodes"), F.concat(F.lit("["), F.array_join(pair, ", "), F.lit("]")).alias("edges"), F.lit("[1]").alias("answer"), F.lit("f").alias("source_file"))
         return from_records(convert_encoded(rows)).edges
 
-    return {"parse_json_records": json_round_trip, "parse_edgelist": edgelist, "parse_pace": pace, "parse_tudataset": tu, "parse_encoded_rows": encoded}
+    return {"parse_json_records": json_round_trip, "parse_json_arrays": json_arrays, "parse_adjlist": adjlist, "parse_graphml": graphml, "parse_gml": gml, "parse_edgelist": edgelist, "parse_pace": pace, "parse_tudataset": tu, "parse_encoded_rows": encoded}
 
 
 def oracle_sql() -> dict[str, str]:
     from lattica import oracles as o
 
     plain = o.over("SELECT g AS graph_id, a AS src, b AS dst FROM edges", o.SUPPLIERS)
+    named = o.over(
+        "SELECT 0::BIGINT AS graph_id, x.i AS node_id, -1 AS label, y.i AS dst FROM num x LEFT JOIN edges e ON e.g = x.g AND e.a = x.v LEFT JOIN num y ON y.g = e.g AND y.v = e.b",
+        o.SUPPLIERS,
+        "num AS MATERIALIZED (SELECT g, v, row_number() OVER (ORDER BY g, v) - 1 AS i FROM nodes)",
+    )
     return {
         "parse_json_records": plain,
         "parse_tudataset": plain,
         "parse_encoded_rows": plain,
-        "parse_pace": o.over("SELECT 'g' || lpad(g::VARCHAR, 3, '0') AS stem, a AS src, b AS dst FROM edges", o.SUPPLIERS),
-        "parse_edgelist": o.over("SELECT 0::BIGINT AS graph_id, a AS src, b AS dst FROM edges WHERE g = 1"),
+        "parse_pace": o.over("SELECT 'g' || lpad(g::VARCHAR, 3, '0') AS stem, v AS node_id, (v % 3 = 0)::INT AS label, b AS dst FROM nodes LEFT JOIN (SELECT g, a AS v, b FROM edges) USING (g, v)", o.SUPPLIERS),
+        "parse_json_arrays": o.over("SELECT dense_rank() OVER (ORDER BY g || '/') - 1 AS graph_id, v AS node_id, (v % 3 = 0)::INT AS label, b AS dst FROM nodes LEFT JOIN (SELECT g, a AS v, b FROM edges) USING (g, v)", o.SUPPLIERS),
+        "parse_adjlist": o.over("SELECT 0::BIGINT AS graph_id, (g << 32) + v AS node_id, -1 AS label, (g << 32) + b AS dst FROM nodes LEFT JOIN (SELECT g, a AS v, b FROM edges) USING (g, v)", o.SUPPLIERS),
+        "parse_graphml": named,
+        "parse_gml": named,
+        "parse_edgelist": o.over("SELECT 0::BIGINT AS graph_id, (g << 32) + a AS src, (g << 32) + b AS dst FROM edges"),
     }

@@ -145,4 +145,6 @@ def test_classical_networks():
     deg = np.bincount(np.array(sorted(karate)).ravel())
     assert (len(karate), deg[0], deg[33], len(covers.exact_cover(local(karate))[0])) == (78, 16, 17, 14)
     assert len(florentine) == 20 and len({x for e in florentine for x in e}) == 15
-    assert len(makers) == 54
+    davis = makers["davis"]()
+    assert len(davis) == 89 and len({x for e in davis for x in e}) == 32 and all(a < 18 <= b for a, b in davis)
+    assert len(makers) == 55

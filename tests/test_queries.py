@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 SOME = [
     "graph_stats", "corpus_summary_rollup", "train_test_split", "degree_features", "triangle_count", "gdv4_counts", "nbr_degree_rank", "core_number", "betweenness", "pagerank", "mwua", "structural_score",
     "prune_two_sided", "prune_keep_node", "reduced_graph_stats", "reconstruct_repair", "greedy_scores", "prune_greedy", "matching_cover", "exact_cover_small", "pipeline_none", "threshold_tuning", "clf_metrics", "wilcoxon", "parse_pace",
+    "parse_json_arrays", "parse_adjlist", "parse_graphml", "parse_gml", "parse_edgelist", "config_tags", "eigenvector", "luby_mis", "konig_cover", "lp_bound_small", "bootstrap_median_ci", "features_lauri", "features_ajwani", "features_kernel", "pagerank_rounds",
 ]
 
 
