@@ -40,11 +40,11 @@ from lattica.llm.common import held, map_rows, shared_dir, written
 #: Chunks: about `mean` ids (a power of two), at most `longest`; the rolling hash covers `reach` ids.
 MEAN, LONGEST, REACH = 512, 8192, 8
 #: Entries of a generation of the word cache; words that the library gets in one string.
-CACHE, TOGETHER = 200_000, 64
+CACHE, TOGETHER = 300_000, 64
 #: Hashes of chunks a task remembers at least.
 SEEN = 200_000
 #: Characters that are worked on at once.
-GROUP = 1 << 20
+GROUP = 1 << 21
 #: Consecutive documents under one row of the manifest, and rows under one node of its tree.
 BLOCK, FAN = 4096, 1024
 
