@@ -25,7 +25,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from lattica.llm.common import held, map_rows, shared_dir, written
 #: Chunks: about `mean` ids (a power of two), at most `longest`; the rolling hash covers `reach` ids.
 MEAN, LONGEST, REACH = 512, 8192, 8
 #: Entries of a generation of the word cache; words that the library gets in one string.
-CACHE, TOGETHER = 300_000, 64
+CACHE, TOGETHER = 300_000, 256
 #: Hashes of chunks a task remembers at least.
 SEEN = 200_000
 #: Characters that are worked on at once.
@@ -84,20 +84,29 @@ class Words:
 
     def numbers(self, words: list[str], make) -> np.ndarray:
         """Numbers of distinct words, good until the next call; make gives (all ids, ids of each) of a list of new ones."""
-        missing = [w for w in words if w not in self.known]
-        if missing and (len(self.known) + len(missing) > self.size or self.weight > 64 * self.size):
+        at = self._found(words)
+        gaps = np.flatnonzero(at < 0)
+        if len(gaps) and (len(self.known) + len(gaps) > self.size or self.weight > 64 * self.size):
             self.old = (self.known, self.flat, self.starts, self.lengths)
             self._clear()
-            missing = words
-        if missing and self.old:
+            gaps = np.arange(len(words))
+        if not len(gaps):
+            return at
+        new = [words[i] for i in gaps.tolist()]
+        if self.old:
             known, flat, starts, lengths = self.old
-            if moved := [w for w in missing if w in known]:
-                at = np.fromiter(map(known.__getitem__, moved), np.int64, len(moved))
-                self._add(moved, gathered(flat, starts[at], lengths[at]), lengths[at])
-                missing = [w for w in missing if w not in self.known]
-        if missing:
-            self._add(missing, *make(missing))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            was = np.fromiter(map(known.get, new, repeat(-1)), np.int64, len(new))
+            if len(kept := np.flatnonzero(was >= 0)):
+                own = was[kept]
+                self._add([new[i] for i in kept.tolist()], gathered(flat, starts[own], lengths[own]), lengths[own])
+                new = [new[i] for i in np.flatnonzero(was < 0).tolist()]
+        if new:
+            self._add(new, *make(new))
+        at[gaps] = self._found([words[i] for i in gaps.tolist()])
+        return at
+
+    def _found(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
 
 
 class Encoder:
@@ -131,9 +140,9 @@ class Encoder:
 
     def _made(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of new words, cores first in new's order, and how many each has."""
-        cores = [w for w in new if CORE(w)] if self.bare is not None else []
+        kept = [self.bare is not None and CORE(w) is not None for w in new]
+        cores, is_core = list(compress(new, kept)), np.array(kept, bool)
         out, sizes = np.zeros(0, self.kind), np.zeros(len(new), np.int64)
-        is_core = np.fromiter((self.bare is not None and CORE(w) is not None for w in new), bool, len(new))
         groups = [" ".join(cores[i : i + TOGETHER]) for i in range(0, len(cores), TOGETHER)]
         first = np.fromiter(chain.from_iterable(e.ids for e in self.bare.encode_batch_fast(groups, add_special_tokens=False)), self.kind) if cores else out
         ends = np.flatnonzero(self.closes[first]) + 1 if cores else np.zeros(0, np.int64)
