@@ -32,6 +32,21 @@ def test_round_trip(spark, table):
     assert got == plain([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("size", [40, 3000, 300_000])
+def test_words_leave_the_cache(monkeypatch, size):
+    """The ids are the library's, however often a generation of the word cache ends."""
+    monkeypatch.setattr(ts, "CACHE", size)
+    rng, encoder = random.Random(7), ts.Encoder(PATH)
+    parts = [*"aB zÉß'’.,-<|>1\n\t é", "\u0301", "ﬁ", "İ", "word", "the"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        (ids, ends), = encoder.encode(part, 1)
+        got = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == [[*encoder.whole.encode(x, add_special_tokens=False).ids, 1] for x in part]
+    assert (encoder.words.old is not None) == (size < 300_000)
+
+
 def test_stored_ids_and_shared_chunks(spark):
     text = " ".join(f"word{i} thing" for i in range(4000))
     docs = docs_of(spark, [text, "a start " + text, text, None])
