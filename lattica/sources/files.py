@@ -30,8 +30,8 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("graph_id", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
 
 
-def read_records(spark: SparkSession, path: str | list[str], tag: str | None = None, min_nodes: int = 5, max_nodes: int = 500, max_graphs: int | None = None) -> DataFrame:
-    """(graph_id, dataset, n_nodes, edges, mvc, source) of JSON arrays of records, in file order; the size filter comes before the cap, which holds per file."""
+def read_records(spark: SparkSession, path: str | list[str], tag: str | None = None, min_nodes: int = 5, max_nodes: int | None = 500, max_graphs: int | None = None) -> DataFrame:
+    """(graph_id, dataset, n_nodes, edges, mvc, source) of JSON arrays of records, in file order; the size filter (max_nodes None: no upper end) comes before the cap, which holds per file."""
     raw = spark.read.schema(RECORD).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     rows = raw.filter("_corrupt_record is null and n_nodes is not null").withColumns({"file": F.col("_metadata.file_path"), "at": F.monotonically_increasing_id()})
     kept = size_filter(rows.withColumn("graph_id", F.col("at")), min_nodes, max_nodes, max_graphs, "file").drop("graph_id")
@@ -90,8 +90,8 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[A-Za-z]+$", "")
 
 
-def parse_pace(gr: DataFrame, sol: DataFrame, min_nodes: int = 5, max_nodes: int = 2000, max_graphs: int | None = None) -> tuple[GraphSet, DataFrame]:
-    """Lines(path, value) of .gr and .sol files to graphs with labels; graphs without a solution are left out. Also (graph_id, stem)."""
+def parse_pace(gr: DataFrame, sol: DataFrame, min_nodes: int = 5, max_nodes: int | None = 2000, max_graphs: int | None = None) -> tuple[GraphSet, DataFrame]:
+    """Lines(path, value) of .gr and .sol files to graphs with labels; graphs without a solution are left out, and so are those beyond max_nodes (None: no upper end). Also (graph_id, stem)."""
     head = _fields(gr, "c").filter(F.get("w", F.lit(0)) == "p").select(stem(F.col("path")).alias("stem"), _whole(F.get("w", F.lit(2))).alias("n_nodes")).filter("n_nodes > 0").groupBy("stem").agg(F.max("n_nodes").alias("n_nodes"))
     answered = sol.select(stem(F.col("path")).alias("stem")).distinct()
     ids = numbered(head.join(answered, "stem", "left_semi"), F.col("stem"))
@@ -280,7 +280,7 @@ def queries() -> dict:
         path, r = _scratch(spark), to_records(labelled(spark, d))
         one = F.concat(F.lit("["), F.to_json(F.struct("n_nodes", "edges", "mvc", "source")), F.lit("]"))
         r.select(F.col("graph_id").alias("part"), one.alias("value")).write.partitionBy("part").text(path)
-        return shape(from_records(read_records(spark, path, min_nodes=0)))
+        return shape(from_records(read_records(spark, path, min_nodes=0, max_nodes=None)))
 
     def adjlist(spark: SparkSession, d: str) -> DataFrame:
         g = joint(spark, d)
