@@ -319,7 +319,7 @@ def queries() -> dict:
         heads = g.nodes.groupBy("graph_id").count().select(F.concat(name, F.lit(".gr")).alias("path"), F.concat_ws(" ", F.lit("p td"), "count", F.lit("0")).alias("value"))
         body = g.edges.select(F.concat(name, F.lit(".gr")).alias("path"), F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1).alias("value"))
         sol = g.nodes.filter("node_id % 3 = 0").select(F.concat(name, F.lit(".sol")).alias("path"), (F.col("node_id") + 1).cast("string").alias("value"))
-        got, names = parse_pace(heads.union(body), sol, 0)
+        got, names = parse_pace(heads.union(body), sol, 0, None)
         return shape(got).join(names, "graph_id").drop("graph_id")
 
     def tu(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ def agree(spark, folder, name, **tables):
     return got
 
 
-@pytest.mark.parametrize("name", ["parse_json_arrays"])
+@pytest.mark.parametrize("name", ["parse_json_arrays", "parse_pace"])
 def test_formats_keep_graphs_of_any_size(spark, tmp_path, name):
     nation = np.array([7] * 2100 + [11] * 3, np.int32)
     supplier = {"s_suppkey": np.arange(2103), "s_nationkey": nation}
