@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pytest
@@ -148,3 +149,46 @@ def test_classical_networks():
     davis = makers["davis"]()
     assert len(davis) == 89 and len({x for e in davis for x in e}) == 32 and all(a < 18 <= b for a, b in davis)
     assert len(makers) == 55
+
+
+def linked(n, m, seed=0):
+    return local({(min(a, b), max(a, b)) for a, b in np.random.default_rng(seed).integers(0, n, (m, 2)).tolist() if a != b}, n)
+
+
+def seconds(f, *given):
+    began = time.perf_counter()
+    f(*given)
+    return time.perf_counter() - began
+
+
+@pytest.mark.parametrize("key", ["closeness", "eccentricity"])
+def test_paths_of_a_large_graph_cost_less_than_a_search_from_each_node(key):
+    g = linked(4000, 12000)
+    near = g.neighbours()
+    some = range(0, 4000, 20)
+    one = seconds(lambda: [ct.distances(near, v) for v in some])  # a twentieth of all
+    got = ct.closeness_and_eccentricity(g)[key]
+    assert min(seconds(ct.closeness_and_eccentricity, g) for _ in range(3)) < 5 * one
+    d = [[x for x in ct.distances(near, v) if x >= 0] for v in some]
+    whole = all(len(x) == g.n for x in d)
+    want = {"closeness": [(len(x) - 1) ** 2 / max(sum(x), 1) / (g.n - 1) for x in d], "eccentricity": [max(x) if whole else -1 for x in d]}[key]
+    assert got[list(some)] == pytest.approx(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(graphs(), st.integers(1, 3))
+def test_searches_side_by_side_are_those_of_single_sources(g, columns):
+    near, was = g.neighbours(), (ct.LOT, ct.COLUMNS, ct.DEEP)
+    found = []
+    try:
+        for ct.LOT, ct.COLUMNS, ct.DEEP in ((1, columns, 64), (1024, 32, 64), (2, 32, 0)):  # small lots and hubs; as ever; node by node
+            found.append((ct.hop_counts(g).tolist(), ct.closeness_and_eccentricity(g), ct.betweenness(g), ct.betweenness(g, 3)))
+    finally:
+        ct.LOT, ct.COLUMNS, ct.DEEP = was
+    d = [[x for x in ct.distances(near, v) if x >= 0] for v in range(g.n)]
+    assert found[0][0] == np.bincount(sum(d, [])).tolist()
+    assert found[0][1]["closeness"] == pytest.approx([(len(x) - 1) ** 2 / max(sum(x), 1) / max(g.n - 1, 1) for x in d])
+    assert found[0][1]["eccentricity"].tolist() == [max(x) if min(map(len, d)) == g.n else -1 for x in d]
+    for counts, paths, *shares in found[1:]:
+        assert counts == found[0][0] and all((paths[k] == found[0][1][k]).all() for k in paths)
+        assert all(a == pytest.approx(b) for a, b in zip(shares, found[0][2:], strict=True))
