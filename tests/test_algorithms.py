@@ -192,3 +192,10 @@ def test_searches_side_by_side_are_those_of_single_sources(g, columns):
     for counts, paths, *shares in found[1:]:
         assert counts == found[0][0] and all((paths[k] == found[0][1][k]).all() for k in paths)
         assert all(a == pytest.approx(b) for a, b in zip(shares, found[0][2:], strict=True))
+
+
+def test_betweenness_of_all_costs_less_than_a_search_from_each_node():
+    g = linked(2500, 7500)
+    near = g.neighbours()
+    one = seconds(lambda: [ct.distances(near, v) for v in range(0, 2500, 10)])  # a tenth of all
+    assert min(seconds(ct.betweenness, g) for _ in range(2)) < 10 * one

@@ -1,10 +1,12 @@
 """Operators on small graphs with known values, degenerate inputs, and the invariants of pruning."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lattica.functions import generators as gen
-from lattica.graphs import GraphSet, canonical
+from lattica.graphs import GraphSet, canonical, per_graph
 from lattica.operators import corpus, evaluation, experiments, iterative, learning, local, pruning, solvers, statistics
 from lattica.plans import features, pipelines
 from lattica.sources import catalogue, files, tables
@@ -67,6 +69,12 @@ def test_iterative_agree_with_rounds_and_components(g):
     assert h.filter("graph_id = 0 and source = 0").orderBy("node_id").select("hops").toPandas().hops.tolist() == [0, 1, 2, 3]
 
 
+def test_graphs_are_spread_over_tasks(spark):
+    h = graphs(spark, *((gen.path(5), 5) for _ in range(40)))
+    at = per_graph(h, lambda x: pd.DataFrame({"graph_id": [x.graph_id]}), "graph_id long").select(F.spark_partition_id().alias("p")).collect()
+    assert len({r.p for r in at}) > 8  # with the shuffle left out they all met in one or two
+
+
 def test_rounds_that_do_not_settle_are_an_error(spark):
     nodes = spark.range(12).selectExpr("0L graph_id", "id node_id", "cast(null as int) label")
     path = GraphSet(nodes, spark.range(11).selectExpr("0L graph_id", "id src", "id + 1 dst"))
