@@ -75,6 +75,14 @@ def test_graphs_are_spread_over_tasks(spark):
     assert len({r.p for r in at}) > 8  # with the shuffle left out they all met in one or two
 
 
+def test_hop_counts_list_no_pairs(spark, g):
+    pairs = iterative.hops(g).groupBy("graph_id", "hops").agg(F.count("*").alias("n_pairs"))
+    counts = iterative.hop_counts(g)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, pairs.collect()))
+    plan = entry.queries()["bfs_apsp"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "source" not in plan
+
+
 def test_rounds_that_do_not_settle_are_an_error(spark):
     nodes = spark.range(12).selectExpr("0L graph_id", "id node_id", "cast(null as int) label")
     path = GraphSet(nodes, spark.range(11).selectExpr("0L graph_id", "id src", "id + 1 dst"))
