@@ -3,6 +3,7 @@
 import itertools
 import math
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -199,3 +200,12 @@ def test_betweenness_of_all_costs_less_than_a_search_from_each_node():
     near = g.neighbours()
     one = seconds(lambda: [ct.distances(near, v) for v in range(0, 2500, 10)])  # a tenth of all
     assert min(seconds(ct.betweenness, g) for _ in range(2)) < 10 * one
+
+
+def test_exact_solver_takes_little_memory_however_deep_it_goes():
+    g = linked(300, 4000)
+    tracemalloc.start()
+    cover, optimal = covers.exact_cover(g, max_branches=200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert is_cover(g, cover) and not optimal and most < 20e6
