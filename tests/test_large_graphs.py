@@ -29,3 +29,14 @@ def test_formats_keep_graphs_of_any_size(spark, tmp_path, name):
     supplier = {"s_suppkey": np.arange(2103), "s_nationkey": nation}
     lineitem = {"l_orderkey": np.arange(4000) // 4, "l_suppkey": np.arange(4000) * 37 % 2103}
     assert len(agree(spark, tmp_path, name, supplier=supplier, lineitem=lineitem)) > 2103
+
+
+@pytest.mark.parametrize("name", ["graph_stats_users"])
+def test_places_full_of_users_list_no_pairs(spark, tmp_path, name):
+    k = np.arange(900)
+    ts = (np.datetime64("2024-01-01T00:00:00", "us") + (k % 4 * 3600 + k % 3 * 86400).astype("timedelta64[s]")).astype("datetime64[us]")
+    # a user met by nobody has no number; some events repeat
+    events = {"ts": ts, "user_id": np.where(k == 5, -1, k * 7 % 150), "event_type": np.where(k == 5, "alone", np.where(k % 5 > 0, "a", "b"))}
+    assert agree(spark, tmp_path, name, events=events)
+    plan = entry.queries()[name](spark, f"file://{tmp_path}")._jdf.queryExecution().toString()
+    assert "Join" not in plan
