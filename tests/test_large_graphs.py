@@ -31,7 +31,7 @@ def test_formats_keep_graphs_of_any_size(spark, tmp_path, name):
     assert len(agree(spark, tmp_path, name, supplier=supplier, lineitem=lineitem)) > 2103
 
 
-@pytest.mark.parametrize("name", ["graph_stats_users"])
+@pytest.mark.parametrize("name", ["graph_stats_users", "triangle_count_users"])
 def test_places_full_of_users_list_no_pairs(spark, tmp_path, name):
     k = np.arange(900)
     ts = (np.datetime64("2024-01-01T00:00:00", "us") + (k % 4 * 3600 + k % 3 * 86400).astype("timedelta64[s]")).astype("datetime64[us]")
