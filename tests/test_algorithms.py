@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from lattica.functions import centrality as ct
 from lattica.functions import covers
 from lattica.functions import generators as gen
+from lattica.functions import surroundings as sr
 from lattica.graphs import Local
 
 
@@ -209,3 +210,32 @@ def test_exact_solver_takes_little_memory_however_deep_it_goes():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert is_cover(g, cover) and not optimal and most < 20e6
+
+
+@settings(max_examples=60, deadline=None)
+@given(graphs(9), st.sampled_from([1, 3, sr.ROWS]))
+def test_surroundings_are_those_of_lists(g, rows):
+    near, was = [set(x) for x in g.neighbours()], sr.ROWS
+    try:
+        sr.ROWS = rows
+        by, quads = sr.shared(g), sr.quad_orbits(g)
+    finally:
+        sr.ROWS = was
+    assert by.tolist() == [len(near[a] & near[b]) for a, b in zip(g.src.tolist(), g.dst.tolist(), strict=True)]
+    want = {o: [0] * g.n for o in quads}
+    for four in itertools.combinations(range(g.n), 4):
+        v, u, w, x = four
+        if u in near[v] and {v, u} & near[w] and {v, u} & near[x]:
+            for a, o in zip(four, sr.ROLES[sum(b in near[a] for a, b in itertools.combinations(four, 2))], strict=True):
+                want[o][a] += 1
+    assert {o: x.tolist() for o, x in quads.items()} == want
+    walk = sr.walk_features(g, by, ct.closeness_and_eccentricity(g)["second"])
+    reach = [{x for u in near[v] for x in near[u]} - {v} for v in range(g.n)]
+    assert walk["rw_avg_dist_2hop_nbrs"] == pytest.approx([sum(2 - (x in near[v]) for x in r) / max(len(r), 1) for v, r in enumerate(reach)])
+    assert walk["rw_triangle_count"].tolist() == [sum(b in near[a] for a, b in itertools.combinations(near[v], 2)) for v in range(g.n)]
+
+
+def test_four_node_orbits_of_a_star_are_counted_not_listed():
+    n = 4001
+    got = sr.quad_orbits(local(gen.star(n - 1), n))  # a hub with 4,000 leaves: 1e10 threes of them, each with it a four
+    assert got[8].tolist() == [math.comb(n - 1, 3)] + [0] * (n - 1) and set(got[9][1:].tolist()) == {math.comb(n - 2, 2)}

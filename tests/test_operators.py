@@ -98,6 +98,25 @@ def test_feature_sets(name, n):
     assert features.FeaturePipeline(name).n_features == n == len(set(features.FeaturePipeline(name).names()))
 
 
+def test_kernel_features_are_those_of_the_operators_in_one_pass(spark, g):
+    labelled = graphs(spark, ([(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (1, 4)], [0, 1, 2, 3, 4, 7]), labels=lambda v: None if v == 3 else v % 2)
+    for x in (g, labelled):
+        got = features.FeaturePipeline().extract(x)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") == 1 and plan.count("Join ") <= x.edges._jdf.queryExecution().optimizedPlan().toString().count("Join ") + 1
+        own = [local.vsko(x), local.gdv(x), local.degree_features(x), local.return_probability(x), local.clustering(x), local.neighbour_degree_stats(x), iterative.path_features(x), iterative.betweenness(x, 50), iterative.eigenvector(x), iterative.pagerank(x), iterative.core_numbers(x), local.two_hop(x), local.hitting_commute(x)]
+        for want in own:
+            columns = [c for c in want.columns if c not in ("graph_id", "node_id")]
+            a, b = (d.orderBy("graph_id", "node_id").select("graph_id", "node_id", *columns).toPandas().to_numpy(float) for d in (got, want))
+            assert a == pytest.approx(b), columns
+    assert column(got, 0, "label") == [0, 1, 0, -1, 0, 1]
+    for some in ({"use_gdv": False}, {"use_rw": False, "ego_hops": 1}, {"use_vsko": False, "use_rw": False}):
+        part = features.FeaturePipeline(**some)
+        assert part.extract(labelled).columns == ["graph_id", "node_id", *part.names(), "label"]
+    both = features.FeaturePipeline("both").extract(labelled)
+    assert both.columns == ["graph_id", "node_id", *features.FeaturePipeline("both").names(), "label"] and both.count() == 6
+
+
 def test_feature_pipeline_choices(g):
     counts = {(v, d, r): features.FeaturePipeline(use_vsko=v, use_gdv=d, use_rw=r).n_features for v, d, r in ((1, 1, 0), (1, 0, 1), (0, 1, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1))}
     assert list(counts.values()) == [86, 33, 93, 13, 73, 20]
