@@ -177,6 +177,15 @@ def test_paths_of_a_large_graph_cost_less_than_a_search_from_each_node(key):
     assert got[list(some)] == pytest.approx(want)
 
 
+def test_searches_work_only_on_rows_where_something_can_be_new(monkeypatch):
+    g, rows, over = linked(4000, 9000), [], ct.Near.over
+    monkeypatch.setattr(ct.Near, "over", lambda *given: rows.append(len(out := over(*given))) or out)
+    got = ct.closeness_and_eccentricity(g)["closeness"]
+    some = {v: [x for x in ct.distances(g.neighbours(), v) if x >= 0] for v in range(0, 4000, 40)}
+    assert got[list(some)] == pytest.approx([(len(d) - 1) ** 2 / max(sum(d), 1) / (g.n - 1) for d in some.values()])
+    assert sum(rows) < 0.7 * 4 * g.n * max(map(max, some.values()))  # four times 1,024 searches, of so many levels or more
+
+
 @settings(max_examples=60, deadline=None)
 @given(graphs(), st.integers(1, 3))
 def test_searches_side_by_side_are_those_of_single_sources(g, columns):
