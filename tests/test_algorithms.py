@@ -205,6 +205,18 @@ def test_searches_side_by_side_are_those_of_single_sources(g, columns):
         assert all(a == pytest.approx(b) for a, b in zip(shares, found[0][2:], strict=True))
 
 
+def test_betweenness_works_on_a_link_once_a_search_and_its_parts_add_up(monkeypatch):
+    g, worked, over = linked(3000, 7000), [], ct.Near.over
+    monkeypatch.setattr(ct.Near, "over", lambda *given: worked.append((out := over(*given)).size) or out)
+    whole = ct.betweenness(g)
+    assert sum(worked) < g.n * g.n  # levels took each row for each search
+    want, near = np.zeros(g.n), g.neighbours()
+    for v in range(g.n):
+        ct._through_from(near, v, want)
+    assert whole == pytest.approx(want / ((g.n - 1) * (g.n - 2)))
+    assert sum(ct.betweenness(g, part=i, parts=3) for i in range(3)) == pytest.approx(whole)
+
+
 def test_betweenness_of_all_costs_less_than_a_search_from_each_node():
     g = linked(2500, 7500)
     near = g.neighbours()

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
+from lattica.operators import iterative
 from tests.test_queries import plain
 
 
@@ -40,3 +41,11 @@ def test_places_full_of_users_list_no_pairs(spark, tmp_path, name):
     assert agree(spark, tmp_path, name, events=events)
     plan = entry.queries()[name](spark, f"file://{tmp_path}")._jdf.queryExecution().toString()
     assert "Join" not in plan
+
+
+def test_betweenness_of_a_graph_goes_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(iterative, "SHARE", 500)
+    k = np.arange(120)
+    part = {"p_partkey": np.arange(40), "p_brand": np.where(np.arange(40) < 34, "Brand#12", "Brand#31")}
+    got = agree(spark, tmp_path, "betweenness", part=part, lineitem={"l_orderkey": k // 2, "l_partkey": (k * k * 7 + k * 13) % 36})
+    assert len(got) == 40 and len({repr(x) for x in got}) > 20
