@@ -1,13 +1,16 @@
 """Queries against their SQL on graphs that are larger, denser or more alike than those of the smallest tables."""
 
+import time
+
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
-from lattica.operators import iterative
+from lattica.operators import iterative, meetings
 from tests.test_queries import plain
 
 
@@ -49,3 +52,24 @@ def test_betweenness_of_a_graph_goes_over_tasks(spark, tmp_path, monkeypatch):
     part = {"p_partkey": np.arange(40), "p_brand": np.where(np.arange(40) < 34, "Brand#12", "Brand#31")}
     got = agree(spark, tmp_path, "betweenness", part=part, lineitem={"l_orderkey": k // 2, "l_partkey": (k * k * 7 + k * 13) % 36})
     assert len(got) == 40 and len({repr(x) for x in got}) > 20
+
+
+def test_triangles_come_from_places_as_from_bits(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n, places, events, block in [(30, 3, 40, 1), (60, 12, 250, 7), (400, 30, 1100, 1 << 19), (9, 9, 70, 3), (1, 1, 1, 1)]:
+        monkeypatch.setattr(meetings, "BLOCK", block)
+        rows = pd.DataFrame({"graph_id": 1, "key": rng.integers(0, n, events), "place": rng.integers(0, places, events).astype(str)}).drop_duplicates()
+        _, place, bits, at, k = meetings._of(rows)
+        got, want = meetings._by_places(place, at, k), meetings._by_bits(place, bits, at, k)
+        assert all((a == b).all() for a, b in zip(got, want, strict=True))
+        monkeypatch.setattr(meetings, "PAIRS", 0)
+        assert events < 2 or meetings._by_places(place, at, k) is None
+        monkeypatch.undo()
+
+
+def test_triangles_of_places_full_of_users_take_no_row_of_bits_a_link():
+    k = np.arange(40_000)
+    rows = pd.DataFrame({"graph_id": 1, "key": k // 2, "place": np.where(k % 2, k * 7919 % 60, k * 104_729 % 61 + 60)})
+    began = time.perf_counter()
+    got = meetings._triangles(rows)
+    assert time.perf_counter() - began < 20 and len(got) == 20_000
