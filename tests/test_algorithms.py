@@ -205,6 +205,22 @@ def test_searches_side_by_side_are_those_of_single_sources(g, columns):
         assert all(a == pytest.approx(b) for a, b in zip(shares, found[0][2:], strict=True))
 
 
+def test_a_capped_search_ends_without_covering_its_way_back_anew(monkeypatch):
+    g, runs, greedy = linked(1500, 4000), [], covers.Exact.greedy
+    monkeypatch.setattr(covers.Exact, "greedy", lambda *given: runs.append(1) or greedy(*given))
+    cover, optimal = covers.exact_cover(g, max_branches=60)
+    assert not optimal and len(runs) < 10 and all(a in cover or b in cover for a, b in zip(g.src.tolist(), g.dst.tolist(), strict=True))
+    assert covers.exact_cover(g, max_branches=60)[0] == cover
+
+
+@settings(max_examples=60, deadline=None)
+@given(graphs())
+def test_improved_covers_cover_and_are_no_larger(g):
+    links, first = list(zip(g.src.tolist(), g.dst.tolist(), strict=True)), covers.matching_cover(g)
+    cover = covers.improved(g.neighbours(), first, 200)
+    assert len(cover) <= len(first) and all(a in cover or b in cover for a, b in links)
+
+
 def test_betweenness_works_on_a_link_once_a_search_and_its_parts_add_up(monkeypatch):
     g, worked, over = linked(3000, 7000), [], ct.Near.over
     monkeypatch.setattr(ct.Near, "over", lambda *given: worked.append((out := over(*given)).size) or out)
